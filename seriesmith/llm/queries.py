@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, media, ngram_join, packing, shared
+from . import bpe, langid, lm, media, ngram_join, packing, secrets, shared, toxicity, url_filter, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,23 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+#: Rules of op2: what to do with a host and its subdomains where the path begins so.
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+#: Listed domains of op2, of three labels at most.
+LISTED = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED))).alias("key"))
+    return url_filter.url_verdicts(_table(spark, sf_dir, "pages"), RULES, listed, labels=3)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = _table(spark, sf_dir, "documents"), shared.crc_mod("doc_id", 5)
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), fold != 0)
+    return toxicity.toxicity_scores(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     fold = shared.crc_mod("doc_id", 4)
@@ -33,6 +50,14 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.image_features(media.text_images(_table(spark, sf_dir, "documents")))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
@@ -42,6 +67,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(_table(spark, sf_dir, "documents"), shared.crc_mod("doc_id", 7) != 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_language_id, op5_byte_bpe, op6_media_columns, op9_best_fit_packing, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_url_filter, op3_toxicity, op4_language_id, op5_byte_bpe, op6_media_columns, op7_secret_scan, op8_exact_top_k, op9_best_fit_packing, op10_lm_scoring)}
 
 ORACLES: dict[str, str] = {}
