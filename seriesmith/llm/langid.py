@@ -155,8 +155,9 @@ class LanguageModel:
         return out, counts, letters
 
 
-#: A text is rejected beyond so many standard deviations above a language's mean cross-entropy.
-DEVIATIONS = 8.0
+#: A text is rejected beyond so many standard deviations above a language's mean cross-entropy, and
+#: beyond the most that a training text had, by this share of what is missing to the uniform distribution.
+DEVIATIONS, MARGIN = 8.0, 0.5
 
 
 def fit(sample: list[tuple[str, str]]) -> LanguageModel:
@@ -172,14 +173,16 @@ def fit(sample: list[tuple[str, str]]) -> LanguageModel:
         raw = [t.encode() for t in texts[name]]
         coded[name] = alphabet.codes(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
         levels.append(train(coded[name][0], ORDER, alphabet.size))
-    model = LanguageModel(alphabet, names, levels, np.zeros((len(names), 3)))
+    model = LanguageModel(alphabet, names, levels, np.zeros((len(names), 4)))
     for k, name in enumerate(names):
         codes, first, _ = coded[name]
         logs = -model.log_probabilities(codes)[:, k].astype(np.float64)
         sums, n = np.r_[0.0, np.cumsum(logs)], np.diff(first)
         mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n, 1)
         long = mean[n >= 30]
-        model.limits[k] = logs.mean() if len(logs) else 0, long.std() if len(long) > 1 else 1.0, logs.std() if len(logs) else 1.0
+        top = long.max(initial=0.0)
+        top += MARGIN * max(0.0, np.log(alphabet.size) - top)
+        model.limits[k] = logs.mean() if len(logs) else 0, long.std() if len(long) > 1 else 1.0, logs.std() if len(logs) else 1.0, top
     return model
 
 
@@ -222,8 +225,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", d
                 odds = np.exp(-(entropies - entropy[:, None]) * np.minimum(n, 40)[:, None])
                 none = letters == 0
                 score = np.where(none, 0.0, 1 / odds.sum(1))
-                mean, spread, noise = model.limits[at].T
-                bad = none | (entropy > mean + DEVIATIONS * (spread + noise / np.sqrt(np.maximum(n, 1))))
+                mean, spread, noise, top = model.limits[at].T
+                bad = none | (entropy > np.maximum(top, mean + DEVIATIONS * (spread + noise / np.sqrt(np.maximum(n, 1)))))
                 best = np.array(model.names, object)[at]
                 best[none] = UND
             made = [pa.array(best.tolist(), pa.string()), pa.array(score), pa.array(entropy), pa.array(bad)]

@@ -44,35 +44,67 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), wide: int = WIDE) -> DataFrame:
-    """Returns per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_owned.
+def _plain(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+
+_NONE = "array<struct<start:bigint,kind:int,end:bigint>>"
 
-    n_live counts base spans whose value one owner holds alone, n_copied those
-    that `wide` owners or more hold. A null text counts as empty: no spans. A
-    null owner or repository is one of its own. Repeated rows give repeated
-    results and are no further owners; long texts are scanned whole; an empty
-    table gives none.
+
+def find(docs: DataFrame, text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), wide: int = WIDE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row per row: the columns in keep as one struct `kept`, then base, live, copied and owned, arrays of spans (start, kind, end).
+
+    live are base spans whose value one owner holds alone, copied those that
+    `wide` owners or more hold, owned mixed tokens of one owner.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(owner).cast("string"), F.lit("\0")).alias("owner"), F.concat_ws("\1", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in repository)).alias("repo"))
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    rows = docs.select(F.struct(*keep).alias("kept"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), part(owner).alias("owner"), F.concat_ws("\1", *map(part, repository)).alias("repo"))
     t = F.col("text")
     always = lambda v: F.lit(True)
     base = F.concat(_spans(t, ASSIGN, 0, 1, lambda v: F.length(v) >= 6), _spans(t, ACCESS, 1, 0, always), _spans(t, HEX, 2, 0, always))
-    rows = rows.select("doc_id", "owner", "repo", "text", base.alias("base"))
+    rows = rows.withColumn("base", base)
     mixed = _spans(t, MIXED, 3, 0, lambda v: F.rlike(v, F.lit("[0-9]")) & F.rlike(v, F.lit("[a-z]")) & F.rlike(v, F.lit("[A-Z]")))
     mixed = F.filter(mixed, lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    hashed = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"], F.sha2(s["value"], 256).alias("hash")))
-    rows = shared.cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repo", hashed(F.col("base")).alias("base"), hashed(mixed).alias("mixed")), "spans")
+    hashed = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
+    rows = shared.cut(rows.select(F.monotonically_increasing_id().alias("row"), "kept", "owner", "repo", hashed(F.col("base")).alias("base"), hashed(mixed).alias("mixed")), "spans")
 
     each = rows.select("row", "owner", "repo", F.explode(F.concat("base", "mixed")).alias("s")).select("row", "owner", "repo", "s.*")
-    held = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("times")).groupBy("hash", "owner").agg(F.count("*").alias("repos")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    judged = each.join(held, "hash").groupBy("row").agg(
-        F.count_if((F.col("kind") < 3) & (F.col("owners") == 1)).alias("n_live"),
-        F.count_if((F.col("kind") < 3) & (F.col("owners") >= wide)).alias("n_copied"),
-        F.collect_list(F.when((F.col("kind") == 3) & (F.col("owners") == 1), F.struct("start", "kind", "end"))).alias("owned"),
-    )
-    plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    by_repo = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("times"))
+    held = by_repo.groupBy("hash", "owner").agg(F.count("*").alias("repos")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    span = F.struct("start", "kind", "end")
+    pick = lambda ok: F.array_sort(F.collect_list(F.when(ok, span)))
+    is_base = F.col("kind") < 3
+    judged = each.join(held, "hash").groupBy("row").agg(pick(is_base & (F.col("owners") == 1)).alias("live"), pick(is_base & (F.col("owners") >= wide)).alias("copied"), pick(~is_base & (F.col("owners") == 1)).alias("owned"))
+    none = F.array().cast(_NONE)
+    some = rows.where(F.size("base") + F.size("mixed") > 0).select("row", "kept", _plain(F.col("base")).alias("base")).join(judged, "row").drop("row")
+    return some.unionByName(rows.where(F.size("base") + F.size("mixed") == 0).select("kept", *(none.alias(c) for c in ("base", "live", "copied", "owned"))))
+
+
+def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), wide: int = WIDE) -> DataFrame:
+    """Returns per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_owned.
+
+    spans are the base spans and those of kind `owned`. A null text counts as
+    empty: no spans. A null owner or repository is one of its own. Repeated rows
+    give repeated results and are no further owners; long texts are scanned
+    whole; other columns are not read; an empty table gives none.
+    """
+    found = find(docs, text, owner, repository, wide, (doc_id,))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    out = rows.drop("mixed").join(judged, "row", "left").withColumn("owned", F.coalesce("owned", none)).withColumn("plain", plain(F.col("base")))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return out.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined(F.col("plain")), 256).alias("base_sha256"), _joined(F.concat("plain", "owned")).alias("spans"), zero("n_live"), zero("n_copied"), F.size("owned").cast("long").alias("n_owned"))
+    size = lambda c: F.size(c).cast("long").alias(f"n_{c}")
+    return found.select(F.col("kept")[doc_id].alias("doc_id"), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "owned")).alias("spans"), size("live"), size("copied"), size("owned"))
+
+
+def redact(docs: DataFrame, text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), wide: int = WIDE, mark: str = "[SECRET]") -> DataFrame:
+    """The same rows and columns, with every live base span and owned token of the text replaced by mark; spans that overlap become one."""
+    found = find(docs, text, owner, repository, wide, tuple(docs.columns))
+    spans = F.array_sort(F.concat("live", "owned"))
+    t = F.col("kept")[text]
+
+    def step(acc: Column, s: Column) -> Column:
+        new = s["start"] >= acc["at"]
+        gap = t.substr(acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
+        return F.struct(F.when(new, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], t.substr(acc["at"].cast("int") + 1, F.length(t))))
+    return found.select(*(F.when(F.size(spans) > 0, clean).otherwise(t).alias(c) if c == text else F.col("kept")[c].alias(c) for c in docs.columns))

@@ -83,6 +83,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LUT[_SPACE] = 0
 _BASE = 0x9E3779B97F4A7C15
 _FACTORS = (_rng.integers(1, 2**63, 16, dtype=np.uint64) * _U(2)) | _U(1)
+_SHORT = np.arange(16, dtype=np.uint64) * _FACTORS[15]
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -141,7 +142,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
             np.not_equal(g[1:], g[:-1], out=keep[1:])
             out.append(g[keep])
         elif b > a:
-            out.append(mix((w[a:b] * _FACTORS[: b - a]).sum(keepdims=True, dtype=np.uint64) + _U(b - a) * _FACTORS[15]))
+            out.append(mix((w[a:b] * _FACTORS[: b - a]).sum(keepdims=True, dtype=np.uint64) + _SHORT[b - a]))
         else:
             out.append(np.empty(0, np.uint64))
     return out
