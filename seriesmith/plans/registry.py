@@ -1,4 +1,243 @@
-"""Queries by name, and the SQL that gives the same rows."""
+"""Queries by name over the driver's tables, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.core import Threshold
+from ..operators import detectors, ensemble, evaluate, features, forest, series
+from . import oracles
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = oracles.SQL
+
+#: Window of the registered tumbling queries, and width of buckets that truth is built of.
+TUMBLING, TRUTH_BUCKET = "6 hours", "12 hours"
+#: The threshold policies of the registered detectors; the percentile falls between two rows.
+PERCENTILE, K = 97.3, 3.0
+PERCENT, ADAPTIVE = Threshold("percentile", percentile=PERCENTILE), Threshold("adaptive_std", k=K)
+
+
+def query(f: Callable) -> Callable:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def events(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
+    """Events as series by type; gaps: every 17th value is missing."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    value = F.when(F.col("event_id") % 17 != 0, F.col("value")) if gaps else F.col("value")
+    return series.to_series(rows, "event_type", "ts", value, "event_id")
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.to_series(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "value", "event_id")
+
+
+def out(df: DataFrame, *columns: str, keys: tuple[str, ...] = ("series_id", "idx")) -> DataFrame:
+    """keys, then the columns, doubles rounded to six places."""
+    rounded = [F.round(c, 6).alias(c) if df.schema[c].dataType.typeName() == "double" else F.col(c) for c in columns]
+    return df.select(*keys, *rounded)
+
+
+def found(df: DataFrame, keys: tuple[str, ...] = ("series_id", "idx")) -> DataFrame:
+    return out(df, "score", "label", "detection_type", keys=keys)
+
+
+def _register(name: str, f: Query) -> None:
+    QUERIES[name] = f
+
+
+for _m in series.FILLS:
+    _register({"forward_fill": "fill_ffill"}.get(_m, f"fill_{_m}"), lambda s, d, m=_m: out(series.fill(events(s, d, True), m), "value"))
+for _m in ("standard", "minmax"):
+    _register(f"scale_{_m}", lambda s, d, m=_m: out(series.scale(events(s, d), m), "value_normalized"))
+_register("scale_robust", lambda s, d: out(series.robust_scale(events(s, d)), "value", "value_normalized"))
+_register("denormalize", lambda s, d: out(series.denormalize(series.scale(events(s, d), keep=True)), "value_normalized", "value_denormalized"))
+_register("preprocess", lambda s, d: out(series.preprocess(events(s, d, True), "interpolate", "minmax"), "value", "value_normalized"))
+_register("series_stats", lambda s, d: out(series.series_stats(events(s, d)), "count", "mean", "std", "min", "max", "median", "q25", "q75", "skewness", "kurtosis", keys=("series_id",)))
+
+
+@query
+def labelled_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = series.labelled_stats(users(spark, sf_dir))
+    return out(df.withColumns({c: series.format_timestamp(F.col(c)) for c in ("first_ts", "last_ts")}), "rows", "mean", "std", "min", "max", "first_ts", "last_ts", keys=("series_id",))
+
+
+_register("tile", lambda s, d: out(series.tile(events(s, d), 3), "value"))
+_register("rolling_trailing", lambda s, d: out(features.rolling(events(s, d), 20), "rolling_mean", "rolling_std"))
+_register("rolling_centered", lambda s, d: out(features.rolling(events(s, d), 20, centre=True), "rolling_mean", "rolling_std"))
+_register("rolling_users", lambda s, d: out(features.rolling(users(s, d), 20), "rolling_mean", "rolling_std"))
+_register("rolling_range", lambda s, d: out(features.rolling_range(events(s, d), 40), "rolling_max", "rolling_min", "rolling_range"))
+_register("sliding_features", lambda s, d: out(features.sliding_features(events(s, d), 10), "row_num", "window_mean_10", "window_std_10"))
+
+
+@query
+def rolling_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = features.window_matrix(events(spark, sf_dir), 16, 4)
+    ends = m.select("series_id", "start", "centre", F.aggregate("window", F.lit(0.0), lambda a, x: a + x).alias("total"), F.element_at("window", 1).alias("first"), F.element_at("window", -1).alias("last"))
+    return out(ends, "centre", "total", "first", "last", keys=("series_id", "start"))
+
+
+_register("forecast_ma", lambda s, d: out(features.forecast(events(s, d), 10), "prediction"))
+_register("error_smoothing", lambda s, d: out(features.smooth(features.abs_diff(events(s, d)), "abs_diff", 5, "smooth"), "abs_diff", "smooth"))
+_register("trend_slope", lambda s, d: out(features.trend(events(s, d), 5), "trend"))
+_register("trend_gradient", lambda s, d: out(features.gradient(features.trend(events(s, d), 5)), "trend", "gradient"))
+_register("box_count", lambda s, d: out(features.box_count(events(s, d), F.col("value") > 100), "box_count"))
+_register("downsample_minmax", lambda s, d: out(features.downsample(events(s, d), 300), "value"))
+_register("histogram", lambda s, d: features.histogram(events(s, d), 30))
+
+
+@query
+def sampled_with_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The down-sampled series with all anomalies put back, each timestamp once."""
+    df = events(spark, sf_dir)
+    marked = detectors.global_zscore(df).where("label = 1").select(*df.columns)
+    return out(features.keep_first([features.downsample(df, 300), marked]), "value")
+
+
+for _name, _t in (("fixed", None), ("percentile", PERCENT), ("adaptive", ADAPTIVE)):
+    _register(f"zscore_{_name}", lambda s, d, t=_t: found(detectors.rolling_zscore(events(s, d), threshold=t or Threshold("fixed", 3.0))))
+    _register(f"prederr_{_name}", lambda s, d, t=_t: found(detectors.prediction_error(events(s, d), smoothing=3, threshold=t or Threshold("fixed", 3.0))))
+    _register(f"hybrid_{_name}", lambda s, d, t=_t: found(detectors.hybrid(events(s, d), threshold=t or Threshold("fixed"))))
+    _register(f"mean_shift_{_name}", lambda s, d, t=_t: found(detectors.mean_shift(events(s, d), threshold=t or Threshold("fixed", 0.5))))
+
+
+@query
+def hybrid_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = detectors.hybrid(events(spark, sf_dir), threshold=Threshold("percentile", percentile=90.1))
+    return h.where("label = 1").groupBy("series_id", "detection_type").agg(F.count("*").alias("n"))
+
+
+@query
+def zscore_long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adaptive z-score with series dealt out in short runs, as very long ones are."""
+    return found(detectors.rolling_zscore(events(spark, sf_dir), threshold=ADAPTIVE, chunk=256))
+
+
+_register("global_zscore", lambda s, d: out(detectors.global_zscore(events(s, d)), "zscore", "score", "label"))
+_register("global_zscore_filter", lambda s, d: out(detectors.global_zscore_filter(events(s, d)), "value", "mean", "std", "zscore"))
+_register("simple_sigma_filter", lambda s, d: out(detectors.global_zscore_filter(events(s, d), 1.0), "value", "zscore"))
+_register("iqr", lambda s, d: out(detectors.iqr(events(s, d)), "value", "q1", "q3", "lower", "upper"))
+_register("tumbling_zscore", lambda s, d: out(detectors.tumbling_zscore(events(s, d), TUMBLING), "value", "mean", "std", "n", "zscore"))
+_register("tumbling_iqr", lambda s, d: out(detectors.tumbling_iqr(events(s, d), TUMBLING), "value", "q1", "q3"))
+_register("spark_rolling", lambda s, d: found(detectors.plain_rolling_zscore(events(s, d))))
+_register("compare_methods", lambda s, d: detectors.compare_methods(events(s, d)))
+
+#: Detectors of the registered queries that SQL can follow.
+NAMES = ("rolling_zscore", "prediction_error", "hybrid", "mean_shift")
+
+
+def long_form(spark: SparkSession, sf_dir: str, k: float = K) -> DataFrame:
+    return ensemble.detect_all(events(spark, sf_dir), NAMES, {n: {"threshold": Threshold("adaptive_std", k=k)} for n in NAMES})
+
+
+_register("detect_all", lambda s, d: found(long_form(s, d), ("algorithm", "series_id", "idx")))
+_register("detect_wide", lambda s, d: out(ensemble.wide(long_form(s, d), NAMES), *(f"{n}_{c}" for n in NAMES for c in ("anomaly", "score"))))
+_register("ensemble", lambda s, d: out(ensemble.vote(long_form(s, d)), "score", "label"))
+_register("run_summary", lambda s, d: out(ensemble.run_summary(long_form(s, d)), "points", "anomalies", "percent", "min_score", "max_score", "mean_score", keys=("algorithm",)))
+_register("top_anomalies", lambda s, d: found(ensemble.top_anomalies(detectors.rolling_zscore(events(s, d), threshold=ADAPTIVE))))
+_register("dominant_type", lambda s, d: ensemble.dominant_type(detectors.hybrid(events(s, d), threshold=Threshold("percentile", percentile=90.1))))
+_register("if_features", lambda s, d: out(forest.forest_features(events(s, d)), *forest.FEATURES))
+_register("isolation_forest", lambda s, d: found(forest.isolation_forest(events(s, d))))
+
+
+def intervals(df: DataFrame) -> DataFrame:
+    """Truth made of the data: by series and bucket of time, from the first to the last value beyond the 99th percentile."""
+    top = df.groupBy("series_id").agg(F.percentile("value", F.lit(0.99)).alias("_p"))
+    high = df.join(top, "series_id").where("value > _p").withColumn("_b", F.window("timestamp", TRUTH_BUCKET)["start"])
+    spans = high.groupBy("series_id", "_b").agg(F.min("timestamp").alias("start_ts"), F.max("timestamp").alias("end_ts"))
+    return spans.select("series_id", (F.row_number().over(Window.partitionBy("series_id").orderBy("start_ts")) - 1).cast("long").alias("interval_id"), "start_ts", "end_ts")
+
+
+def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled points of the adaptive z-score, with truth; the intervals by index."""
+    df = events(spark, sf_dir)
+    spans = intervals(df)
+    marked = evaluate.point_mask(df, spans).select("series_id", "idx", "truth")
+    return detectors.rolling_zscore(df, threshold=ADAPTIVE).join(marked, ["series_id", "idx"]), evaluate.intervals_to_index(df, spans)
+
+
+METRICS = ("tp", "fp", "fn", "tn", "precision", "recall", "f1", "fpr")
+_S = ("series_id",)
+
+
+@query
+def interval_to_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = events(spark, sf_dir)
+    return evaluate.intervals_to_index(df, intervals(df))
+
+
+@query
+def point_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = events(spark, sf_dir)
+    return out(evaluate.point_mask(df, intervals(df)), "truth")
+
+
+_register("confusion", lambda s, d: evaluate.confusion(judged(s, d)[0]))
+_register("point_metrics", lambda s, d: out(evaluate.point_metrics(judged(s, d)[0]), *METRICS, keys=_S))
+_register("metrics_summary", lambda s, d: evaluate.metrics_summary(evaluate.point_metrics(judged(s, d)[0])))
+_register("fuzzy_eval", lambda s, d: out(evaluate.fuzzy(*judged(s, d), tolerance=5), *METRICS, "score", keys=_S))
+_register("detection_delay", lambda s, d: out(evaluate.detection_delay(judged(s, d)[0]), "delay_samples", "delay_seconds", keys=_S))
+_register("simple_score", lambda s, d: out(evaluate.simple_score(judged(s, d)[0]), "fp", "fn", "score", keys=_S))
+_register("baseline_rank", lambda s, d: out(evaluate.baseline_rank(evaluate.simple_score(judged(s, d)[0])), "score", "vs_htm", "vs_rcf", "vs_skyline", "rank", keys=_S))
+_register("score_contrast", lambda s, d: out(evaluate.score_contrast(judged(s, d)[0]), "inside", "outside", "contrast", keys=_S))
+_register("diagnostic_ratio", lambda s, d: out(evaluate.diagnostic_ratio(judged(s, d)[0]), "detected_percent", "truth_percent", "ratio", keys=_S))
+
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy metrics by series, algorithm and sensitivity."""
+    df = events(spark, sf_dir)
+    spans = evaluate.intervals_to_index(df, intervals(df))
+    out_ = None
+    for threshold in ("Low", "Medium"):
+        for name in NAMES:
+            one = evaluate.fuzzy(ensemble.detect(df, name, **ensemble.preset(name, threshold)), spans, 5)
+            one = one.select("series_id", F.lit(name).alias("algorithm"), F.lit(threshold).alias("threshold"), "precision", "recall", "f1", "tp", "fp", "fn")
+            out_ = one if out_ is None else out_.unionByName(one)
+    return out_
+
+
+_register("eval_grid", lambda s, d: out(grid(s, d), "precision", "recall", "f1", "tp", "fp", "fn", keys=("series_id", "algorithm", "threshold")))
+_register("eval_means", lambda s, d: evaluate.grouped_mean(grid(s, d), ("algorithm", "threshold")))
+_register("eval_pivot", lambda s, d: evaluate.pivot_f1(evaluate.grouped_mean(grid(s, d), ("algorithm", "threshold")), ("Low", "Medium")))
+_register("eval_averages", lambda s, d: out(evaluate.averages(grid(s, d)), "avg_precision", "avg_recall", "avg_f1", "std_f1", "best", keys=("algorithm",)))
+
+
+@query
+def scalability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speedup if time falls with the square root of the cores, by region key for cores."""
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet")
+    times = regions.select((F.col("r_regionkey") + 1).cast("int").alias("cores"), (F.lit(100.0) / F.sqrt(F.col("r_regionkey") + 1)).alias("seconds"))
+    return out(evaluate.scalability(times), "seconds", "speedup", "efficiency", keys=("cores",))
+
+
+def _swept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    df = events(spark, sf_dir)
+    return detectors.global_zscore(df), evaluate.intervals_to_index(df, intervals(df))
+
+
+_register("threshold_sweep", lambda s, d: out(evaluate.sweep(*_swept(s, d)), "raw_score", "tp", "fp", "fn", keys=("threshold",)))
+
+
+@query
+def null_perfect_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The simplified raw score hits - misses - 0.11 false alarms of the adaptive z-score, normalised in each cost profile."""
+    points, spans = judged(spark, sf_dir)
+    total = evaluate.fuzzy(points, spans, 5).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    out_ = None
+    for name, (hit, miss, alarm) in evaluate.PROFILES.items():
+        raw = total.select(F.lit(name).alias("profile"), (hit * F.col("tp") - miss * F.col("fn") - alarm * F.col("fp")).alias("raw_score"))
+        one = evaluate.normalised(raw, spans, name)
+        out_ = one if out_ is None else out_.unionByName(one)
+    return out(out_, "raw_score", "null_raw", "perfect_raw", "score", keys=("profile",))
+
+
+@query
+def iforest_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = events(spark, sf_dir)
+    return out(evaluate.fuzzy(forest.isolation_forest(df), evaluate.intervals_to_index(df, intervals(df)), 5), *METRICS, keys=_S)
