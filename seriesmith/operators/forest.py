@@ -119,8 +119,9 @@ def isolation_forest(df: DataFrame, contamination: float = 0.01, trees: int = 10
             forest.append(t)
         return pa.table({"series_id": group.column("series_id"), "idx": group.column("idx"), "_a": pa.array(anomaly(forest, x, row["size"]))})
 
-    runs = run.select("series_id", "_run").distinct().join(planted, "series_id")
-    scored = run.select("series_id", "_run", "idx", *columns).groupBy("series_id", "_run").cogroup(runs.groupBy("series_id", "_run")).applyInArrow(score, "series_id string, idx long, _a double")
+    named = lambda df, *names: df.select(*(F.col(c).alias(f"of_{c}" if c in ("series_id", "_run") else c) for c in names))
+    runs = named(run, "series_id", "_run").distinct().join(named(planted, *planted.columns), "of_series_id")
+    scored = run.select("series_id", "_run", "idx", *columns).groupBy("series_id", "_run").cogroup(runs.groupBy("of_series_id", "of__run")).applyInArrow(score, "series_id string, idx long, _a double")
     scored = stats(scored, {"_lo": F.min("_a"), "_hi": F.max("_a"), "_t": F.percentile("_a", F.lit(1 - contamination))}, joined)
     scored = scored.select("series_id", "idx", quotient(F.col("_a") - F.col("_lo"), F.col("_hi") - F.col("_lo")).alias("score"), (F.col("_a") > F.col("_t")).cast("int").alias("label"))
     out = df.join(scored, ["series_id", "idx"]).withColumn("detection_type", F.when(F.col("label") == 1, "Spike").otherwise(""))

@@ -100,11 +100,11 @@ def test_matrix_downsample_histogram(series):
 def test_zscore_finds_the_spike_whatever_scale(series):
     spiked = [*WAVE[:150], 500.0, *WAVE[151:]]
     df = series({"a": spiked, "b": [3 * v - 7 for v in spiked], "flat": [5.0] * 100, "one": [1.0]})
-    got = detectors.rolling_zscore(df, threshold=Threshold("adaptive_std", k=5.0))
+    got = detectors.rolling_zscore(df, threshold=Threshold("adaptive_std", k=4.0))
     assert [r.idx for r in got.where("label = 1 and series_id = 'a'").collect()] == [150]
     close(values(got, "score"), values(got, "score", "b"))
     assert got.where("series_id in ('flat', 'one') and (label = 1 or score <> 0)").count() == 0
-    chunked = detectors.rolling_zscore(df, threshold=Threshold("adaptive_std", k=5.0), chunk=32)
+    chunked = detectors.rolling_zscore(df, threshold=Threshold("adaptive_std", k=4.0), chunk=32)
     close(values(got, "score"), values(chunked, "score"))
 
 
@@ -126,11 +126,11 @@ def test_mean_shift_labels_one_row_of_each_run(series):
 def test_hybrid_types(series):
     flat = [*WAVE[:120], *[WAVE[119]] * 60, *WAVE[180:]]
     burst = [v if not 200 <= k < 215 else v + (60 if k % 2 else -60) for k, v in enumerate(flat)]
-    got = detectors.hybrid(series({"a": burst}))
+    got = detectors.hybrid(series({"a": burst}), fixed=(3.5, 1.2, 1.0))
     found = got.where("label = 1").groupBy("detection_type").count().collect()
     kinds = {r.detection_type: r["count"] for r in found}
     assert kinds["Flatline"] == 1 and kinds.get("Volatility", 0) >= 1
-    chunked = detectors.hybrid(series({"a": burst}), chunk=64)
+    chunked = detectors.hybrid(series({"a": burst}), fixed=(3.5, 1.2, 1.0), chunk=64)
     close(values(got, "score"), values(chunked, "score"))
     assert values(got, "detection_type") == values(chunked, "detection_type")
 
