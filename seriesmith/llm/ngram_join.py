@@ -2,23 +2,27 @@
 
 1. Every text becomes its sorted set of word-shingle hashes; equal sets are one
    class, so exact copies cost one row.
-2. Candidates are found by an exact pigeonhole filter. Sizes fall into
-   overlapping slots; within a slot two linked sets differ in at most D
-   shingles, so that of m = D + 1 + s buckets of the hash range 1 + s at least
+2. An exact pigeonhole filter finds the classes that may have a partner. Sizes
+   fall into overlapping slots; within a slot two linked sets differ in at most
+   D shingles, so that of m = D + 1 + s buckets of the hash range 1 + s at least
    hold the same shingles in both. Buckets with one shingle, or only with very
-   common ones, are left out where a set has at most s of them. Rows with the
-   same bucket content meet after one shuffle and are joined to the first of
-   them: a star, never all pairs of a group.
-3. Connected candidates share a block, blocks being split into pairs of chunks
-   when they grow. In a block, DivideSkip answers each set's T-occurrence query:
-   the short inverted lists are merged as sorted runs, the long ones probed by
-   binary search, and sets that reach the required overlap are links.
+   common ones, are left out where a set has at most s of them. A class whose
+   every bucket is its own has no link.
+3. Of the rest, shingles are counted by class, and each class keeps its rarest:
+   two linked sets share one at least of their prefixes, 1 + size - required
+   overlap shingles in the order of frequency. Classes that share one are joined
+   to the first of them, a star and never all pairs, and connected ones share a
+   block; a block that grows is split into pairs of chunks.
+4. In a block, DivideSkip answers each set's T-occurrence query: the short
+   inverted lists are merged as sorted runs, the long ones probed by binary
+   search, and sets that reach the required overlap are links.
 
 Nothing is sampled or capped: every link between different sets is found.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -35,6 +39,8 @@ COMMON = 1 << 16
 #: Shingles of a block.
 BLOCK = 2_000_000
 SALTS = 16
+#: Frequencies of shingles are counted up to this.
+MOST_DF = 1 << 20
 
 
 class Slots:
@@ -93,7 +99,7 @@ def _profile(text: str, n: int):
 
 def _signatures(text: str, n: int, num: int, den: int, common):
     def run(batches):
-        slots, hot = Slots(num, den), common.value
+        slots, hot = Slots(num, den), common.value[0]
         for batch in batches:
             done, out = set(), []
             for _, s in _sets(batch, text, n):
@@ -129,8 +135,27 @@ def _signatures(text: str, n: int, num: int, den: int, common):
     return run
 
 
+def _shared(batches):
+    """Sorted by (sig, salt, digest): the classes in runs of several, and those of salted runs."""
+    last, before = None, None
+    for batch in batches:
+        sig, salt, name = (np.asarray(batch.column(k)) for k in ("sig", "salt", "digest"))
+        if not len(sig):
+            continue
+        if last is not None:
+            sig, salt, name = np.r_[last[0], sig], np.r_[last[1], salt], np.r_[last[2], name]
+        same = (sig[1:] == sig[:-1]) & (salt[1:] == salt[:-1]) & (name[1:] != name[:-1])
+        found = salt >= 0
+        found[1:] |= same
+        found[:-1] |= same
+        last = sig[-1], salt[-1], name[-1]
+        names = np.unique(name[found])
+        if len(names):
+            yield pa.RecordBatch.from_arrays([pa.array(names)], ["digest"])
+
+
 def _stars(batches):
-    """Sorted by (sig, salt, digest): an edge from the first of a run to each other; a salted run is tied to its signature too."""
+    """Sorted by (sig, salt, digest): an edge from the first of a run to each other; a salted run is tied to its shingle too."""
     last = hub = None
     for batch in batches:
         sig, salt, name = (np.asarray(batch.column(k)) for k in ("sig", "salt", "digest"))
@@ -148,17 +173,67 @@ def _stars(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs.a)), pa.array(np.ascontiguousarray(pairs.b))], ["a", "b"])
 
 
-def _candidate_sets(text: str, n: int, wanted):
+def _frequencies(batches):
+    """Sorted by token: (digest, token, df) of the tokens that several classes have; df counts up to MOST_DF."""
+    token, held, count = None, [], 0
+
+    def flush():
+        if held and count > 1:
+            names = np.concatenate(held)
+            yield names, np.full(len(names), token), np.full(len(names), min(count, MOST_DF))
+
+    for batch in batches:
+        tokens, names = np.asarray(batch.column("token")), np.asarray(batch.column("digest"))
+        if not len(tokens):
+            continue
+        out = []
+        bounds = np.r_[0, np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, len(tokens)]
+        if tokens[0] != token:
+            out += flush()
+            token, held, count = tokens[0], [], 0
+        held.append(names[: bounds[1]])
+        count += int(bounds[1])
+        if count >= MOST_DF:  # told at once, as later rows cannot change it
+            out += flush()
+            held = []
+        if len(bounds) > 2:
+            out += flush()
+            sizes = np.diff(bounds[1:-1])
+            inner = slice(bounds[1], bounds[-2])
+            df = np.repeat(sizes, sizes)
+            some = df > 1
+            out.append((names[inner][some], tokens[inner][some], np.minimum(df[some], MOST_DF)))
+            token, held, count = tokens[-1], [names[bounds[-2] :]], int(bounds[-1] - bounds[-2])
+        if out:
+            yield _frequency_batch(out)
+    if out := list(flush()):
+        yield _frequency_batch(out)
+
+
+def _frequency_batch(parts):
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in parts]).astype(np.int64)) for k in range(3)], ["digest", "token", "df"])
+
+
+def _candidate_sets(text: str, n: int, wanted, common):
+    """(digest, plain, common) of classes that the filter has: shingles that are not common, and the common ones from the least common on."""
+
     def run(batches):
         bits = wanted.value
+        hot, rank = common.value
         for batch in batches:
             found = {}
             for _, s in _sets(batch, text, n):
                 name = shared.digest(s)
                 at = name % FILTER_BITS
                 if len(s) and name not in found and bits[at >> 6] >> (at & 63) & 1:
-                    found[name] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["digest", "shingles"])
+                    if len(hot):
+                        place = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+                        is_hot = hot[place] == s
+                        found[name] = shared.signed(s[~is_hot]), shared.signed(s[is_hot][np.argsort(-rank[place[is_hot]])])
+                    else:
+                        found[name] = shared.signed(s), shared.signed(s[:0])
+            lists = [pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x[k]) for x in found.values()])].astype(np.int32), np.concatenate([*(x[k] for x in found.values()), np.empty(0, np.int64)])) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), *lists], ["digest", "plain", "common"])
 
     return run
 
@@ -235,7 +310,9 @@ def _links(num: int, den: int):
 
     def run(table):
         names, copies, chunk = (np.asarray(table.column(k).combine_chunks()) for k in ("digest", "copies", "chunk"))
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        lists = table.column("shingles").combine_chunks()
+        values, at = np.asarray(lists.values).view(np.uint64), np.asarray(lists.offsets)
+        sets = [np.sort(values[a:b]) for a, b in itertools.pairwise(at)]
         cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
         links = np.zeros(len(sets), np.int64)
         root = list(range(len(sets)))
@@ -277,30 +354,47 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     profile = shared.cut(docs.mapInArrow(_profile("text", n), "doc_id long, digest long, n long, is_doc boolean"), "profile")
     rows = profile.where("is_doc").drop("is_doc")
     hot = [r[0] for r in profile.where("not is_doc").groupBy("digest").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "digest").limit(COMMON).select("digest").collect()]
-    common = spark.sparkContext.broadcast(np.sort(np.array(hot, np.int64).view(np.uint64)))
+    hot = np.array(hot, np.int64).view(np.uint64)
+    by = np.argsort(hot)
+    common = spark.sparkContext.broadcast((hot[by], by))  # rank 0 is the most common
     texts = docs.select("text")
-    signatures = texts.mapInArrow(_signatures("text", n, num, den, common), "sig long, salt byte, digest long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = signatures.repartition(parts, "sig", "salt").sortWithinPartitions("sig", "salt", "digest").mapInArrow(_stars, "a long, b long")
-    coarse = shared.cut(shared.components(edges), "coarse")
-
-    classes = shared.cut(rows.groupBy("digest").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
-    members = classes.join(coarse.withColumnRenamed("node", "digest"), "digest")
-    members = shared.cut(members.select("digest", "n", "copies", "label"), "members")
+    dealt = lambda df: df.repartition(parts, "sig", "salt").sortWithinPartitions("sig", "salt", "digest")
+    signatures = texts.mapInArrow(_signatures("text", n, num, den, common), "sig long, salt byte, digest long")
+    maybe = shared.cut(dealt(signatures).mapInArrow(_shared, "digest long").distinct(), "maybe")
     bits = np.zeros(FILTER_BITS >> 6, np.uint64)
     at = F.pmod("digest", F.lit(FILTER_BITS))
-    for r in members.select(F.shiftright(at, 6).alias("w"), at.alias("at")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("bits")).toLocalIterator():
+    for r in maybe.select(F.shiftright(at, 6).alias("w"), at.alias("at")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("bits")).toLocalIterator():
         bits[r["w"]] = r["bits"] & (2**64 - 1)
     wanted = spark.sparkContext.broadcast(bits)
 
-    groups = members.groupBy("label").agg(F.sum("n").alias("volume"))
+    sets = texts.mapInArrow(_candidate_sets("text", n, wanted, common), "digest long, plain array<bigint>, common array<bigint>")
+    sets = shared.cut(sets.groupBy("digest").agg(F.first("plain").alias("plain"), F.first("common").alias("common")), "sets")
+    tokens = sets.select("digest", F.explode("plain").alias("token")).repartition(parts, "token").sortWithinPartitions("token")
+    rare = tokens.mapInArrow(_frequencies, "digest long, token long, df long").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("rare"))
+    size = F.size("plain") + F.size("common")
+    prefix = size - F.ceil(size * num / den).cast("int") + 1
+    alone = F.size("plain") - F.size("rare")  # shingles of no other class come first
+    none = F.array().cast("array<struct<df:bigint,token:bigint>>")
+    picked = sets.join(rare, "digest", "left").withColumn("rare", F.coalesce("rare", none)).withColumns({"p": prefix, "alone": alone}).select(
+        "digest",
+        F.concat(
+            F.transform(F.slice("rare", F.lit(1), F.greatest(F.lit(0), F.col("p") - F.col("alone"))), lambda x: F.struct(x["token"].alias("sig"), F.lit(-1).cast("byte").alias("salt"))),
+            F.transform(F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("p") - F.size("plain"))), lambda x: F.struct(x.alias("sig"), F.pmod("digest", F.lit(SALTS)).cast("byte").alias("salt"))),
+        ).alias("picked"),
+    )
+    postings = picked.select("digest", F.explode("picked").alias("x")).select("x.sig", "x.salt", "digest")
+    coarse = shared.cut(shared.components(dealt(postings).mapInArrow(_stars, "a long, b long")), "coarse")
+
+    classes = shared.cut(rows.groupBy("digest").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
+    members = shared.cut(classes.join(coarse.withColumnRenamed("node", "digest"), "digest").select("digest", "n", "copies", "label"), "members")
+    groups = members.groupBy("label").agg(F.sum("n").alias("volume"), F.count("*").alias("kinds")).where("kinds > 1")
     total = members.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-int(total) // BLOCK))
     groups = groups.select("label", F.greatest(F.lit(1), F.ceil(F.col("volume") / F.lit(BLOCK))).cast("int").alias("chunks"))
     placed = members.join(groups, "label").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("block", F.when(F.col("chunks") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(bins))))
-    sets = texts.mapInArrow(_candidate_sets("text", n, wanted), "digest long, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
-    placed = placed.join(sets, "digest").select("digest", "copies", "shingles", "chunk", (F.col("chunks") > 1).alias("large"), "block", F.explode(F.expr("sequence(0, chunks - 1)")).alias("k"))
+    placed = placed.join(sets, "digest").select("digest", "copies", F.concat("plain", "common").alias("shingles"), "chunk", (F.col("chunks") > 1).alias("large"), "block", F.explode(F.expr("sequence(0, chunks - 1)")).alias("k"))
     placed = placed.withColumn("i", F.least("chunk", "k")).withColumn("j", F.greatest("chunk", "k")).drop("k")
     found = shared.cut(placed.groupBy("large", "block", "i", "j").applyInArrow(_links(num, den), "digest long, other long, links long"), "links")
 
