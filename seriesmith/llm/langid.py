@@ -209,7 +209,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", d
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
     names = [f"kept_{k}" for k in range(len(keep))]
-    source = docs.select(*(F.col(c).alias(x) for c, x in zip(keep, names, strict=True)), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = docs.select(*(shared.named(c).alias(x) for c, x in zip(keep, names, strict=True)), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
         model = held.value

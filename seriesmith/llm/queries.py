@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, media, ngram_join, packing, secrets, shared, toxicity, url_filter, vafile
+from . import bpe, langid, lm, media, ngram_join, oracles, packing, secrets, shared, toxicity, url_filter, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,4 +69,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_url_filter, op3_toxicity, op4_language_id, op5_byte_bpe, op6_media_columns, op7_secret_scan, op8_exact_top_k, op9_best_fit_packing, op10_lm_scoring)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracles.NGRAM_JACCARD,
+    "op2_url_filter": oracles.url_filter(RULES, LISTED),
+    "op7_secret_scan": oracles.SECRETS,
+    "op8_exact_top_k": oracles.TOP_K,
+}

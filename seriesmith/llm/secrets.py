@@ -58,7 +58,7 @@ def find(docs: DataFrame, text: str = "text", owner: str = "source", repository:
     `wide` owners or more hold, owned mixed tokens of one owner.
     """
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
-    rows = docs.select(F.struct(*keep).alias("kept"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), part(owner).alias("owner"), F.concat_ws("\1", *map(part, repository)).alias("repo"))
+    rows = docs.select(F.struct(*map(shared.named, keep)).alias("kept"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), part(owner).alias("owner"), F.concat_ws("\1", *map(part, repository)).alias("repo"))
     t = F.col("text")
     always = lambda v: F.lit(True)
     base = F.concat(_spans(t, ASSIGN, 0, 1, lambda v: F.length(v) >= 6), _spans(t, ACCESS, 1, 0, always), _spans(t, HEX, 2, 0, always))
@@ -91,14 +91,14 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str
     found = find(docs, text, owner, repository, wide, (doc_id,))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     size = lambda c: F.size(c).cast("long").alias(f"n_{c}")
-    return found.select(F.col("kept")[doc_id].alias("doc_id"), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "owned")).alias("spans"), size("live"), size("copied"), size("owned"))
+    return found.select(F.col("kept").getField(doc_id).alias("doc_id"), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "owned")).alias("spans"), size("live"), size("copied"), size("owned"))
 
 
 def redact(docs: DataFrame, text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), wide: int = WIDE, mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns, with every live base span and owned token of the text replaced by mark; spans that overlap become one."""
     found = find(docs, text, owner, repository, wide, tuple(docs.columns))
     spans = F.array_sort(F.concat("live", "owned"))
-    t = F.col("kept")[text]
+    t = F.col("kept").getField(text)
 
     def step(acc: Column, s: Column) -> Column:
         new = s["start"] >= acc["at"]
@@ -107,4 +107,4 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repositor
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], t.substr(acc["at"].cast("int") + 1, F.length(t))))
-    return found.select(*(F.when(F.size(spans) > 0, clean).otherwise(t).alias(c) if c == text else F.col("kept")[c].alias(c) for c in docs.columns))
+    return found.select(*(F.when(F.size(spans) > 0, clean).otherwise(t).alias(c) if c == text else F.col("kept").getField(c).alias(c) for c in docs.columns))

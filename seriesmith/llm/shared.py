@@ -38,6 +38,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(column: str):
+    """The column of exactly that name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the column as text, modulo modulus; a null counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 
 #: Labelled texts of either label that are learnt from, at most on average.
 SAMPLE = 3000
@@ -208,7 +210,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, text: str = "text", d
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"kept_{k}" for k in range(len(keep))]
-    source = docs.select(*(F.col(c).alias(x) for c, x in zip(keep, names, strict=True)), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = docs.select(*(shared.named(c).alias(x) for c, x in zip(keep, names, strict=True)), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
         model = held.value
