@@ -40,16 +40,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     docs is read from files, so that both scans number its rows alike.
     """
-    rows = docs.withColumn("row_of_input", F.monotonically_increasing_id())
-    groups = ngram_join.ngram_jaccard_join(rows, doc_id="row_of_input", n=WORDS, num=SIMILAR[0], den=SIMILAR[1])
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("row_of_input"))
-    return rows.join(stay, "row_of_input", "left_semi").drop("row_of_input").select(*docs.columns)
+    row = "row" + "_" * max(map(len, docs.columns))  # a name that none of them has
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    groups = ngram_join.ngram_jaccard_join(rows, doc_id=row, n=WORDS, num=SIMILAR[0], den=SIMILAR[1])
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias(row))
+    return rows.join(stay, row, "left_semi").select(*map(shared.named, docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials are masked in the texts; n_chars follows."""
     clean = secrets.redact(docs)
-    return clean.select(*(F.coalesce(F.length("text"), F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return clean.select(*(F.coalesce(F.length("text"), F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else shared.named(c) for c in docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
