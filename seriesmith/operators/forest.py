@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.core import frames, quotient, stats
@@ -87,14 +87,17 @@ def anomaly(forest: list[Tree], x: np.ndarray, size: int) -> np.ndarray:
 def isolation_forest(df: DataFrame, contamination: float = 0.01, trees: int = 100, width: int = 20, seed: int = 42, chunk: int | None = None) -> DataFrame:
     """score: anomaly by the mean isolation depth, scaled to 0..1 by series; label: beyond the contamination quantile.
 
-    The trees of a series are grown from POOL of its rows at most, chosen by a
-    hash of idx, in one small task a series; all rows are then scored in tasks
+    The trees of a series are grown from about POOL of its rows, or all of a
+    shorter one, chosen by a hash of idx, in one small task a series; all rows are then scored in tasks
     that hold a run of one series' rows. Rows that score alike get one label.
     """
     joined = True
     rows = forest_features(df, width, chunk).fillna(0.0, list(FEATURES))
-    by_hash = Window.partitionBy("series_id").orderBy(F.xxhash64("idx", F.lit(seed)), "idx")
-    pool = rows.withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= POOL)
+    # a share of a long series' rows, by a hash of idx: about POOL of them, in no more than partial aggregation
+    counted = rows.groupBy("series_id").agg(F.count("*").alias("_n"))
+    share = F.least(F.lit(1.0), F.lit(float(POOL)) / F.col("_n"))
+    chance = F.pmod(F.xxhash64("idx", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    pool = rows.join(counted, "series_id").where(chance < share)
     columns = list(FEATURES)
 
     def plant(group):
