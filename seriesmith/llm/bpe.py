@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -20,31 +21,71 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of the caches of encoded pieces and of checked token pairs, emptied when full.
-PIECES, PAIRS = 250_000, 400_000
+#: Entries of the cache of encoded pieces, of which two generations are kept, and of checked token pairs.
+PIECES, PAIRS = 120_000, 600_000
+_NONE = 1 << 60
+
+
+def _ranges(pattern: str) -> str:
+    """What of the basic plane matches, as ranges of a character class."""
+    found, out = [c for c in range(1 << 16) if not 0xD800 <= c < 0xE000 and regex.match(pattern, chr(c))], []
+    for c in found:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in out)
+
+
+class Splitter:
+    """findall of a pattern of \\p{L}, \\p{N}, \\s and \\S; texts of the basic plane go through plain character classes, which are faster."""
+
+    def __init__(self, pattern: str):
+        self.general = regex.compile(pattern)
+        plain = pattern
+        for name, of in ((r"\p{L}", r"\p{L}"), (r"\p{N}", r"\p{N}"), (r"\s", r"\s")):
+            ranges = _ranges(of)
+            inside = re.sub(r"(\[[^\]]*)" + re.escape(name), lambda m, r=ranges: m[1] + r, plain)
+            plain = inside.replace(name, f"[{ranges}]")
+            if name == r"\s":
+                plain = plain.replace(r"\S", f"[^{ranges}]")
+        try:
+            self.plain = re.compile(plain)
+        except re.error:
+            self.plain = None
+
+    def findall(self, text: str) -> list[str]:
+        if self.plain and (text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text)):
+            return self.plain.findall(text)
+        return self.general.findall(text)
 
 
 class PrefixBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.ranks, self.pattern = ranks, Splitter(pattern)
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """BPE by its definition: again and again the leftmost pair of lowest rank; for short pieces."""
+        rank = self.ranks.get
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min(((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))
-            if rank == 1 << 60:
-                break
+        pairs = [rank(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (least := min(pairs)) < _NONE:
+            at = pairs.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], _NONE)
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], _NONE)
         return [self.ranks[p] for p in parts]
 
     def fits(self, before: int, token: int) -> bool:
         """Whether BPE leaves these two neighbours as they are."""
-        key = (before, token)
+        key = before << 20 | token
         if (known := self._pairs.get(key)) is None:
             if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
@@ -56,20 +97,25 @@ class PrefixBPE:
             known = self._alone[token] = self.merge(self.bytes_of[token]) == [token]
         return known
 
-    def last_token(self, piece: bytes, end: int, last: list[int]) -> int:
-        """The last token of piece[:end], given those of all shorter prefixes (last[0] is unused)."""
-        ranks = self.ranks
-        for start in range(max(0, end - self.longest), end):
-            token = ranks.get(piece[start:end])
-            if token is not None and (self._reachable(token) if start == 0 else self.fits(last[start], token) and self._reachable(token)):
-                return token
-        raise ValueError("no token for a byte")
-
-    def prefixes(self, piece: bytes, last: list[int] | None = None) -> list[int]:
-        """The last token of every prefix; goes on from those in last."""
+    def prefixes(self, piece: bytes, last: list[int] | None = None, end: int | None = None) -> list[int]:
+        """The last token of every prefix up to end (last[0] is unused); goes on from those in last."""
         last = [-1] if last is None else last
-        for end in range(len(last), len(piece) + 1):
-            last.append(self.last_token(piece, end, last))
+        rank, known, longest = self.ranks.get, self._pairs.get, self.longest
+        for stop in range(len(last), (len(piece) if end is None else end) + 1):
+            # only one candidate is valid, and short ones are the most likely
+            for start in range(stop - 1, max(-1, stop - longest - 1), -1):
+                token = rank(piece[start:stop])
+                if token is None:
+                    continue
+                if start:
+                    fits = known(last[start] << 20 | token)
+                    if fits or fits is None and self.fits(last[start], token):
+                        break
+                elif self._reachable(token):
+                    break
+            else:
+                raise ValueError("no token for a byte")
+            last.append(token)
         return last
 
     def tokens(self, last: list[int]) -> list[int]:
@@ -86,7 +132,7 @@ class PrefixBPE:
         for stop in range(start + 1, len(piece) + 1):
             if same >= self.longest:
                 return piece, out + last[stop - shift :]
-            out.append(self.last_token(piece, stop, out))
+            self.prefixes(piece, out, stop)
             same = same + 1 if stop - shift > end and out[-1] == last[stop - shift] else 0
         return piece, out
 
@@ -116,19 +162,22 @@ class Texts:
     """Whole texts through a bounded cache of pieces: ids as text, and the decoded bytes."""
 
     def __init__(self, bpe: PrefixBPE):
-        self.bpe, self.cache = bpe, {}
+        self.bpe, self.cache, self.old = bpe, {}, {}
 
     def _entry(self, piece: str):
-        ids = self.bpe.encode_piece(piece.encode())
         if len(self.cache) >= PIECES:
-            self.cache.clear()
-        entry = self.cache[piece] = (",".join(map(str, ids)), self.bpe.decode(ids), len(ids))
+            self.cache, self.old = {}, self.cache
+        entry = self.old.get(piece)
+        if entry is None:
+            ids = self.bpe.encode_piece(piece.encode())
+            entry = (",".join(map(str, ids)), self.bpe.decode(ids), len(ids))
+        self.cache[piece] = entry
         return entry
 
     def __call__(self, text: str) -> tuple[int, str, bytes]:
-        get, found = self.cache.get, []
+        found = []
         for piece in self.bpe.pattern.findall(text):
-            found.append(get(piece) or self._entry(piece))
+            found.append(self.cache.get(piece) or self._entry(piece))
         if not found:
             return 0, "", b""
         ids, decoded, n = zip(*found, strict=True)
