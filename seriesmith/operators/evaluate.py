@@ -18,6 +18,8 @@ BASELINES = {"HTM": 70.5, "Random Cut Forest": 51.7, "Skyline": 35.7, "Random":
 #: Cost profiles: weights of a hit, a miss and a false alarm (fixed values).
 PROFILES = {"standard": (1.0, 1.0, 0.11), "reward_low_FP": (1.0, 1.0, 0.22), "reward_low_FN": (1.0, 2.0, 0.11)}
 PROBATION = 0.15
+#: Slices of the scores over which a sweep is dealt out.
+SLICES = 4096
 
 
 def intervals_to_index(df: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -122,8 +124,9 @@ def baseline_rank(scores: DataFrame) -> DataFrame:
 
 def scalability(times: DataFrame) -> DataFrame:
     """speedup and efficiency of (cores, seconds) against one core; nothing without its time."""
-    one = times.where("cores = 1 and seconds is not null").select(F.col("seconds").alias("_one")).limit(1)
-    return times.where("seconds > 0").join(F.broadcast(one)).select("cores", "seconds", (F.col("_one") / F.col("seconds")).alias("speedup"), (F.col("_one") / F.col("seconds") / F.col("cores")).alias("efficiency"))
+    one = times.where("cores = 1").agg(F.min("seconds")).scalar()
+    rows = times.where("seconds > 0").withColumn("speedup", one / F.col("seconds")).where("speedup is not null")
+    return rows.select("cores", "seconds", "speedup", (F.col("speedup") / F.col("cores")).alias("efficiency"))
 
 
 def metrics_summary(metrics: DataFrame) -> DataFrame:
@@ -143,8 +146,8 @@ def pivot_f1(means: DataFrame, thresholds: tuple[str, ...]) -> DataFrame:
 def averages(results: DataFrame) -> DataFrame:
     """By algorithm the means and the population deviation of f1, and whether it is the best by mean f1."""
     per = results.groupBy("algorithm").agg(F.avg("precision").alias("avg_precision"), F.avg("recall").alias("avg_recall"), F.avg("f1").alias("avg_f1"), F.stddev_pop("f1").alias("std_f1"))
-    best = per.agg(F.max_by("algorithm", F.struct("avg_f1", "algorithm")).alias("_best"))
-    return per.join(F.broadcast(best)).withColumn("best", (F.col("algorithm") == F.col("_best")).cast("int")).drop("_best")
+    best = per.agg(F.max_by("algorithm", F.struct("avg_f1", "algorithm"))).scalar()
+    return per.withColumn("best", (F.col("algorithm") == best).cast("int"))
 
 
 def score_contrast(df: DataFrame) -> DataFrame:
@@ -196,16 +199,21 @@ def sweep(df: DataFrame, spans: DataFrame, profile: str = "standard", probation:
     down = firsts.where("_before is not null").select(F.col("_before").alias("t"), (-F.col("_points")).alias("d"), F.lit(-1).alias("tp"), F.lit(0).alias("fp"))
     out = points.where("not _within").select(F.col("score").alias("t"), F.col("_points").alias("d"), F.lit(0).alias("tp"), F.lit(1).alias("fp"))
     steps = up.unionByName(down).unionByName(out).groupBy("t").agg(F.sum("d").alias("d"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
-    high = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    windows = spans.agg(F.count("*").alias("_windows"))
-    swept = steps.select("t", F.sum("d").over(high).alias("d"), F.sum("tp").over(high).alias("tp"), F.sum("fp").over(high).alias("fp")).join(F.broadcast(windows))
-    scored = swept.select(F.col("t").alias("threshold"), (F.col("d") - miss * (F.col("_windows") - F.col("tp"))).alias("raw_score"), "tp", "fp", (F.col("_windows") - F.col("tp")).alias("fn"))
+    # scores lie in 0..1: running sums within slices of them, and sums of the slices above, of which there are few
+    steps = steps.withColumn("_slice", F.floor(F.col("t") * SLICES))
+    parts = ("d", "tp", "fp")
+    above = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    slices = steps.groupBy("_slice").agg(*(F.sum(c).alias(c) for c in parts)).select("_slice", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_{c}") for c in parts))
+    high = Window.partitionBy("_slice").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    swept = steps.select("_slice", "t", *(F.sum(c).over(high).alias(c) for c in parts)).join(slices, "_slice")
+    tp, missed = F.col("tp") + F.col("_tp"), spans.agg(F.count("*")).scalar() - F.col("tp") - F.col("_tp")
+    scored = swept.select(F.col("t").alias("threshold"), (F.col("d") + F.col("_d") - miss * missed).alias("raw_score"), tp.alias("tp"), (F.col("fp") + F.col("_fp")).alias("fp"), missed.alias("fn"))
     return scored.orderBy(F.desc("raw_score"), F.desc("threshold")).limit(1)
 
 
 def normalised(raw: DataFrame, spans: DataFrame, profile: str = "standard") -> DataFrame:
     """Adds null_raw, perfect_raw and score: 0 for detecting nothing, 100 for the start of every window and nothing else."""
     hit, miss, _ = PROFILES[profile]
-    windows = spans.agg(F.count("*").alias("_windows"))
-    out = raw.join(F.broadcast(windows)).withColumns({"null_raw": -miss * F.col("_windows"), "perfect_raw": hit * F.col("_windows")}).drop("_windows")
+    windows = spans.agg(F.count("*")).scalar()
+    out = raw.withColumns({"null_raw": -miss * windows, "perfect_raw": hit * windows})
     return out.withColumn("score", quotient(F.col("raw_score") - F.col("null_raw"), F.col("perfect_raw") - F.col("null_raw")) * 100)

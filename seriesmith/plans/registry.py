@@ -69,6 +69,7 @@ def labelled_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("tile", lambda s, d: out(series.tile(events(s, d), 3), "value"))
+_register("synthetic", lambda s, d: out(series.synthetic(s, 10_000), "value"))
 _register("rolling_trailing", lambda s, d: out(features.rolling(events(s, d), 20), "rolling_mean", "rolling_std"))
 _register("rolling_centered", lambda s, d: out(features.rolling(events(s, d), 20, centre=True), "rolling_mean", "rolling_std"))
 _register("rolling_users", lambda s, d: out(features.rolling(users(s, d), 20), "rolling_mean", "rolling_std"))
