@@ -8,12 +8,27 @@ from pyspark.sql import functions as F
 from ..functions.core import ordered, quotient, stats
 
 
-def to_series(df: DataFrame, series: Column | str, timestamp: str, value: Column | str, tie: str | None = None) -> DataFrame:
-    """series_id, idx (from 0, by timestamp and tie-breaker), timestamp, value as double. No global sort."""
+def to_series(df: DataFrame, series: Column | str, timestamp: str, value: Column | str, tie: str | None = None, unit: str | None = None) -> DataFrame:
+    """series_id, idx (from 0, by timestamp and tie-breaker), timestamp, value as double. No global sort.
+
+    unit (hour, day, month ...): rows are numbered within such slices of time and
+    moved on by the counts of the slices before, so that no task sorts a whole
+    series; idx is the same.
+    """
     one = lambda c: F.col(c) if isinstance(c, str) else c
     rows = df.select(one(series).cast("string").alias("series_id"), F.col(timestamp).alias("timestamp"), one(value).cast("double").alias("value"), (F.col(tie) if tie else F.lit(0)).alias("_tie"))
-    by = Window.partitionBy("series_id").orderBy("timestamp", "_tie", "value")
-    return rows.select("series_id", (F.row_number().over(by) - 1).cast("long").alias("idx"), "timestamp", "value")
+    order = ("timestamp", "_tie", "value")
+    if unit is None:
+        by = Window.partitionBy("series_id").orderBy(*order)
+        return rows.select("series_id", (F.row_number().over(by) - 1).cast("long").alias("idx"), "timestamp", "value")
+    first = F.lit("0001-01-01").cast("timestamp")  # rows without a time come first
+    rows = rows.withColumn("_slice", F.coalesce(F.date_trunc(unit, F.col("timestamp").cast("timestamp")), first))
+    before = Window.partitionBy("series_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("series_id", "_slice").agg(F.count("*").alias("_n"))
+    offsets = counts.select("series_id", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy("series_id", "_slice").orderBy(*order)
+    numbered = rows.withColumn("_at", F.row_number().over(within) - 1).join(offsets, ["series_id", "_slice"])
+    return numbered.select("series_id", (F.col("_offset") + F.col("_at")).cast("long").alias("idx"), "timestamp", "value")
 
 
 def validate(df: DataFrame) -> DataFrame:

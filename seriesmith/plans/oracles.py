@@ -204,6 +204,7 @@ SQL: dict[str, str] = {
     "preprocess": sql([*FILLED, f"x AS (SELECT series_id, idx, {INTERPOLATED} AS value FROM f)"], f"series_id, idx, {r('value')}, {r(q(f'value - min(value) OVER ({G})', f'max(value) OVER ({G}) - min(value) OVER ({G})'), 'value_normalized')} FROM x"),
     "series_stats": sql(SERIES, f"series_id, count(value) AS count, {r('avg(value)', 'mean')}, {r('stddev_pop(value)', 'std')}, {r('min(value)', 'min')}, {r('max(value)', 'max')}, {r('median(value)', 'median')}, {r('quantile_cont(value, 0.25)', 'q25')}, {r('quantile_cont(value, 0.75)', 'q75')}, {r('skewness(value)', 'skewness')}, {r('kurtosis(value)', 'kurtosis')} FROM s GROUP BY series_id"),
     "labelled_stats": sql(USERS, f"series_id, count(*) AS rows, {r('avg(value)', 'mean')}, {r('stddev_samp(value)', 'std')}, {r('min(value)', 'min')}, {r('max(value)', 'max')}, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') AS last_ts FROM s GROUP BY series_id"),
+    "series_by_days": sql(SERIES, f"series_id, idx, {r('value')} FROM s"),
     "tile": sql([SERIES, f"n AS (SELECT *, count(*) OVER ({G}) AS total FROM s)"], f"series_id, (idx + k * total)::bigint AS idx, {r('value')} FROM n, range(3) t(k)"),
     "rolling_trailing": sql([SERIES, f"a AS (SELECT *, {rolling(20, 19, 0)} FROM s)"], f"series_id, idx, {r('m', 'rolling_mean')}, {r('sd', 'rolling_std')} FROM a"),
     "rolling_centered": sql([SERIES, f"a AS (SELECT *, {rolling(20, 10, 9)} FROM s)"], f"series_id, idx, {r('m', 'rolling_mean')}, {r('sd', 'rolling_std')} FROM a"),

@@ -69,6 +69,13 @@ def labelled_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("tile", lambda s, d: out(series.tile(events(s, d), 3), "value"))
+@query
+def series_by_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series view, numbered by slices of a day."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return out(series.to_series(rows, "event_type", "ts", "value", "event_id", unit="day"), "value")
+
+
 _register("synthetic", lambda s, d: out(series.synthetic(s, 10_000), "value"))
 _register("rolling_trailing", lambda s, d: out(features.rolling(events(s, d), 20), "rolling_mean", "rolling_std"))
 _register("rolling_centered", lambda s, d: out(features.rolling(events(s, d), 20, centre=True), "rolling_mean", "rolling_std"))

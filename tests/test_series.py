@@ -31,6 +31,15 @@ def test_to_series_breaks_ties(spark):
     assert rows == {("a", 0): 7.0, ("a", 1): 5.0, ("b", 0): 9.0}
 
 
+def test_numbering_by_slices_is_the_same(spark):
+    r = np.random.default_rng(1)
+    rows = [(f"s{k % 3}", None if k % 41 == 0 else datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=int(r.integers(0, 400))), k, float(k % 7)) for k in range(500)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, tie int, v double")
+    for unit in ("hour", "day", "month"):
+        a, b = (sorted(map(str, S.to_series(df, "k", "ts", "v", "tie", unit=u).collect())) for u in (None, unit))
+        assert a == b
+
+
 @pytest.mark.parametrize("gaps", [[None, 1, None, None, 4, None], [None, None], [3, 1, 2]])
 def test_fills(series, gaps):
     df, p = series({"a": gaps}), pd.Series(gaps, dtype=float)
