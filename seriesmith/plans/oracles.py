@@ -192,6 +192,23 @@ FRAME = "OVER ({w} ROWS BETWEEN {a} PRECEDING AND {b} FOLLOWING)"
 _ten, _forty = FRAME.format(w=W, a=9, b=0), FRAME.format(w=W, a=39, b=0)
 _full = lambda f: f"CASE WHEN count(value) {_forty} >= 40 THEN {f} END"
 
+
+
+def sigmoid(x: str) -> str:
+    return f"CASE WHEN {x} > 3.0 THEN -1.0 ELSE 2.0 / (1.0 + exp(5.0 * ({x}))) - 1.0 END"
+
+
+SWEEP = [
+    *GLOBAL, *SPANS,
+    f"sp AS (SELECT series_id, idx, least(zscore / 2.5, 1.0) AS score, count(*) OVER ({G}) AS n FROM z)",
+    "sa AS (SELECT sp.*, start_idx, end_idx FROM (SELECT * FROM sp WHERE idx >= floor(least(n, 5000) * 0.15)) sp ASOF LEFT JOIN ix ON sp.series_id = ix.series_id AND sp.idx >= ix.start_idx)",
+    f"sb AS (SELECT *, coalesce(idx < end_idx, false) AS inside, CASE WHEN end_idx IS NULL THEN -0.11 WHEN idx < end_idx THEN ({sigmoid('-(end_idx - idx)::double / (end_idx - start_idx)')}) / (2.0 / (1.0 + exp(-5.0)) - 1.0) ELSE 0.11 * ({sigmoid('(idx - end_idx + 1)::double / greatest(end_idx - start_idx - 1, 1)')}) END AS points FROM sa)",
+    "st AS (SELECT DISTINCT score AS t FROM sb)",
+    "sw AS (SELECT t, sum(g) AS g, count(*) AS tp FROM (SELECT t, series_id, start_idx, arg_min(points, idx) AS g FROM st JOIN sb ON inside AND score >= t GROUP BY ALL) GROUP BY t)",
+    "so AS (SELECT t, sum(points) AS g, count(*) AS fp FROM st JOIN sb ON NOT inside AND score >= t GROUP BY t)",
+    "sc AS (SELECT t AS threshold, coalesce(sw.g, 0) + coalesce(so.g, 0) - ((SELECT count(*) FROM ix) - coalesce(tp, 0)) AS raw_score, coalesce(tp, 0)::bigint AS tp, coalesce(fp, 0)::bigint AS fp, ((SELECT count(*) FROM ix) - coalesce(tp, 0))::bigint AS fn FROM st LEFT JOIN sw USING (t) LEFT JOIN so USING (t))",
+]
+
 SQL: dict[str, str] = {
     "fill_interpolate": sql(FILLED, f"series_id, idx, {r(INTERPOLATED, 'value')} FROM f"),
     "fill_ffill": sql(FILLED, f"series_id, idx, {r('coalesce(pv, nv)', 'value')} FROM f"),
@@ -253,6 +270,7 @@ SQL: dict[str, str] = {
     "eval_pivot": sql(MEANS, 'algorithm, avg(avg_f1) FILTER (threshold = \'Low\') AS "Low", avg(avg_f1) FILTER (threshold = \'Medium\') AS "Medium" FROM means GROUP BY algorithm'),
     "eval_averages": sql([*GRID, "a AS (SELECT algorithm, avg(precision) AS p, avg(recall) AS rc, avg(f1) AS f, stddev_pop(f1) AS sd FROM grid GROUP BY algorithm)"], f"algorithm, {r('p', 'avg_precision')}, {r('rc', 'avg_recall')}, {r('f', 'avg_f1')}, {r('sd', 'std_f1')}, (row_number() OVER (ORDER BY f DESC, algorithm DESC) = 1)::int AS best FROM a"),
     "scalability": f"SELECT (r_regionkey + 1)::int AS cores, {r('100.0 / sqrt(r_regionkey + 1)', 'seconds')}, {r('sqrt(r_regionkey + 1)', 'speedup')}, {r('sqrt(r_regionkey + 1) / (r_regionkey + 1)', 'efficiency')} FROM region",
+    "threshold_sweep": sql(SWEEP, f"threshold, {r('raw_score')}, tp, fp, fn FROM sc ORDER BY sc.raw_score DESC, threshold DESC LIMIT 1"),
     "null_perfect_norm": sql([*JUDGED, *fuzzy("j", "fz"), "t AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, (SELECT count(*) FROM ix) AS n FROM fz)", "pr AS (SELECT * FROM (VALUES ('standard', 1.0::double, 1.0::double, 0.11::double), ('reward_low_FP', 1.0, 1.0, 0.22), ('reward_low_FN', 1.0, 2.0, 0.11)) x(profile, hit, miss, alarm))", "raw AS (SELECT *, hit * tp - miss * fn - alarm * fp AS raw_score FROM t, pr)"], f"profile, {r('raw_score')}, {r('-miss * n', 'null_raw')}, {r('hit * n', 'perfect_raw')}, {r('(raw_score + miss * n) / (hit * n + miss * n) * 100', 'score')} FROM raw"),
 }
 for _policy, _method, _v in (("fixed", "fixed", 3.0), ("percentile", "percentile", 97.3), ("adaptive", "adaptive", 3.0)):
