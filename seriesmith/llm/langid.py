@@ -187,14 +187,15 @@ def fit(sample: list[tuple[str, str]]) -> LanguageModel:
 
 
 def learn(docs: DataFrame, text: str, lang: str, sample_chars: int = SAMPLE_CHARS) -> LanguageModel | None:
-    """Fits a model on a sample of whole labelled documents, chosen by a hash of their text; None if there are none."""
+    """Fits a model on a sample of whole labelled documents, chosen by a hash of their text, copies once; None if there are none."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     total = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
     if not total:
         return None
     share = F.create_map([F.lit(x) for k, n in total.items() for x in (k, min(1.0, sample_chars / max(n, 1)))])
     chance = F.pmod(F.xxhash64("text"), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    return fit([(r["lang"], r["text"]) for r in labelled.where(chance < share[F.col("lang")]).collect()])
+    chosen = labelled.where(chance < share[F.col("lang")]).distinct()  # a much copied text counts once
+    return fit(sorted((r["lang"], r["text"]) for r in chosen.collect()))
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -233,4 +234,4 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", d
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), batch.column("doc_id"), *made], [*names, "doc_id", "lang_pred", "score", "entropy", "rejected"])
 
     schema = "".join(f"{x} {source.schema[x].dataType.simpleString()}, " for x in names) + "doc_id long, lang_pred string, score double, entropy double, rejected boolean"
-    return source.mapInArrow(run, schema)
+    return shared.map_batches(source, run, schema)

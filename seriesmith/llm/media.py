@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: The signature with which every PNG file begins (fixed by the format).
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples a pixel by colour type (fixed by the format).
@@ -162,7 +164,7 @@ def text_images(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                 images.append(write_png(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(images, pa.binary())], ["doc_id", "n_bytes", "image"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, image binary")
+    return shared.map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, "doc_id long, n_bytes long, image binary")
 
 
 def image_features(images: DataFrame) -> DataFrame:
@@ -185,4 +187,4 @@ def image_features(images: DataFrame) -> DataFrame:
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", *names])
 
-    return images.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return shared.map_batches(images, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, end_id: int = 0, cap
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return shared.map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def best_fit(lengths: np.ndarray, limits: tuple[float, float, float], weights: tuple[float, float, float], rule: str = "norm") -> tuple[np.ndarray, np.ndarray, int]:
@@ -116,6 +116,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, documents: int = CAPACITY,
     limits = (float(capacity), float(documents), float(attention))
 
     def run(key, table):
+        shared.trim()
         lengths = np.asarray(table.column("length").combine_chunks())
         bins, offsets, _ = best_fit(lengths, limits, weights, rule)
         table = table.drop_columns(["group"])

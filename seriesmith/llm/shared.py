@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised code holds at a time, more only for one longer document.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _U = np.uint64
 
@@ -35,7 +38,48 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables that cut() gave and that nothing will read again."""
+    for df in tables:
+        where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Rows of an Arrow batch at most: a batch of long texts must fit into a small executor with its working arrays.
+BATCH_ROWS = 4096
+
+
+def trim() -> None:
+    """Gives freed memory back to the machine, as a worker lives on for tasks of other operators."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of BATCH_ROWS at most; workers give memory back at the end of a task."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans that nothing refers to any more, which Spark removes when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def named(column: str):
@@ -182,7 +226,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        e = cut(small, "edges")
+        e, done = cut(small, "edges"), e
+        drop(done)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break

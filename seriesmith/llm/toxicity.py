@@ -197,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold, text: str = "text", doc_id:
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < share * (1 << 24))
     # about twice `sample` ids: a size that does not grow with the tables
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    return fit([(r["text"] or "", bool(r["toxic"])) for r in rows.select("text", "toxic").collect()])
+    return fit(sorted((r["text"] or "", bool(r["toxic"])) for r in rows.select("text", "toxic").distinct().collect()))
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -218,6 +218,6 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, text: str = "text", d
             scores = [model.score(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*names, "doc_id", "score", "predicted"])
 
-    return source.mapInArrow(run, "".join(f"{x} {source.schema[x].dataType.simpleString()}, " for x in names) + "doc_id long, score double, predicted int")
+    return shared.map_batches(source, run, "".join(f"{x} {source.schema[x].dataType.simpleString()}, " for x in names) + "doc_id long, score double, predicted int")
 
 

@@ -124,7 +124,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
             columns = list(zip(*found, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
-        return rows.mapInArrow(run, schema)
+        return shared.map_batches(rows, run, schema)
 
     out, block, held = [], {}, 0
     for r in itertools.chain(queries.toLocalIterator(prefetchPartitions=True), [None]):
