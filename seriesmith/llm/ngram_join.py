@@ -2,17 +2,16 @@
 
 1. Every text becomes its sorted set of word-shingle hashes; equal sets are one
    class, so exact copies cost one row.
-2. An exact pigeonhole filter finds the classes that may have a partner. Sizes
-   fall into overlapping slots; within a slot two linked sets differ in at most
-   D shingles, so that of m = D + 1 + s buckets of the hash range 1 + s at least
-   hold the same shingles in both. Buckets with one shingle, or only with very
-   common ones, are left out where a set has at most s of them. A class whose
-   every bucket is its own has no link.
-3. Of the rest, shingles are counted by class, and each class keeps its rarest:
-   two linked sets share one at least of their prefixes, 1 + size - required
-   overlap shingles in the order of frequency. Classes that share one are joined
-   to the first of them, a star and never all pairs, and connected ones share a
-   block; a block that grows is split into pairs of chunks.
+2. Shingles are counted over all classes. They travel to their part of the hash
+   range in packed blocks, seven bytes a shingle, and those of several classes
+   come back with their counts. A class that shares fewer of its shingles with
+   others than a link needs has none. Each other class keeps its rarest: two
+   linked sets share one at least of their prefixes, 1 + size - required overlap
+   shingles in the order of frequency. The most common shingles are told to all
+   tasks, come last in that order, and do not travel.
+3. Classes that share a prefix shingle are joined to the first of them, a star
+   and never all pairs, and connected ones share a block; a block that grows is
+   split into pairs of chunks.
 4. In a block, DivideSkip answers each set's T-occurrence query: the short
    inverted lists are merged as sorted runs, the long ones probed by binary
    search, and sets that reach the required overlap are links.
@@ -27,6 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,34 +37,12 @@ FILTER_BITS = 1 << 24
 #: So many common shingles are told to the tasks at most.
 COMMON = 1 << 16
 #: Shingles of a block.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 SALTS = 16
+#: Shingles of a part of the hash range, and bits of a shingle that tell it from others of its part.
+PART, LOW_BITS = 1_000_000, 40
 #: Frequencies of shingles are counted up to this.
-MOST_DF = 1 << 20
-
-
-class Slots:
-    """Size slots for Jaccard >= num / den: slot i holds the sizes from start[i] up to top[i]."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.start = [1]
-
-    def of(self, size: int) -> list[tuple[int, int, int]]:
-        """(slot, buckets, spare) of the slots with that size in which different sets can be linked."""
-        while self.start[-1] <= size or len(self.start) < 3:
-            self.start.append(self.start[-1] * self.den // self.num + 1)
-        k = int(np.searchsorted(self.start, size, "right")) - 1
-        while len(self.start) < k + 3:
-            self.start.append(self.start[-1] * self.den // self.num + 1)
-        out = []
-        for i in (k - 1, k):
-            if i >= 0:
-                differ = 2 * (self.start[i + 2] - 1) * (self.den - self.num) // (self.den + self.num)
-                if differ:
-                    spare = 1 + differ // 16
-                    out.append((i, differ + 1 + spare, spare))
-        return out
+MOST_DF = 1 << 31
 
 
 def _sets(batch, text: str, n: int):
@@ -73,6 +51,12 @@ def _sets(batch, text: str, n: int):
         yield from zip(range(i, j), shared.shingle_sets(data, offsets[i : j + 1], n), strict=True)
 
 
+def _parts(batches, rows: int = 1024):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _profile(text: str, n: int):
     """Per row its class; besides, shingles that several sets of a batch share, with how many."""
 
@@ -97,61 +81,122 @@ def _profile(text: str, n: int):
     return run
 
 
-def _signatures(text: str, n: int, num: int, den: int, common):
+_EMITTED = "batch long, part int, names array<bigint>, sizes array<int>, commons array<int>, owners binary, low binary, df binary"
+
+
+def _emitted(batch, part, names=(), sizes=(), commons=(), owners=(), low=(), df=()):
+    """Rows of _EMITTED; columns that are left out are null."""
+    n = len(batch)
+    fill = lambda x: x if len(x) else [None] * n
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
+    return [pa.array(fill(x), k) for x, k in zip((batch, part, names, sizes, commons, owners, low, df), kinds, strict=True)]
+
+
+_NAMES = [x.split()[0] for x in _EMITTED.split(", ")]
+
+
+def _emit(text: str, n: int, common, parts: int):
+    """Each batch's classes, as a row with a negative part, and their shingles in a block for each part."""
+
     def run(batches):
-        slots, hot = Slots(num, den), common.value[0]
-        for batch in batches:
-            done, out = set(), []
+        hot, rank = common.value
+        task = TaskContext.get().partitionId()
+        for count, batch in enumerate(_parts(batches, 2048)):
+            uid, classes = (task << 24) + count, {}
             for _, s in _sets(batch, text, n):
-                name = shared.digest(s)
-                if name in done or not len(s) or not (mine := slots.of(len(s))):
-                    continue
-                done.add(name)
-                plain = np.ones(len(s), bool)
-                if len(hot):
-                    plain = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] != s
-                mixed = shared.mix(s)
-                high = s >> np.uint64(32)
-                for slot, buckets, spare in mine:
-                    bucket = (high * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                    at, count = bucket[first], np.diff(np.r_[first, len(s)])
-                    strong = (np.add.reduceat(plain, first) > 0) & (count > 1)
-                    content = np.add.reduceat(mixed, first)
-                    if buckets - int(strong.sum()) > spare:
-                        whole = np.zeros(buckets, np.uint64)
-                        whole[at] = content
-                        firm = np.zeros(buckets, bool)
-                        firm[at] = strong
-                        at, content = np.arange(buckets), whole
-                    else:
-                        at, content, firm = at[strong], content[strong], np.ones(int(strong.sum()), bool)
-                    key = shared.mix(content ^ shared.mix(at.astype(np.uint64) + np.uint64(slot << 40) + np.uint64(1)))
-                    out.append((key, np.where(firm, -1, name % SALTS).astype(np.int8), name))
-            if out:
-                sizes = [len(x[0]) for x in out]
-                yield pa.RecordBatch.from_arrays([pa.array(shared.signed(np.concatenate([x[0] for x in out]))), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.repeat(np.array([x[2] for x in out], np.int64), sizes))], ["sig", "salt", "digest"])
+                if len(s):
+                    classes.setdefault(shared.digest(s), s)
+            if not classes:
+                continue
+            sizes = np.array([len(s) for s in classes.values()])
+            tokens, owner = np.concatenate(list(classes.values())), np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+            commons: list[list[int]] = [[] for _ in sizes]
+            if len(hot):
+                place = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+                is_hot = hot[place] == tokens
+                found, of = rank[place[is_hot]], owner[is_hot]
+                for k, r in zip(*(x[np.lexsort((-found, of))].tolist() for x in (of, found)), strict=True):
+                    commons[k].append(r)  # the least common first
+                tokens, owner = tokens[~is_hot], owner[~is_hot]
+            flat = [len(c) for c in commons] + [r for c in commons for r in c]
+            yield pa.RecordBatch.from_arrays(_emitted([uid], [-1 - uid % parts], [list(classes)], [sizes.tolist()], [flat]), _NAMES)
+            part = (tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")
+            part, owner = part[order].astype(np.int64), owner[order]
+            low = np.ascontiguousarray(tokens[order].view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8])
+            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else []
+            spans = list(itertools.pairwise(cuts))
+            if spans:
+                yield pa.RecordBatch.from_arrays(_emitted([uid] * len(spans), part[cuts[:-1]], owners=[owner[a:b].tobytes() for a, b in spans], low=[low[a:b].tobytes() for a, b in spans]), _NAMES)
 
     return run
 
 
-def _shared(batches):
-    """Sorted by (sig, salt, digest): the classes in runs of several, and those of salted runs."""
-    last, before = None, None
-    for batch in batches:
-        sig, salt, name = (np.asarray(batch.column(k)) for k in ("sig", "salt", "digest"))
-        if not len(sig):
-            continue
-        if last is not None:
-            sig, salt, name = np.r_[last[0], sig], np.r_[last[1], salt], np.r_[last[2], name]
-        same = (sig[1:] == sig[:-1]) & (salt[1:] == salt[:-1]) & (name[1:] != name[:-1])
-        found = salt >= 0
-        found[1:] |= same
-        found[:-1] |= same
-        last = sig[-1], salt[-1], name[-1]
-        names = np.unique(name[found])
-        if len(names):
-            yield pa.RecordBatch.from_arrays([pa.array(names)], ["digest"])
+def _unpack(column) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, LOW_BITS // 8)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, : LOW_BITS // 8] = raw
+    return wide.view(np.int64).ravel()
+
+
+def _count(key, group):
+    """A part's shingles that several classes have, with how many, in a row for each batch; rows of classes pass."""
+    if key[0].as_py() < 0:
+        return group
+    low = _unpack(group.column("low"))
+    sizes = [len(x) // 2 for x in group.column("owners").to_pylist()]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(low, kind="stable")
+    first = np.flatnonzero(np.r_[True, low[order][1:] != low[order][:-1]]) if len(low) else np.empty(0, np.int64)
+    times = np.diff(np.r_[first, len(low)])
+    df = np.empty(len(low), np.uint32)
+    df[order] = np.repeat(np.minimum(times, MOST_DF), times)
+    keep = df > 1
+    owners = np.frombuffer(b"".join(group.column("owners").to_pylist()), np.uint16)[keep]
+    cuts = np.r_[0, np.cumsum(np.bincount(row[keep], minlength=len(sizes)))]
+    low, df = low[keep], df[keep]
+    raw = np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8])
+    spans = [(k, a, b) for k, (a, b) in enumerate(itertools.pairwise(cuts)) if b > a]
+    uid = group.column("batch").to_pylist()
+    out = _emitted([uid[k] for k, _, _ in spans], [key[0].as_py()] * len(spans), owners=[owners[a:b].tobytes() for _, a, b in spans], low=[raw[a:b].tobytes() for _, a, b in spans], df=[df[a:b].tobytes() for _, a, b in spans])
+    return pa.Table.from_arrays(out, _NAMES)
+
+
+def _pick(num: int, den: int):
+    """A batch's prefix shingles: (sig, salt, digest) of classes that share enough shingles with others."""
+
+    def run(group):
+        rows = group.to_pylist()
+        token, owner, df = [np.empty(0, np.int64)], [np.empty(0, np.uint16)], [np.empty(0, np.uint32)]
+        about = next(r for r in rows if r["part"] < 0)
+        for r in rows:
+            if r["part"] >= 0:
+                low = _unpack(pa.array([r["low"]], pa.binary()))
+                token.append(low + (r["part"] << LOW_BITS))
+                owner.append(np.frombuffer(r["owners"], np.uint16))
+                df.append(np.frombuffer(r["df"], np.uint32))
+        token, owner, df = map(np.concatenate, (token, owner, df))
+        order = np.lexsort((token, df, owner))
+        token, classes = token[order], len(about["names"])
+        start = np.r_[0, np.cumsum(np.bincount(owner, minlength=classes))]
+        lens, ranks = about["commons"][:classes], about["commons"][classes:]
+        sig, salt, digest, at = [], [], [], 0
+        for k, (name, n, c) in enumerate(zip(about["names"], about["sizes"], lens, strict=True)):
+            mine, hot = token[start[k] : start[k + 1]], ranks[at : at + c]
+            at += c
+            need = -(-num * n // den)
+            shared_ = len(mine) + c
+            if shared_ < need:
+                continue
+            take = n - need + 1 - (n - shared_)  # shingles of no other class come first
+            some = mine[: max(0, take)].tolist()
+            more = [-1 - r for r in hot[: max(0, take - len(mine))]]
+            sig += some + more
+            salt += [-1] * len(some) + [name % SALTS] * len(more)
+            digest += [name] * (len(some) + len(more))
+        return pa.table({"sig": pa.array(sig, pa.int64()), "salt": pa.array(salt, pa.int8()), "digest": pa.array(digest, pa.int64())})
+
+    return run
 
 
 def _stars(batches):
@@ -173,67 +218,20 @@ def _stars(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs.a)), pa.array(np.ascontiguousarray(pairs.b))], ["a", "b"])
 
 
-def _frequencies(batches):
-    """Sorted by token: (digest, token, df) of the tokens that several classes have; df counts up to MOST_DF."""
-    token, held, count = None, [], 0
-
-    def flush():
-        if held and count > 1:
-            names = np.concatenate(held)
-            yield names, np.full(len(names), token), np.full(len(names), min(count, MOST_DF))
-
-    for batch in batches:
-        tokens, names = np.asarray(batch.column("token")), np.asarray(batch.column("digest"))
-        if not len(tokens):
-            continue
-        out = []
-        bounds = np.r_[0, np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, len(tokens)]
-        if tokens[0] != token:
-            out += flush()
-            token, held, count = tokens[0], [], 0
-        held.append(names[: bounds[1]])
-        count += int(bounds[1])
-        if count >= MOST_DF:  # told at once, as later rows cannot change it
-            out += flush()
-            held = []
-        if len(bounds) > 2:
-            out += flush()
-            sizes = np.diff(bounds[1:-1])
-            inner = slice(bounds[1], bounds[-2])
-            df = np.repeat(sizes, sizes)
-            some = df > 1
-            out.append((names[inner][some], tokens[inner][some], np.minimum(df[some], MOST_DF)))
-            token, held, count = tokens[-1], [names[bounds[-2] :]], int(bounds[-1] - bounds[-2])
-        if out:
-            yield _frequency_batch(out)
-    if out := list(flush()):
-        yield _frequency_batch(out)
-
-
-def _frequency_batch(parts):
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in parts]).astype(np.int64)) for k in range(3)], ["digest", "token", "df"])
-
-
-def _candidate_sets(text: str, n: int, wanted, common):
-    """(digest, plain, common) of classes that the filter has: shingles that are not common, and the common ones from the least common on."""
+def _member_sets(text: str, n: int, wanted):
+    """(digest, shingles) of the classes that the filter has, once a batch."""
 
     def run(batches):
         bits = wanted.value
-        hot, rank = common.value
-        for batch in batches:
+        for batch in _parts(batches):
             found = {}
             for _, s in _sets(batch, text, n):
                 name = shared.digest(s)
                 at = name % FILTER_BITS
                 if len(s) and name not in found and bits[at >> 6] >> (at & 63) & 1:
-                    if len(hot):
-                        place = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                        is_hot = hot[place] == s
-                        found[name] = shared.signed(s[~is_hot]), shared.signed(s[is_hot][np.argsort(-rank[place[is_hot]])])
-                    else:
-                        found[name] = shared.signed(s), shared.signed(s[:0])
-            lists = [pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x[k]) for x in found.values()])].astype(np.int32), np.concatenate([*(x[k] for x in found.values()), np.empty(0, np.int64)])) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), *lists], ["digest", "plain", "common"])
+                    found[name] = shared.signed(s)
+            lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in found.values()])].astype(np.int32), np.concatenate([*found.values(), np.empty(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), lists], ["digest", "shingles"])
 
     return run
 
@@ -309,6 +307,7 @@ def _links(num: int, den: int):
     """A block's links as degrees, with copies counted, and one edge for each set joined to another."""
 
     def run(table):
+        shared.trim()
         names, copies, chunk = (np.asarray(table.column(k).combine_chunks()) for k in ("digest", "copies", "chunk"))
         lists = table.column("shingles").combine_chunks()
         values, at = np.asarray(lists.values).view(np.uint64), np.asarray(lists.offsets)
@@ -351,7 +350,7 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    profile = shared.cut(docs.mapInArrow(_profile("text", n), "doc_id long, digest long, n long, is_doc boolean"), "profile")
+    profile = shared.cut(shared.map_batches(docs, _profile("text", n), "doc_id long, digest long, n long, is_doc boolean"), "profile")
     rows = profile.where("is_doc").drop("is_doc")
     hot = [r[0] for r in profile.where("not is_doc").groupBy("digest").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "digest").limit(COMMON).select("digest").collect()]
     hot = np.array(hot, np.int64).view(np.uint64)
@@ -359,44 +358,33 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     common = spark.sparkContext.broadcast((hot[by], by))  # rank 0 is the most common
     texts = docs.select("text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lambda df: df.repartition(parts, "sig", "salt").sortWithinPartitions("sig", "salt", "digest")
-    signatures = texts.mapInArrow(_signatures("text", n, num, den, common), "sig long, salt byte, digest long")
-    maybe = shared.cut(dealt(signatures).mapInArrow(_shared, "digest long").distinct(), "maybe")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    pieces = max(4 * parts, -(-total // PART))
+    emitted = shared.map_batches(texts, _emit("text", n, common, pieces), _EMITTED)
+    postings = emitted.groupBy("part").applyInArrow(_count, _EMITTED).groupBy("batch").applyInArrow(_pick(num, den), "sig long, salt byte, digest long")
+    dealt = postings.repartition(parts, "sig", "salt").sortWithinPartitions("sig", "salt", "digest")
+    coarse = shared.cut(shared.components(shared.map_batches(dealt, _stars, "a long, b long")), "coarse")
+    del emitted, postings, dealt
+    shared.release(spark)
+
+    classes = shared.cut(rows.groupBy("digest").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
+    members = shared.cut(classes.join(coarse.withColumnRenamed("node", "digest"), "digest").select("digest", "n", "copies", "label"), "members")
     bits = np.zeros(FILTER_BITS >> 6, np.uint64)
     at = F.pmod("digest", F.lit(FILTER_BITS))
-    for r in maybe.select(F.shiftright(at, 6).alias("w"), at.alias("at")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("bits")).toLocalIterator():
+    for r in members.select(F.shiftright(at, 6).alias("w"), at.alias("at")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("bits")).toLocalIterator():
         bits[r["w"]] = r["bits"] & (2**64 - 1)
     wanted = spark.sparkContext.broadcast(bits)
-
-    sets = texts.mapInArrow(_candidate_sets("text", n, wanted, common), "digest long, plain array<bigint>, common array<bigint>")
-    sets = shared.cut(sets.groupBy("digest").agg(F.first("plain").alias("plain"), F.first("common").alias("common")), "sets")
-    tokens = sets.select("digest", F.explode("plain").alias("token")).repartition(parts, "token").sortWithinPartitions("token")
-    rare = tokens.mapInArrow(_frequencies, "digest long, token long, df long").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("rare"))
-    size = F.size("plain") + F.size("common")
-    prefix = size - F.ceil(size * num / den).cast("int") + 1
-    alone = F.size("plain") - F.size("rare")  # shingles of no other class come first
-    none = F.array().cast("array<struct<df:bigint,token:bigint>>")
-    picked = sets.join(rare, "digest", "left").withColumn("rare", F.coalesce("rare", none)).withColumns({"p": prefix, "alone": alone}).select(
-        "digest",
-        F.concat(
-            F.transform(F.slice("rare", F.lit(1), F.greatest(F.lit(0), F.col("p") - F.col("alone"))), lambda x: F.struct(x["token"].alias("sig"), F.lit(-1).cast("byte").alias("salt"))),
-            F.transform(F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("p") - F.size("plain"))), lambda x: F.struct(x.alias("sig"), F.pmod("digest", F.lit(SALTS)).cast("byte").alias("salt"))),
-        ).alias("picked"),
-    )
-    postings = picked.select("digest", F.explode("picked").alias("x")).select("x.sig", "x.salt", "digest")
-    coarse = shared.cut(shared.components(dealt(postings).mapInArrow(_stars, "a long, b long")), "coarse")
-
-    classes = shared.cut(rows.groupBy("digest").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
-    members = shared.cut(classes.join(coarse.withColumnRenamed("node", "digest"), "digest").select("digest", "n", "copies", "label"), "members")
+    sets = shared.map_batches(texts, _member_sets("text", n, wanted), "digest long, shingles array<bigint>").groupBy("digest").agg(F.first("shingles").alias("shingles"))
     groups = members.groupBy("label").agg(F.sum("n").alias("volume"), F.count("*").alias("kinds")).where("kinds > 1")
     total = members.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-int(total) // BLOCK))
     groups = groups.select("label", F.greatest(F.lit(1), F.ceil(F.col("volume") / F.lit(BLOCK))).cast("int").alias("chunks"))
     placed = members.join(groups, "label").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("block", F.when(F.col("chunks") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(bins))))
-    placed = placed.join(sets, "digest").select("digest", "copies", F.concat("plain", "common").alias("shingles"), "chunk", (F.col("chunks") > 1).alias("large"), "block", F.explode(F.expr("sequence(0, chunks - 1)")).alias("k"))
+    placed = placed.join(sets, "digest").select("digest", "copies", "shingles", "chunk", (F.col("chunks") > 1).alias("large"), "block", F.explode(F.expr("sequence(0, chunks - 1)")).alias("k"))
     placed = placed.withColumn("i", F.least("chunk", "k")).withColumn("j", F.greatest("chunk", "k")).drop("k")
     found = shared.cut(placed.groupBy("large", "block", "i", "j").applyInArrow(_links(num, den), "digest long, other long, links long"), "links")
+    shared.drop(coarse, members)
 
     label = shared.components(found, "digest", "other")
     least = label.join(classes.select(F.col("digest").alias("node"), "least"), "node")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from seriesmith.llm import shared
-from seriesmith.llm.ngram_join import Slots, divide_skip, ngram_jaccard_join
+from seriesmith.llm.ngram_join import divide_skip, ngram_jaccard_join
 
 SCHEMA = "doc_id long, text string, digest string, n int, label double"
 
@@ -78,17 +78,6 @@ def test_divide_skip_finds_all_links():
     assert got == want and want
 
 
-def test_slots_hold_every_linked_pair_of_sizes():
-    slots = Slots(85, 100)
-    by = {s: dict((i, (m, spare)) for i, m, spare in slots.of(s)) for s in range(1, 400)}
-    for a in range(1, 400):
-        for b in range(a, min(399, a * 100 // 85) + 1):
-            differ = (a + b) * 15 // 185
-            if differ:
-                shared_slots = set(by[a]) & set(by[b])
-                assert any(by[a][i][0] > differ + by[a][i][1] for i in shared_slots)
-
-
 def test_words_and_their_hashes():
     texts = ["The  cat\tsat", "the cat", "", "Ä ä a", "cat"]
     raw = [t.encode() for t in texts]
