@@ -10,6 +10,7 @@ anywhere whole: they meet the documents that need them in one shuffle.
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import mmap
 import tempfile
@@ -24,7 +25,7 @@ from . import shared
 #: The least relative frequency of a kept n-gram, as a power of a half.
 CUT_BITS = 20
 DISCOUNT = 0.75
-#: Documents that are scored together.
+#: Documents that are scored together: so many rows of the input, one after the other.
 GROUP = 2048
 _FIELD = 21
 
@@ -72,6 +73,34 @@ class EliasFano:
             value |= (wide & np.uint64((1 << self.width) - 1)).astype(np.int64)
         return value
 
+    def below(self, high: np.ndarray) -> np.ndarray:
+        """How many numbers have high bits less than these: the place of the high-th zero, without the zeros."""
+        zeros = np.arange(len(self.before), dtype=np.int64) * 8 - self.before
+        at = high - 1
+        byte = np.minimum(np.searchsorted(zeros, at, "right") - 1, len(self.high) - 1)
+        bit = byte * 8 + _SELECT[255 - self.high[byte], np.clip(at - zeros[byte], 0, 7)]
+        return np.where(high <= 0, 0, np.minimum(bit - at, self.n))
+
+    def find(self, target: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Place of each target in [lo, hi), or -1: by its high bits, then by binary search among the few numbers that share them."""
+        high = target >> self.width
+        last = int(self[np.array([self.n - 1])][0]) >> self.width
+        inside = high <= last
+        high = np.minimum(high, last)
+        lo = np.maximum(lo, self.below(high))
+        hi = np.where(inside, np.minimum(hi, np.where(high < last, self.below(np.minimum(high + 1, last)), self.n)), lo)
+        end, left = hi.copy(), np.flatnonzero(lo < hi)
+        lo, hi = lo.copy(), hi.copy()
+        while len(left):
+            mid = (lo[left] + hi[left]) >> 1
+            less = self[mid] < target[left]
+            lo[left[less]], hi[left[~less]] = mid[less] + 1, mid[~less]
+            left = left[lo[left] < hi[left]]
+        out = np.full(len(target), -1, np.int64)
+        at = np.flatnonzero(lo < end)
+        out[at] = np.where(self[lo[at]] == target[at], lo[at], -1)
+        return out
+
     def parts(self) -> dict:
         return {"low": self.low, "high": self.high, "before": self.before, "meta": np.array([self.width, self.n], np.int64)}
 
@@ -151,22 +180,15 @@ class Trie:
         return np.where(self.words[at] == hashes, at, -1)
 
     def successor(self, k: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Place at level k of each parent's successor, or -1: a binary search in the parent's range."""
+        """Place at level k of each parent's successor, or -1, searched in the parent's range."""
         out = np.full(len(parent), -1, np.int64)
         s = self.successors[k]
         ok = (parent >= 0) & (word >= 0)
         if not s.n or not ok.any():
             return out
         parent, word = parent[ok], word[ok]
-        lo, end = self.pointers[k - 1][parent], self.pointers[k - 1][parent + 1]
-        hi, target = end.copy(), parent * self.span + word
-        while (active := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = active & (s[np.minimum(mid, s.n - 1)] < target)
-            lo, hi = np.where(less, mid + 1, lo), np.where(active & ~less, mid, hi)
-        found = lo < end
-        found[found] = s[lo[found]] == target[found]
-        out[ok] = np.where(found, lo, -1)
+        lo, hi = self.pointers[k - 1][parent], self.pointers[k - 1][parent + 1]
+        out[ok] = s.find(parent * self.span + word, lo, hi)
         return out
 
     def _value(self, name: str, at: np.ndarray, missing: float) -> np.ndarray:
@@ -237,13 +259,18 @@ def _count_grams(order: int, words, pairs):
     return run
 
 
-def _vocabulary(group):
-    """A group's distinct words with their training counts."""
-    hashes, first = _tokens(group.column("text"))
-    train = np.repeat(np.asarray(group.column("train").combine_chunks().cast(pa.int8())), np.diff(first))
-    words, at = np.unique(hashes, return_inverse=True)
-    count = np.bincount(at, train, len(words)).astype(np.int64)
-    return pa.table({"grp": pa.array(np.full(len(words), group.column("grp")[0].as_py(), np.int32)), "word": pa.array(shared.signed(words)), "n": pa.array(count)})
+def _vocabulary(batches):
+    """Distinct words of each group's rows in a batch, with their training counts."""
+    for batch in batches:
+        groups = np.asarray(batch.column("grp"))
+        cuts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True]) if len(groups) else []
+        for lo, hi in itertools.pairwise(cuts):
+            part = batch.slice(lo, hi - lo)
+            hashes, first = _tokens(part.column("text"))
+            train = np.repeat(np.asarray(part.column("train").cast(pa.int8())), np.diff(first))
+            words, at = np.unique(hashes, return_inverse=True)
+            count = np.bincount(at, train, len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), groups[lo])), pa.array(shared.signed(words)), pa.array(count)], ["grp", "word", "n"])
 
 
 def lm_scores(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -253,13 +280,14 @@ def lm_scores(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id"
     A null or empty text is its end alone. Long texts are scored whole. Repeated
     rows count and are scored as often as they occur. Without training rows
     every token has probability 1 and both scores are 0. Other columns are not
-    read; an empty table gives none.
+    read; an empty table gives none. docs are read several times and must come in
+    the same partitions each time, as files do; else this fails.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    groups = max(1, -(-docs.count() // GROUP))
-    grouped = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(groups)).cast("int"))
-    local = shared.cut(grouped.groupBy("grp").applyInArrow(_vocabulary, "grp int, word long, n long"), "words")
+    # neighbours in the input make a group, so that its words are found without a shuffle of texts
+    grouped = docs.withColumn("grp", F.floor(F.monotonically_increasing_id() / F.lit(GROUP)).cast("long"))
+    local = shared.cut(grouped.select("grp", "text", "train").mapInArrow(_vocabulary, "grp long, word long, n long"), "words")
     counts = shared.cut(local.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     tokens, kinds = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = max(2, -(-int(tokens) >> CUT_BITS))
@@ -294,7 +322,10 @@ def lm_scores(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id"
         names = np.asarray(known.column("word").combine_chunks()).view(np.uint64)
         order = np.argsort(names)
         names, c = names[order], np.asarray(known.column("c").combine_chunks())[order]
-        c = c[np.searchsorted(names, hashes)]
+        place = np.minimum(np.searchsorted(names, hashes), max(0, len(names) - 1))
+        if not len(names) or (names[place] != hashes).any():
+            raise RuntimeError("the input gave other rows when it was read again")
+        c = c[place]
         single = (c + 1) / below
         numbers = model.numbers(hashes)
         one, two = _contexts(numbers, first, model.start)
