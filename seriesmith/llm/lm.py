@@ -197,11 +197,25 @@ class Trie:
             return np.full(len(at), missing)
         return np.where(at >= 0, values[codes[np.maximum(at, 0)]], missing)
 
-    def probability(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, single: np.ndarray) -> np.ndarray:
-        """P(word | first, second) given the word's own probability; -1 stands for a word that is not kept, -2 for no word."""
-        p = self._value("above2", self.successor(2, second, word), 0.0) + self._value("left2", second, 1.0) * single
-        pair = self.successor(2, first, second)
-        return self._value("above3", self.successor(3, pair, word), 0.0) + self._value("left3", pair, 1.0) * p
+    def probabilities(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """P(word | first, second) of running text, given each word's own probability.
+
+        -1 stands for a word that is not kept, -2 for no word. Different pairs and
+        triples are looked up once, in ascending order. The pair before a token is
+        the one that ended with the token before it.
+        """
+        pair = self._place(2, second, word)
+        before = np.r_[-1, pair[:-1]]
+        before[first == -2] = -1
+        p = self._value("above2", pair, 0.0) + self._value("left2", second, 1.0) * single
+        return self._value("above3", self._place(3, before, word), 0.0) + self._value("left3", before, 1.0) * p
+
+    def _place(self, k: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        out = np.full(len(parent), -1, np.int64)
+        ok = np.flatnonzero((parent >= 0) & (word >= 0))
+        keys, back = np.unique((parent[ok] << _FIELD) | word[ok], return_inverse=True)
+        out[ok] = self.successor(k, keys >> _FIELD, keys & ((1 << _FIELD) - 1))[back]
+        return out
 
 
 _END = int(shared.mix(np.array([0x454E44], np.uint64))[0])
@@ -287,7 +301,7 @@ def lm_scores(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id"
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     # neighbours in the input make a group, so that its words are found without a shuffle of texts
     grouped = docs.withColumn("grp", F.floor(F.monotonically_increasing_id() / F.lit(GROUP)).cast("long"))
-    local = shared.cut(grouped.select("grp", "text", "train").mapInArrow(_vocabulary, "grp long, word long, n long"), "words")
+    local = shared.cut(shared.map_batches(grouped.select("grp", "text", "train"), _vocabulary, "grp long, word long, n long"), "words")
     counts = shared.cut(local.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     tokens, kinds = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = max(2, -(-int(tokens) >> CUT_BITS))
@@ -301,7 +315,7 @@ def lm_scores(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id"
     texts = docs.where("train").select("text")
 
     def kept(order: int, pairs=None) -> tuple[np.ndarray, np.ndarray]:
-        grams = texts.mapInArrow(_count_grams(order, held_words, pairs), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        grams = shared.map_batches(texts, _count_grams(order, held_words, pairs), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         found = grams.where(F.col("n") >= least).toPandas().to_numpy(np.int64).reshape(-1, 2)
         found = found[np.argsort(found[:, 0])]
         return found[:, 0], found[:, 1]
@@ -314,6 +328,7 @@ def lm_scores(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id"
     below = float(tokens + kinds + 1)
 
     def score(group, known):
+        shared.trim()
         model = Trie.map(trie.value)
         rows = group.num_rows
         if not rows:
@@ -327,16 +342,9 @@ def lm_scores(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id"
             raise RuntimeError("the input gave other rows when it was read again")
         c = c[place]
         single = (c + 1) / below
-        numbers = model.numbers(hashes)
+        numbers = model.numbers(names)[place]
         one, two = _contexts(numbers, first, model.start)
-        p = single.copy()
-        in_context = np.flatnonzero(two >= 0)
-        if len(in_context):
-            keys = np.stack([one[in_context], two[in_context], numbers[in_context], c[in_context]], 1) + 2
-            packed = np.ascontiguousarray(shared.mix((keys.astype(np.uint64) * shared._FACTORS[:4]).sum(1, dtype=np.uint64)))
-            _, pick, back = np.unique(packed, return_index=True, return_inverse=True)
-            chosen = in_context[pick]
-            p[in_context] = model.probability(one[chosen], two[chosen], numbers[chosen], single[chosen])[back]
+        p = model.probabilities(one, two, numbers, single)
         n = np.diff(first)
         sums = lambda x: np.add.reduceat(x, first[:-1])
         values = [group.column("doc_id"), pa.array(~np.asarray(group.column("train").combine_chunks().cast(pa.int8())).astype(bool)), pa.array(n), pa.array(sums((c > 0).astype(np.int64))), pa.array(np.full(rows, tokens, np.int64)), pa.array(sums(np.log10(single))), pa.array(sums(np.log10(p)))]
