@@ -21,8 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: Entries of the cache of encoded pieces, of which two generations are kept, and of checked token pairs.
 PIECES, PAIRS = 120_000, 600_000
+#: Rows whose texts are split together.
+ROWS = 1024
 _NONE = 1 << 60
 
 
@@ -159,29 +163,45 @@ def load(path: str, pattern: str) -> PrefixBPE:
 
 
 class Texts:
-    """Whole texts through a bounded cache of pieces: ids as text, and the decoded bytes."""
+    """Whole texts through a bounded cache of pieces: number of ids, ids as text, and the decoded bytes.
+
+    New pieces are encoded in sorted order, so that the table of a prefix that
+    two of them share is computed once and only appended to.
+    """
 
     def __init__(self, bpe: PrefixBPE):
         self.bpe, self.cache, self.old = bpe, {}, {}
 
-    def _entry(self, piece: str):
+    def _learn(self, pieces) -> None:
         if len(self.cache) >= PIECES:
             self.cache, self.old = {}, self.cache
-        entry = self.old.get(piece)
-        if entry is None:
-            ids = self.bpe.encode_piece(piece.encode())
-            entry = (",".join(map(str, ids)), self.bpe.decode(ids), len(ids))
-        self.cache[piece] = entry
-        return entry
-
-    def __call__(self, text: str) -> tuple[int, str, bytes]:
-        found = []
-        for piece in self.bpe.pattern.findall(text):
-            found.append(self.cache.get(piece) or self._entry(piece))
-        if not found:
-            return 0, "", b""
-        ids, decoded, n = zip(*found, strict=True)
-        return sum(n), ",".join(ids), b"".join(decoded)
+        bpe, cache, old = self.bpe, self.cache, self.old
+        before, last = b"", [-1]
+        for piece in sorted(p for p in pieces if p not in cache):
+            if (entry := old.get(piece)) is None:
+                raw = piece.encode()
+                whole = bpe.ranks.get(raw)
+                if whole is None:
+                    same, most = 0, min(len(raw), len(before))
+                    while same < most and raw[same] == before[same]:
+                        same += 1
+                    before, last = raw, bpe.prefixes(raw, last[: same + 1])
+                    ids = bpe.tokens(last)
+                else:
+                    ids = [whole]
+                entry = (",".join(map(str, ids)), bpe.decode(ids), len(ids))
+            cache[piece] = entry
+
+    def __call__(self, texts: list[str]):
+        split = [self.bpe.pattern.findall(t) for t in texts]
+        self._learn(set().union(*split))
+        get = self.cache.__getitem__
+        for pieces in split:
+            if pieces:
+                ids, decoded, n = zip(*map(get, pieces), strict=True)
+                yield sum(n), ",".join(ids), b"".join(decoded)
+            else:
+                yield 0, "", b""
 
 
 @lru_cache(maxsize=2)
@@ -198,7 +218,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", doc_id
             ids = [bpe.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return shared.map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -210,7 +230,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
             out = [bpe.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return shared.map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, bytes binary")
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -225,11 +245,11 @@ def digests(docs: DataFrame, ranks: str, pattern: str, text: str = "text", doc_i
         texts = texts_of(ranks, pattern)
         for batch in batches:
             n, ids, decoded = [], [], []
-            for t in batch.column("text"):
-                count, joined, raw = texts(t.as_py() or "")
-                n.append(count)
-                ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(raw).hexdigest())
+            for lo in range(0, batch.num_rows, ROWS):
+                for count, joined, raw in texts([t or "" for t in batch.column("text").slice(lo, ROWS).to_pylist()]):
+                    n.append(count)
+                    ids.append(hashlib.sha256(joined.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(raw).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return shared.map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
