@@ -29,17 +29,16 @@ def intervals_to_index(df: DataFrame, intervals: DataFrame) -> DataFrame:
     up to end_ts; an interval for which either is missing is left out. Each bound
     is looked up by a merge of both tables on time, without a range join.
     """
-    by = lambda order: Window.partitionBy("series_id").orderBy(*order)
     points = df.select("series_id", F.col("timestamp").alias("ts"), "idx", F.lit(None).cast("long").alias("interval_id"))
 
-    def look(bound: str, rank: int, pick, frame) -> DataFrame:
+    def look(bound: str, rank: int, order) -> DataFrame:
         marks = intervals.select("series_id", F.col(bound).alias("ts"), F.lit(None).cast("long").alias("idx"), F.col("interval_id").cast("long").alias("interval_id"))
         both = points.withColumn("_r", F.lit(1)).unionByName(marks.withColumn("_r", F.lit(rank)))
-        return both.withColumn("at", pick("idx", True).over(by(["ts", "_r", "idx"]).rowsBetween(*frame))).where("interval_id is not null").select("series_id", "interval_id", "at")
+        w = Window.partitionBy("series_id").orderBy(*map(order, ("ts", "_r", "idx"))).rowsBetween(Window.unboundedPreceding, 0)
+        return both.withColumn("at", F.last("idx", True).over(w)).where("interval_id is not null").select("series_id", "interval_id", "at")
 
-    unbounded = Window.unboundedPreceding, Window.unboundedFollowing
-    start = look("start_ts", 0, F.first, (0, unbounded[1])).withColumnRenamed("at", "start_idx")
-    end = look("end_ts", 2, F.last, (unbounded[0], 0)).withColumnRenamed("at", "end_idx")
+    start = look("start_ts", 0, F.desc).withColumnRenamed("at", "start_idx")
+    end = look("end_ts", 2, F.asc).withColumnRenamed("at", "end_idx")
     return start.join(end, ["series_id", "interval_id"]).where("start_idx is not null and end_idx is not null").select("series_id", "interval_id", "start_idx", (F.col("end_idx") + 1).alias("end_idx"))
 
 
@@ -99,7 +98,8 @@ def detection_delay(df: DataFrame, sample_rate: float = 300.0) -> DataFrame:
     """By series the mean distance in rows from the start of a true run to the first label from there on; runs never detected do not count; and in seconds."""
     w = Window.partitionBy("series_id").orderBy("idx")
     begins = (F.col("truth") == 1) & (F.coalesce(F.lag("truth").over(w), F.lit(0)) == 0)
-    ahead = F.min(F.when(F.col("label") == 1, F.col("idx"))).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy("series_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = F.last(F.when(F.col("label") == 1, F.col("idx")), True).over(back)
     delays = df.withColumns({"_begins": begins, "_delay": ahead - F.col("idx")})
     out = delays.groupBy("series_id").agg(F.coalesce(F.avg(F.when(F.col("_begins"), F.col("_delay"))), F.lit(0.0)).alias("delay_samples"))
     return out.withColumn("delay_seconds", F.col("delay_samples") / sample_rate)

@@ -75,18 +75,20 @@ def fill(df: DataFrame, method: str = "interpolate") -> DataFrame:
     the last value before, at the start the first one after.
     """
     w = ordered()
-    to, onward = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    to = w.rowsBetween(Window.unboundedPreceding, 0)
+    # what follows is what came before in the opposite order: a frame that only grows is read once
+    back = Window.partitionBy("series_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
     v, i = F.col("value"), F.col("idx")
     if method == "drop":
         return df.dropna(subset=["value"])
     if method == "mean":
         return df.withColumn("value", F.coalesce(v, F.avg("value").over(Window.partitionBy("series_id"))))
     at = F.when(v.isNotNull(), i)
-    before, after = F.last(v, True).over(to), F.first(v, True).over(onward)
+    before, after = F.last(v, True).over(to), F.last(v, True).over(back)
     if method == "forward_fill":
         return df.withColumn("value", F.coalesce(before, after))
     if method == "interpolate":
-        df = df.withColumns({"_pv": before, "_nv": after, "_pi": F.last(at, True).over(to), "_ni": F.first(at, True).over(onward)})
+        df = df.withColumns({"_pv": before, "_nv": after, "_pi": F.last(at, True).over(to), "_ni": F.last(at, True).over(back)})
         between = F.col("_pv") + (F.col("_nv") - F.col("_pv")) * F.try_divide((i - F.col("_pi")).cast("double"), (F.col("_ni") - F.col("_pi")).cast("double"))
         return df.withColumn("value", F.coalesce(v, between, "_nv", "_pv")).drop("_pv", "_nv", "_pi", "_ni")
     raise ValueError(f"unknown fill method {method!r}; one of {FILLS}")
