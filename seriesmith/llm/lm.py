@@ -1,19 +1,16 @@
-"""N-gram scoring with an Elias-Fano trie.
-
-The kept n-grams are those whose frequency among all training tokens is at
-least 2**-20 (and that occur twice): by counting, at most 2**20 of each order
-whatever the size of the corpus, so that the trie is small enough to be sent to
-every task. Counts of single words, of which there is no bound, are never sent
-anywhere whole: they meet the documents that need them in one shuffle.
+"""N-gram scoring with an Elias-Fano trie in parts.
+
+All pairs and triples that occur LEAST times in the training texts are kept,
+whatever the size of the corpus. No table of them, or of words, is ever held
+whole: n-grams are dealt out by a hash of their first two words, and words by
+their own, into parts of which there are more as the input grows. Each group of
+documents asks every part for the n-grams that it holds; a part counts what all
+groups sent, builds its trie and answers in the order of the request.
 """
 
 from __future__ import annotations
 
-import io
-import itertools
-import json
-import mmap
-import tempfile
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +19,17 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: The least relative frequency of a kept n-gram, as a power of a half.
-CUT_BITS = 20
+#: Training occurrences of a kept pair or triple, at any size of the corpus.
+LEAST = 2
 DISCOUNT = 0.75
 #: Documents that are scored together: so many rows of the input, one after the other.
 GROUP = 2048
+#: Bytes of text to a part of the trie.
+PART_BYTES = 2_500_000
+#: Bits of a word's number among a group's words, for which three fit into one sorted key; groups of more words are sorted by columns.
 _FIELD = 21
+#: Bytes of the hash of a word that follows a known word, and of one that follows a known pair.
+_SECOND, _THIRD = 6, 5
 
 
 def _pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -101,124 +103,46 @@ class EliasFano:
         out[at] = np.where(self[lo[at]] == target[at], lo[at], -1)
         return out
 
-    def parts(self) -> dict:
-        return {"low": self.low, "high": self.high, "before": self.before, "meta": np.array([self.width, self.n], np.int64)}
-
-    @classmethod
-    def from_parts(cls, p: dict) -> EliasFano:
-        return cls(p["low"], p["high"], p["before"], int(p["meta"][0]), int(p["meta"][1]))
-
-
-def quantise(values: np.ndarray, bins: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of one byte and their values: means of bins with equally many numbers."""
-    different = np.unique(values)
-    if len(different) <= bins:
-        return np.searchsorted(different, values).astype(np.uint8), different.astype(np.float64)
-    edges = np.unique(np.quantile(values, np.arange(1, bins) / bins))
-    codes = np.searchsorted(edges, values, "right")
-    total, count = np.bincount(codes, values, len(edges) + 1), np.bincount(codes, minlength=len(edges) + 1)
-    return codes.astype(np.uint8), total / np.maximum(count, 1)
-
 
 class Trie:
-    """Levels 1 to 3. Of a context's successors, level k + 1 keeps the range [pointers[i], pointers[i + 1]), their word
-    numbers relative to that context as one sequence that never falls, quantised discounted probabilities, and the
-    quantised weight that the context leaves to the order below."""
-
-    def __init__(self, arrays: dict[str, np.ndarray]):
-        self.a = arrays
-        self.words = arrays["words"]
-        self.span = len(self.words) + 2
-        self.start = len(self.words)
-        self.pointers = {k: EliasFano.from_parts({x: arrays[f"p{k}.{x}"] for x in ("low", "high", "before", "meta")}) for k in (1, 2)}
-        self.successors = {k: EliasFano.from_parts({x: arrays[f"s{k}.{x}"] for x in ("low", "high", "before", "meta")}) for k in (2, 3)}
+    """The kept pairs and triples of a part, in two levels.
 
-    @classmethod
-    def build(cls, words: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, triples: np.ndarray, triple_counts: np.ndarray) -> Trie:
-        """words: sorted hashes; contexts: how often each word, then the start, is a context; pairs and triples: sorted keys of word numbers."""
-        span, mask = len(words) + 2, (1 << _FIELD) - 1
-        arrays: dict[str, np.ndarray] = {"words": words}
-
-        def level(k: int, parent: np.ndarray, last: np.ndarray, counts: np.ndarray, total: np.ndarray) -> None:
-            bounds = np.r_[0, np.cumsum(np.bincount(parent, minlength=len(total)))]
-            above = (counts - DISCOUNT) / np.maximum(total[parent], 1)
-            left = 1 - np.bincount(parent, above, len(total))
-            for name, x in ((f"p{k - 1}", EliasFano.of(bounds)), (f"s{k}", EliasFano.of(parent * span + last))):
-                arrays.update({f"{name}.{part}": v for part, v in x.parts().items()})
-            for name, x in ((f"above{k}", above), (f"left{k}", np.clip(left, 1e-6, 1.0))):
-                arrays[name], arrays[f"{name}.values"] = quantise(x)
-
-        level(2, pairs >> _FIELD, pairs & mask, pair_counts, contexts)
-        level(3, np.searchsorted(pairs, triples >> _FIELD), triples & mask, triple_counts, pair_counts)
-        return cls(arrays)
-
-    def to_bytes(self) -> bytes:
-        out, index = io.BytesIO(), {}
-        for name, x in self.a.items():
-            out.write(b"\0" * (-out.tell() % 64))
-            index[name] = (out.tell(), len(x), str(x.dtype))
-            out.write(np.ascontiguousarray(x).tobytes())
-        head = json.dumps(index).encode()
-        return len(head).to_bytes(8, "little") + head + b"\0" * (-(len(head) + 8) % 64) + out.getvalue()
+    Of a first word's pairs, and of a pair's triples, a level keeps the range
+    [pointers[i], pointers[i + 1]) and the numbers of the words that follow,
+    relative to what they follow, as one sequence that never falls.
+    """
 
-    @classmethod
-    def map(cls, data: bytes) -> Trie:
-        """The same trie over a memory-mapped file of the task's own, which goes with the task."""
-        with tempfile.TemporaryFile() as f:
-            f.write(data)
-            f.flush()
-            view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        size = int.from_bytes(view[:8], "little")
-        base = (size + 8 + 63) // 64 * 64
-        return cls({k: np.frombuffer(view, np.dtype(t), n, base + at) for k, (at, n, t) in json.loads(view[8 : 8 + size]).items()})
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers, -1 for words that are not kept."""
-        if not len(self.words):
-            return np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, -1)
-
-    def successor(self, k: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+    def __init__(self, firsts: int, span: int, pairs: np.ndarray, pair_counts: np.ndarray, triples: np.ndarray, triple_counts: np.ndarray):
+        """pairs: sorted first * span + word; triples: sorted place of the pair * span + word."""
+        self.span = span
+        self.pointers, self.successors = {}, {}
+        for k, keys, parents in ((2, pairs, firsts), (3, triples, len(pairs))):
+            self.pointers[k] = EliasFano.of(np.r_[0, np.cumsum(np.bincount(keys // span, minlength=parents))])
+            self.successors[k] = EliasFano.of(keys)
+        parent = triples // span
+        #: by level the counts, and by pair the occurrences and the number of its kept triples
+        self.counts = {2: pair_counts, 3: triple_counts}
+        self.followed = np.bincount(parent, triple_counts, len(pairs)).astype(np.int64)
+        self.kinds = np.bincount(parent, minlength=len(pairs))
+
+    def place(self, k: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Place at level k of each parent's successor, or -1, searched in the parent's range."""
         out = np.full(len(parent), -1, np.int64)
         s = self.successors[k]
-        ok = (parent >= 0) & (word >= 0)
-        if not s.n or not ok.any():
-            return out
-        parent, word = parent[ok], word[ok]
-        lo, hi = self.pointers[k - 1][parent], self.pointers[k - 1][parent + 1]
-        out[ok] = s.find(parent * self.span + word, lo, hi)
+        ok = np.flatnonzero(parent >= 0)
+        if s.n and len(ok):
+            parent, word = parent[ok], word[ok]
+            out[ok] = s.find(parent * self.span + word, self.pointers[k][parent], self.pointers[k][parent + 1])
         return out
 
-    def _value(self, name: str, at: np.ndarray, missing: float) -> np.ndarray:
-        codes, values = self.a[name], self.a[f"{name}.values"]
-        if not len(codes):
-            return np.full(len(at), missing)
-        return np.where(at >= 0, values[codes[np.maximum(at, 0)]], missing)
-
-    def probabilities(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, single: np.ndarray) -> np.ndarray:
-        """P(word | first, second) of running text, given each word's own probability.
-
-        -1 stands for a word that is not kept, -2 for no word. Different pairs and
-        triples are looked up once, in ascending order. The pair before a token is
-        the one that ended with the token before it.
-        """
-        pair = self._place(2, second, word)
-        before = np.r_[-1, pair[:-1]]
-        before[first == -2] = -1
-        p = self._value("above2", pair, 0.0) + self._value("left2", second, 1.0) * single
-        return self._value("above3", self._place(3, before, word), 0.0) + self._value("left3", before, 1.0) * p
-
-    def _place(self, k: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-        out = np.full(len(parent), -1, np.int64)
-        ok = np.flatnonzero((parent >= 0) & (word >= 0))
-        keys, back = np.unique((parent[ok] << _FIELD) | word[ok], return_inverse=True)
-        out[ok] = self.successor(k, keys >> _FIELD, keys & ((1 << _FIELD) - 1))[back]
-        return out
+
+def _at(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at], 0 where at is -1."""
+    return np.where(at >= 0, values[np.maximum(at, 0)], 0) if len(values) else np.zeros(len(at), np.int64)
 
 
-_END = int(shared.mix(np.array([0x454E44], np.uint64))[0])
+_END, _START = (int(shared.mix(np.array([x], np.uint64))[0]) for x in (0x454E44, 0x5354415254))
+_BITS = [np.uint64((1 << 8 * k) - 1) for k in range(8)]
 
 
 def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
@@ -232,59 +156,214 @@ def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*parts, np.empty(0, np.uint64)]), np.r_[0, np.cumsum(np.concatenate([*counts, np.empty(0, np.int64)]))].astype(np.int64)
 
 
-def _contexts(numbers: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two words before each token; the start stands before the first, and -2 before that."""
-    second = np.r_[-2, numbers[:-1]]
-    second[first[:-1]] = start
-    one = np.r_[-2, second[:-1]]
-    one[first[:-1]] = -2
-    return one, second
-
-
-def _count_grams(order: int, words, pairs):
-    """Keys and counts of the kept words' n-grams of each batch; triples only over kept pairs."""
+def _pack(*columns: tuple[np.ndarray, int]) -> bytes:
+    """Numbers of so many bytes, each column in planes of equal bytes' places, which compress well."""
+    out = [np.array([len(columns), *(len(x) for x, _ in columns)], "<u4").tobytes()]
+    for x, width in columns:
+        out.append(np.ascontiguousarray(np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    raw = b"".join(out)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "lz4_raw", asbytes=True)
+
+
+def _unpack(blob: bytes, *widths: int) -> list[np.ndarray]:
+    blob = pa.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), "lz4_raw", asbytes=True)
+    sizes = np.frombuffer(blob, "<u4", len(widths), 4)
+    out, at = [], 4 + 4 * len(widths)
+    for n, width in zip(sizes.tolist(), widths, strict=True):
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T
+        out.append(x.view("<u8").ravel())
+        at += n * width
+    return out
+
+
+#: Widths of what a group asks: of words (hash, training count); of n-grams (first words, their pairs, second words, their triples, third words, training counts).
+_WORDS, _GRAMS = (8, 4), (8, 4, _SECOND, 4, _THIRD, 4)
+#: Widths of an answer: of words (count, occurrences and number of kept pairs); of n-grams (by pair count, occurrences and number of kept triples; by triple count).
+_WORD_ANSWER, _GRAM_ANSWER = (8, 8, 8), (8, 8, 8, 8)
+
+
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _ask_words(hashes: np.ndarray, first: np.ndarray, train: np.ndarray, parts: int) -> tuple[np.ndarray, list]:
+    """A group's words, sorted, and (part, request) for them; the start counts once a training row."""
+    words, at = np.unique(np.r_[hashes, np.uint64(_START)], return_inverse=True)
+    counts = np.bincount(at, np.r_[np.repeat(train, np.diff(first)), train.sum()], len(words)).astype(np.int64)
+    cuts = np.searchsorted(_part(words, parts), np.arange(parts + 1))
+    return words, [(q, _pack((words[i:j], 8), (counts[i:j], 4))) for q, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i]
+
+
+def _ask_grams(hashes: np.ndarray, first: np.ndarray, train: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """Of each token the place of the pair that it ends, and of that pair with the token after it; (part, request) in the order of these places."""
+    names, at = np.unique(np.r_[hashes, np.uint64(_START)], return_inverse=True)
+    del hashes
+    a = np.r_[0, at[:-2]]
+    a[first[:-1]] = at[-1]
+    b, c = at[:-1], np.r_[at[1:-1], 0]
+    c[first[1:] - 1] = 0  # nothing follows an end, so that this names no triple of words
+    if len(names) <= 1 << _FIELD:
+        a <<= 2 * _FIELD
+        a |= b << _FIELD
+        a |= c
+        del at, b, c
+        keys, place = np.unique(a, return_inverse=True)
+        del a
+        mask = (1 << _FIELD) - 1
+        ta, tb, tc = keys >> 2 * _FIELD, keys >> _FIELD & mask, keys & mask
+    else:
+        order = np.lexsort((c, b, a))
+        x, y, z = a[order], b[order], c[order]
+        new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        ta, tb, tc = x[new], y[new], z[new]
+    counts = np.bincount(place, np.repeat(train, np.diff(first)), len(ta)).astype(np.int64)
+    new = np.r_[True, (ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])]
+    pair = np.cumsum(new) - 1
+    pa_, pb = names[ta[new]], names[tb[new]]
+    del ta, tb, new
+    part = _part(shared.mix(pa_ * shared._FACTORS[0] + pb * shared._FACTORS[1]), parts)
+    by_pair, by_triple = np.argsort(part, kind="stable"), np.argsort(part[pair], kind="stable")
+    fan = np.bincount(pair)
+    pair_cuts, triple_cuts = np.searchsorted(part[by_pair], np.arange(parts + 1)).tolist(), np.searchsorted(part[pair][by_triple], np.arange(parts + 1)).tolist()
+    heads, seconds, fan = pa_[by_pair], pb[by_pair] & _BITS[_SECOND], fan[by_pair]
+    thirds, counts = names[tc][by_triple] & _BITS[_THIRD], counts[by_triple]
+    del pa_, pb, tc
+    asked = []
+    for q in range(parts):
+        (i, j), (k, m) = pair_cuts[q : q + 2], triple_cuts[q : q + 2]
+        if j > i:
+            head = heads[i:j]
+            runs = np.flatnonzero(np.r_[True, head[1:] != head[:-1]])
+            asked.append((q, _pack(*zip((head[runs], np.diff(np.r_[runs, j - i]), seconds[i:j], fan[i:j], thirds[k:m], counts[k:m]), _GRAMS, strict=True))))
+    del heads, seconds, fan, thirds, counts
+    pair_at, triple_at = np.empty(len(by_pair), np.int32), np.empty(len(by_triple), np.int32)
+    pair_at[by_pair], triple_at[by_triple] = np.arange(len(by_pair)), np.arange(len(by_triple))
+    return pair_at[pair][place], triple_at[place], asked
+
+
+def _requests(ask, parts: int):
+    """Requests of each group to each part; a group's rows may come in several batches, one after the other."""
+
+    def sent(group: int, texts: list, trains: list):
+        hashes, first = _tokens(pa.chunked_array(texts, pa.string()))
+        asked = ask(hashes, first, np.concatenate(trains), parts)[-1]
+        return pa.RecordBatch.from_arrays([pa.array([q for q, _ in asked], pa.int32()), pa.array([group] * len(asked), pa.int64()), pa.array([x for _, x in asked], pa.binary())], ["part", "grp", "blob"])
 
     def run(batches):
-        kept = words.value
-        start = len(kept)
+        last, texts, trains = None, [], []
         for batch in batches:
-            hashes, first = _tokens(batch.column("text"))
-            if not len(hashes) or not len(kept):
-                continue
-            at = np.minimum(np.searchsorted(kept, hashes), start - 1)
-            numbers = np.where(kept[at] == hashes, at, -1)
-            one, two = _contexts(numbers, first, start)
-            ok = (numbers >= 0) & (two >= 0)
-            keys = (two << _FIELD) | numbers
-            if order == 3:
-                known = pairs.value
-                if not len(known):
-                    continue
-                left = (one << _FIELD) | two
-                left = np.where(ok & (one >= 0), left, -1)
-                found = np.minimum(np.searchsorted(known, left), len(known) - 1)
-                ok &= known[found] == left
-                inner = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                ok &= known[inner] == keys
-                keys = (one << 2 * _FIELD) | keys
-            keys, counts = np.unique(keys[ok], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["gram", "n"])
+            groups = np.asarray(batch.column("grp"))
+            cuts = np.r_[0, np.flatnonzero(groups[1:] != groups[:-1]) + 1, len(groups)].tolist() if len(groups) else [0]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if last is not None and groups[lo] != last:
+                    yield sent(last, texts, trains)
+                    texts, trains = [], []
+                    shared.trim()
+                last = int(groups[lo])
+                part = batch.slice(lo, hi - lo)
+                texts.append(part.column("text"))
+                trains.append(np.asarray(part.column("train").cast(pa.int8())).astype(np.int64))
+        if last is not None:
+            yield sent(last, texts, trains)
+
+    return run
+
+
+_ANSWERS = "level int, part int, grp long, blob binary, crc long, tokens long, kinds long"
+
+
+def _answers(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _ANSWERS.split(", ")])
+
+
+def _answer_grams(parts: int):
+    """Counts a part's n-grams, keeps those of LEAST occurrences in a trie, and answers each group; to the parts of words goes what is kept of each first word."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shared.trim()
+        blobs, groups = table.column("blob").to_pylist(), table.column("grp").to_pylist()
+        asked = [_unpack(x, *_GRAMS) for x in blobs]
+        a, runs, b, fan, c, n = (np.concatenate(x) for x in zip(*asked, strict=True))
+        sizes = [(len(x[2]), len(x[4])) for x in asked]
+        del asked
+        firsts, a = np.unique(a, return_inverse=True)
+        a = np.repeat(a, runs.astype(np.int64))
+        # second and third words have names of different widths, and numbers of their own
+        words, w = np.unique(np.r_[b << np.uint64(1), c << np.uint64(1) | np.uint64(1)], return_inverse=True)
+        span = len(words)
+        pairs, pair = np.unique(a * span + w[: len(b)], return_inverse=True)
+        triples, triple = np.unique(np.repeat(pair, fan.astype(np.int64)) * span + w[len(b) :], return_inverse=True)
+        counts = np.bincount(triple, n, len(triples)).astype(np.int64)
+        pair_counts = np.bincount(triples // span, counts, len(pairs)).astype(np.int64)
+        kept, followed = pair_counts >= LEAST, counts >= LEAST
+        place = np.cumsum(kept) - 1
+        trie = Trie(len(firsts), span, pairs[kept], pair_counts[kept], place[triples[followed] // span] * span + triples[followed] % span, counts[followed])
+
+        at = trie.place(2, pairs // span, pairs % span)
+        below = trie.place(3, at[triples // span], triples % span)
+        of_pair = [_at(x, at)[pair] for x in (trie.counts[2], trie.followed, trie.kinds)]
+        of_triple = _at(trie.counts[3], below)[triple]
+        out, i, k = [], 0, 0
+        part = table.column("part")[0].as_py()
+        for group, blob, (p, t) in zip(groups, blobs, sizes, strict=True):
+            said = [(x[i : i + p], y) for x, y in zip(of_pair, _GRAM_ANSWER, strict=False)]
+            out.append((3, part, group, _pack(*said, (of_triple[k : k + t], 8)), zlib.crc32(blob), 0, 0))
+            i, k = i + p, k + t
+        first = pairs[kept] // span
+        total, kinds = np.bincount(first, pair_counts[kept], len(firsts)).astype(np.int64), np.bincount(first, minlength=len(firsts))
+        some = np.flatnonzero(kinds)
+        cuts = np.searchsorted(_part(firsts[some], parts), np.arange(parts + 1)).tolist()
+        for q, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if j > i:
+                x = some[i:j]
+                out.append((2, q, -1, _pack((firsts[x], 8), (total[x], 8), (kinds[x], 8)), 0, 0, 0))
+        return _answers(out)
 
     return run
 
 
-def _vocabulary(batches):
-    """Distinct words of each group's rows in a batch, with their training counts."""
-    for batch in batches:
-        groups = np.asarray(batch.column("grp"))
-        cuts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True]) if len(groups) else []
-        for lo, hi in itertools.pairwise(cuts):
-            part = batch.slice(lo, hi - lo)
-            hashes, first = _tokens(part.column("text"))
-            train = np.repeat(np.asarray(part.column("train").cast(pa.int8())), np.diff(first))
-            words, at = np.unique(hashes, return_inverse=True)
-            count = np.bincount(at, train, len(words)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), groups[lo])), pa.array(shared.signed(words)), pa.array(count)], ["grp", "word", "n"])
+def _answer_words(table: pa.Table) -> pa.Table:
+    """Counts a part's words and answers each group; tokens and different words of the training texts stand in the first row."""
+    shared.trim()
+    groups, blobs = np.asarray(table.column("grp")), table.column("blob").to_pylist()
+    asked = [_unpack(x, *(_WORDS if g >= 0 else (8, 8, 8))) for g, x in zip(groups.tolist(), blobs, strict=True)]
+    words, at = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
+    sums = np.zeros((3, len(words)), np.int64)
+    i = 0
+    places = []
+    for g, x in zip(groups.tolist(), asked, strict=True):
+        here = at[i : i + len(x[0])]
+        i += len(here)
+        places.append(here)
+        # words of one request differ
+        if g >= 0:
+            sums[0, here] += x[1].astype(np.int64)
+        else:
+            sums[1, here] += x[1].astype(np.int64)
+            sums[2, here] += x[2].astype(np.int64)
+    part = table.column("part")[0].as_py()
+    taught = sums[0][words != np.uint64(_START)]
+    totals = [int(taught.sum()), int((taught > 0).sum())]
+    out = []
+    for g, blob, here in zip(groups.tolist(), blobs, places, strict=True):
+        if g >= 0:
+            out.append((1, part, g, _pack(*((x[here], 8) for x in sums)), zlib.crc32(blob), *totals))
+            totals = [0, 0]
+    return _answers(out)
+
+
+def _heard(table: pa.Table, level: int, asked: list, widths: tuple) -> list[np.ndarray]:
+    """The columns of all parts' answers to a group, in the order in which it asked."""
+    mine = table.filter(pa.array(np.asarray(table.column("level")) == level))
+    said = {p: (x, c) for p, x, c in zip(*(mine.column(k).to_pylist() for k in ("part", "blob", "crc")), strict=True)}
+    if len(mine) != len(asked) or any(q not in said or said[q][1] != zlib.crc32(x) for q, x in asked):
+        raise RuntimeError("the input gave other rows when it was read again")
+    return [np.concatenate(x).astype(np.int64) for x in zip(*(_unpack(said[q][0], *widths) for q, _ in asked), strict=True)]
 
 
 def lm_scores(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -297,60 +376,60 @@ def lm_scores(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id"
     read; an empty table gives none. docs are read several times and must come in
     the same partitions each time, as files do; else this fails.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    # neighbours in the input make a group, so that its words are found without a shuffle of texts
+    # neighbours in the input make a group, so that its n-grams are found without a shuffle of texts
     grouped = docs.withColumn("grp", F.floor(F.monotonically_increasing_id() / F.lit(GROUP)).cast("long"))
-    local = shared.cut(shared.map_batches(grouped.select("grp", "text", "train"), _vocabulary, "grp long, word long, n long"), "words")
-    counts = shared.cut(local.groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    tokens, kinds = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(2, -(-int(tokens) >> CUT_BITS))
-
-    table = counts.where(F.col("c") >= least).toPandas().to_numpy(np.int64).reshape(-1, 2)
-    table = table[np.argsort(table[:, 0].view(np.uint64) if len(table) else table[:, 0])]
-    words = np.ascontiguousarray(table[:, 0]).view(np.uint64)
-    ends = docs.where("train").count()
-    contexts = np.r_[np.where(words == np.uint64(_END), 0, table[:, 1]), ends]
-    held_words = spark.sparkContext.broadcast(words)
-    texts = docs.where("train").select("text")
-
-    def kept(order: int, pairs=None) -> tuple[np.ndarray, np.ndarray]:
-        grams = shared.map_batches(texts, _count_grams(order, held_words, pairs), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        found = grams.where(F.col("n") >= least).toPandas().to_numpy(np.int64).reshape(-1, 2)
-        found = found[np.argsort(found[:, 0])]
-        return found[:, 0], found[:, 1]
-
-    pairs, pair_counts = kept(2)
-    triples, triple_counts = kept(3, spark.sparkContext.broadcast(pairs))
-    trie = spark.sparkContext.broadcast(Trie.build(words, contexts, pairs, pair_counts, triples, triple_counts).to_bytes())
-
-    needed = local.select("grp", "word").join(counts, "word").select("grp", "word", "c")
+    parts = max(1, -(-int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // PART_BYTES))
+    ask = lambda f: shared.map_batches(grouped.select("grp", "text", "train"), _requests(f, parts), "part int, grp long, blob binary")
+    grams = shared.cut(ask(_ask_grams).groupBy("part").applyInArrow(_answer_grams(parts), _ANSWERS), "grams")
+    shared.release(docs.sparkSession)
+    kept = grams.where("level = 2").select("part", "grp", "blob")
+    words = shared.cut(ask(_ask_words).unionByName(kept).groupBy("part").applyInArrow(_answer_words, _ANSWERS), "words")
+    shared.release(docs.sparkSession)
+    tokens, kinds = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     below = float(tokens + kinds + 1)
 
     def score(group, known):
         shared.trim()
-        model = Trie.map(trie.value)
         rows = group.num_rows
         if not rows:
             return pa.table({k: pa.array([], t) for k, t in _RESULT})
+        train = np.asarray(group.column("train").combine_chunks().cast(pa.int8())).astype(np.int64)
         hashes, first = _tokens(group.column("text"))
-        names = np.asarray(known.column("word").combine_chunks()).view(np.uint64)
-        order = np.argsort(names)
-        names, c = names[order], np.asarray(known.column("c").combine_chunks())[order]
-        place = np.minimum(np.searchsorted(names, hashes), max(0, len(names) - 1))
-        if not len(names) or (names[place] != hashes).any():
-            raise RuntimeError("the input gave other rows when it was read again")
-        c = c[place]
-        single = (c + 1) / below
-        numbers = model.numbers(names)[place]
-        one, two = _contexts(numbers, first, model.start)
-        p = model.probabilities(one, two, numbers, single)
-        n = np.diff(first)
+        names, asked = _ask_words(hashes, first, train, parts)
+        c, total, kinds = _heard(known, 1, asked, _WORD_ANSWER)
+        left = np.where(c > 0, (c - total + DISCOUNT * kinds) / np.maximum(c, 1), 1.0)
+        place = np.searchsorted(names, hashes)
+        before = np.r_[0, place[:-1]]
+        before[first[:-1]] = np.searchsorted(names, np.uint64(_START))
+        single = (c[place] + 1) / below
+
+        known_words = (c[place] > 0).astype(np.int64)
+        del names, asked, place
+        p = left[before] * single
+        whole = np.maximum(c, 1)[before]
+        del c, left, before
+        shared.trim()
+        pair, triple, asked = _ask_grams(hashes, first, train, parts)
+        n, total, kinds, m = _heard(known, 3, asked, _GRAM_ANSWER)
+        del asked
+        here = n[pair]
+        p += np.where(here > 0, (here - DISCOUNT) / whole, 0.0)
+        del whole
+        # the pair before a token is the one that ended with the token before it
+        left = np.where(n > 0, (n - total + DISCOUNT * kinds) / np.maximum(n, 1), 1.0)
+        del total, kinds, n
+        inner = np.ones(len(p), bool)
+        inner[first[:-1]] = False
+        inner = np.flatnonzero(inner)
+        over, before = m[triple[inner - 1]], pair[inner - 1]
+        p[inner] = np.where(over > 0, (over - DISCOUNT) / np.maximum(here[inner - 1], 1), 0.0) + left[before] * p[inner]
         sums = lambda x: np.add.reduceat(x, first[:-1])
-        values = [group.column("doc_id"), pa.array(~np.asarray(group.column("train").combine_chunks().cast(pa.int8())).astype(bool)), pa.array(n), pa.array(sums((c > 0).astype(np.int64))), pa.array(np.full(rows, tokens, np.int64)), pa.array(sums(np.log10(single))), pa.array(sums(np.log10(p)))]
+        values = [group.column("doc_id"), pa.array(train == 0), pa.array(np.diff(first)), pa.array(sums(known_words)), pa.array(np.full(rows, tokens, np.int64)), pa.array(sums(np.log10(single))), pa.array(sums(np.log10(p)))]
         return pa.table({k: (v if isinstance(v, pa.ChunkedArray) else v.cast(t)) for (k, t), v in zip(_RESULT, values, strict=True)})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    needed = words.unionByName(grams.where("level = 3")).select("grp", "level", "part", "blob", "crc")
     return grouped.groupBy("grp").cogroup(needed.groupBy("grp")).applyInArrow(score, schema)
 
 

@@ -206,3 +206,21 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = lm.lm_scores(docs, shared.crc_mod("doc_id", 7) != 2).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1] * 0.99
+
+
+def test_lm_keeps_rare_ngrams_at_any_size(spark, monkeypatch):
+    """Pairs and triples that occur twice count among more than 2**21 training tokens, in many parts and by either way to sort."""
+    rows = [(k, " ".join(f"f{k}x{j % 11}" for j in range(k * 7, k * 7 + 24))) for k in range(300)]
+    rows += [(1000, "one rare phrase here"), (1001, "then one rare phrase here"), (1002, "one rare phrase here again")]
+    rows += [(2000 + k, "fill " * 110_000) for k in range(24)]
+    want = reference_scores(rows, 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    for parts, field in ((1 << 40, 21), (700_000, 21), (700_000, 3)):
+        monkeypatch.setattr(lm, "PART_BYTES", parts)
+        monkeypatch.setattr(lm, "_FIELD", field)
+        got = {x.doc_id: x for x in lm.lm_scores(df, shared.crc_mod("doc_id", 7) != 2).collect()}
+        assert len(got) == len(rows)
+        for (k, _), (n, known, total, base, score) in want.items():
+            assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (n, known, total) and total > 1 << 21
+            assert got[k].base_score == pytest.approx(base, rel=1e-9)
+            assert got[k].score == pytest.approx(score, rel=1e-9)
