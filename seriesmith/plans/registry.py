@@ -13,7 +13,9 @@ from . import oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = oracles.SQL
+#: Queries over several detectors, whose SQL stands beside the form without the forest, which SQL cannot follow.
+OF_DETECTORS = ("detect_all", "detect_wide", "ensemble", "run_summary", "eval_grid", "eval_means", "eval_pivot", "eval_averages")
+ORACLES: dict[str, str] = {f"{k}_without_forest" if k in OF_DETECTORS else k: v for k, v in oracles.SQL.items()}
 
 #: Window of the registered tumbling queries, and width of buckets that truth is built of.
 TUMBLING, TRUTH_BUCKET = "6 hours", "12 hours"
@@ -136,18 +138,21 @@ _register("tumbling_iqr", lambda s, d: out(detectors.tumbling_iqr(events(s, d),
 _register("spark_rolling", lambda s, d: found(detectors.plain_rolling_zscore(events(s, d))))
 _register("compare_methods", lambda s, d: detectors.compare_methods(events(s, d)))
 
-#: Detectors of the registered queries that SQL can follow.
-NAMES = ("rolling_zscore", "prediction_error", "hybrid", "mean_shift")
+#: All detectors, and those that SQL can follow.
+NAMES = tuple(ensemble.REGISTRY)
+WITHOUT_FOREST = ("rolling_zscore", "prediction_error", "hybrid", "mean_shift")
 
 
-def long_form(spark: SparkSession, sf_dir: str, k: float = K) -> DataFrame:
-    return ensemble.detect_all(events(spark, sf_dir), NAMES, {n: {"threshold": Threshold("adaptive_std", k=k)} for n in NAMES})
+def long_form(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = NAMES, k: float = K) -> DataFrame:
+    """Detectors at the adaptive threshold; the forest, which has none, at its default contamination."""
+    return ensemble.detect_all(events(spark, sf_dir), names, {n: {"threshold": Threshold("adaptive_std", k=k)} for n in names if n != "isolation_forest"})
 
 
-_register("detect_all", lambda s, d: found(long_form(s, d), ("algorithm", "series_id", "idx")))
-_register("detect_wide", lambda s, d: out(ensemble.wide(long_form(s, d), NAMES), *(f"{n}_{c}" for n in NAMES for c in ("anomaly", "score"))))
-_register("ensemble", lambda s, d: out(ensemble.vote(long_form(s, d)), "score", "label"))
-_register("run_summary", lambda s, d: out(ensemble.run_summary(long_form(s, d)), "points", "anomalies", "percent", "min_score", "max_score", "mean_score", keys=("algorithm",)))
+for _s, _n in (("", NAMES), ("_without_forest", WITHOUT_FOREST)):
+    _register(f"detect_all{_s}", lambda s, d, n=_n: found(long_form(s, d, n), ("algorithm", "series_id", "idx")))
+    _register(f"detect_wide{_s}", lambda s, d, n=_n: out(ensemble.wide(long_form(s, d, n), n), *(f"{x}_{c}" for x in n for c in ("anomaly", "score"))))
+    _register(f"ensemble{_s}", lambda s, d, n=_n: out(ensemble.vote(long_form(s, d, n)), "score", "label"))
+    _register(f"run_summary{_s}", lambda s, d, n=_n: out(ensemble.run_summary(long_form(s, d, n)), "points", "anomalies", "percent", "min_score", "max_score", "mean_score", keys=("algorithm",)))
 _register("top_anomalies", lambda s, d: found(ensemble.top_anomalies(detectors.rolling_zscore(events(s, d), threshold=ADAPTIVE))))
 _register("dominant_type", lambda s, d: ensemble.dominant_type(detectors.hybrid(events(s, d), threshold=Threshold("percentile", percentile=90.1))))
 _register("if_features", lambda s, d: out(forest.forest_features(events(s, d)), *forest.FEATURES))
@@ -197,23 +202,24 @@ _register("score_contrast", lambda s, d: out(evaluate.score_contrast(judged(s, d
 _register("diagnostic_ratio", lambda s, d: out(evaluate.diagnostic_ratio(judged(s, d)[0]), "detected_percent", "truth_percent", "ratio", keys=_S))
 
 
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grid(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = NAMES) -> DataFrame:
     """Fuzzy metrics by series, algorithm and sensitivity."""
     df = events(spark, sf_dir)
     spans = evaluate.intervals_to_index(df, intervals(df))
     out_ = None
     for threshold in ("Low", "Medium"):
-        for name in NAMES:
+        for name in names:
             one = evaluate.fuzzy(ensemble.detect(df, name, **ensemble.preset(name, threshold)), spans, 5)
             one = one.select("series_id", F.lit(name).alias("algorithm"), F.lit(threshold).alias("threshold"), "precision", "recall", "f1", "tp", "fp", "fn")
             out_ = one if out_ is None else out_.unionByName(one)
     return out_
 
 
-_register("eval_grid", lambda s, d: out(grid(s, d), "precision", "recall", "f1", "tp", "fp", "fn", keys=("series_id", "algorithm", "threshold")))
-_register("eval_means", lambda s, d: evaluate.grouped_mean(grid(s, d), ("algorithm", "threshold")))
-_register("eval_pivot", lambda s, d: evaluate.pivot_f1(evaluate.grouped_mean(grid(s, d), ("algorithm", "threshold")), ("Low", "Medium")))
-_register("eval_averages", lambda s, d: out(evaluate.averages(grid(s, d)), "avg_precision", "avg_recall", "avg_f1", "std_f1", "best", keys=("algorithm",)))
+for _s, _n in (("", NAMES), ("_without_forest", WITHOUT_FOREST)):
+    _register(f"eval_grid{_s}", lambda s, d, n=_n: out(grid(s, d, n), "precision", "recall", "f1", "tp", "fp", "fn", keys=("series_id", "algorithm", "threshold")))
+    _register(f"eval_means{_s}", lambda s, d, n=_n: evaluate.grouped_mean(grid(s, d, n), ("algorithm", "threshold")))
+    _register(f"eval_pivot{_s}", lambda s, d, n=_n: evaluate.pivot_f1(evaluate.grouped_mean(grid(s, d, n), ("algorithm", "threshold")), ("Low", "Medium")))
+    _register(f"eval_averages{_s}", lambda s, d, n=_n: out(evaluate.averages(grid(s, d, n)), "avg_precision", "avg_recall", "avg_f1", "std_f1", "best", keys=("algorithm",)))
 
 
 @query
