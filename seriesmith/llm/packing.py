@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -18,11 +19,20 @@ CAPACITY = 2048
 GROUP = 16_384
 
 
+def added_tokens(tokenizer: str) -> tuple[tuple[str, int], ...]:
+    """Contents and ids of a tokenizer file's added tokens, which it matches in a text as they stand."""
+    with open(tokenizer, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t[k] for t in found for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("an added token that takes in what stands around it")
+    return tuple((t["content"], t["id"]) for t in found)
+
+
 @lru_cache(maxsize=2)
-def _encoding(ranks: str, pattern: str) -> tiktoken.Encoding:
+def _encoding(ranks: str, pattern: str, added: tuple[tuple[str, int], ...]) -> tiktoken.Encoding:
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=dict(added))
 
 
 def cut_lengths(total: int, most: int) -> list[int]:
@@ -31,22 +41,23 @@ def cut_lengths(total: int, most: int) -> list[int]:
     return [first] * (first > 0) + [most] * (total // most)
 
 
-def token_pieces(docs: DataFrame, ranks: str, pattern: str, end_id: int = 0, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def token_pieces(docs: DataFrame, ranks: str, pattern: str, end_id: int = 0, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """(doc_id, piece, start, length, ids): each whole text's token ids and end_id, as little-endian unsigned 32-bit numbers, cut where there are more than capacity.
 
+    Added tokens, (content, id), are one id each wherever they stand in a text.
     A null or empty text is end_id alone. Rows are independent; other columns
     are not read; an empty table gives none.
     """
 
     def run(batches):
-        encoding = _encoding(ranks, pattern)
+        encoding = _encoding(ranks, pattern, added)
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows = []
                 for name, t in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
-                    ids = np.asarray(encoding.encode_to_numpy(t.as_py() or "", disallowed_special=()), "<u4").tobytes() + tail
+                    ids = np.asarray(encoding.encode_to_numpy(t.as_py() or "", allowed_special="all", disallowed_special=()), "<u4").tobytes() + tail
                     start = 0
                     for piece, n in enumerate(cut_lengths(len(ids) // 4, capacity)):
                         rows.append((name, piece, start, n, ids[4 * start : 4 * (start + n)]))

@@ -9,7 +9,8 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seriesmith.llm import bpe, media, packing
+import corpus_pipeline
+from seriesmith.llm import bpe, media, packing, queries
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 TEXTS = ["", "Hello, world's  best\n\n test", "naïve Straße ½ ² Ⅷ 12345", "𝒳𝒴 emoji 😀😀", "a" * 500, " " * 70 + "x", "\x1c\x1d tab\tend\r\n", "don't 're 'll", "日本語のテキスト", "<|endoftext|> x", "​﻿　 z", "ß" * 40]
@@ -148,3 +149,19 @@ def test_best_fit_is_close_to_the_bound():
     assert np.bincount(bins, lengths).max() <= 2048 and len(set(bins)) == made
     assert made <= 1.01 * lengths.sum() / 2048 + 1
     assert packing.best_fit(np.empty(0, np.int64), (2048, 2, 9.0), (1, 1, 1))[2] == 0
+
+
+def test_added_tokens_are_the_librarys(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"one {end} two", end, f"{end}{end}", f"a  {end}  b \n{end}\n", f"x{end}y <|endoftext|", f"{end} " * 3000, "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {k: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4") for k, t in enumerate(texts)}
+    assert len(want[0]) == 5
+    got = queries.op9_best_fit_packing(spark, str(tmp_path)).collect()
+    stage = corpus_pipeline.best_fit_packing(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    for rows in (got, stage):
+        assert {r.doc_id for r in rows} == set(want)
+        for r in rows:
+            assert r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes())
+        assert all(sum(r.length for r in rows if r.doc_id == k) == len(ids) for k, ids in want.items())
