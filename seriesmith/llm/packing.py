@@ -17,6 +17,8 @@ from . import shared
 CAPACITY = 2048
 #: Pieces that are packed together; every group leaves one sequence partly empty at most.
 GROUP = 16_384
+#: Documents of a sequence, and weights of the three residuals, in the registered query and the pipeline.
+DOCUMENTS, WEIGHTS = 64, (1.0, 1.0, 1.0)
 
 
 def added_tokens(tokenizer: str) -> tuple[tuple[str, int], ...]:

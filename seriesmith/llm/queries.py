@@ -60,7 +60,7 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), documents=packing.DOCUMENTS, weights=packing.WEIGHTS)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,3 +165,12 @@ def test_added_tokens_are_the_librarys(spark, tmp_path):
         for r in rows:
             assert r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes())
         assert all(sum(r.length for r in rows if r.doc_id == k) == len(ids) for k, ids in want.items())
+
+
+def test_documents_of_a_sequence_are_limited_in_production(spark, tmp_path):
+    spark.createDataFrame([(k, "short") for k in range(300)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    stage = corpus_pipeline.best_fit_packing(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    for df in (queries.op9_best_fit_packing(spark, str(tmp_path)), stage):
+        counts = [r["count"] for r in df.groupBy("sequence_id").count().collect()]
+        assert sum(counts) == 300 and len(counts) == 5 and max(counts) <= 64
+    assert all(w > 0 for w in packing.WEIGHTS)
