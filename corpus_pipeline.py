@@ -48,8 +48,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking credentials are masked in the texts; n_chars follows."""
-    clean = secrets.redact(docs)
+    """Credentials that are not widely copied are masked in the texts; n_chars follows."""
+    clean = secrets.redact(docs, many=secrets.MANY)
     return clean.select(*(F.coalesce(F.length("text"), F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else shared.named(c) for c in docs.columns))
 
 

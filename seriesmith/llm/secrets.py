@@ -23,6 +23,8 @@ HEX = r"[0-9a-f]{24,}"
 MIXED = r"[A-Za-z0-9+/_=-]{20,}"
 #: From so many owners on a value is a copied example.
 WIDE = 3
+#: Where masking leaves no value undecided, one in so many repositories is a copied example too, whoever owns them.
+MANY = 4
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int, ok) -> Column:
@@ -51,11 +53,13 @@ def _plain(spans: Column) -> Column:
 _NONE = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
-def find(docs: DataFrame, text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), wide: int = WIDE, keep: tuple[str, ...] = ()) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), wide: int = WIDE, keep: tuple[str, ...] = (), many: int | None = None) -> DataFrame:
     """A row per row: the columns in keep as one struct `kept`, then base, live, copied and owned, arrays of spans (start, kind, end).
 
     live are base spans whose value one owner holds alone, copied those that
-    `wide` owners or more hold, owned mixed tokens of one owner.
+    `wide` owners or more hold, owned mixed tokens of one owner. With `many`
+    each value is one or the other: copied if `wide` owners or `many`
+    repositories hold it, else live, or owned.
     """
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
     rows = docs.select(F.struct(*map(shared.named, keep)).alias("kept"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), part(owner).alias("owner"), F.concat_ws("\1", *map(part, repository)).alias("repo"))
@@ -74,7 +78,12 @@ def find(docs: DataFrame, text: str = "text", owner: str = "source", repository:
     span = F.struct("start", "kind", "end")
     pick = lambda ok: F.array_sort(F.collect_list(F.when(ok, span)))
     is_base = F.col("kind") < 3
-    judged = each.join(held, "hash").groupBy("row").agg(pick(is_base & (F.col("owners") == 1)).alias("live"), pick(is_base & (F.col("owners") >= wide)).alias("copied"), pick(~is_base & (F.col("owners") == 1)).alias("owned"))
+    copied = F.col("owners") >= wide
+    live = F.col("owners") == 1
+    if many is not None:
+        copied = copied | (F.col("repos") >= many)
+        live = ~copied
+    judged = each.join(held, "hash").groupBy("row").agg(pick(is_base & live).alias("live"), pick(is_base & copied).alias("copied"), pick(~is_base & live).alias("owned"))
     none = F.array().cast(_NONE)
     some = rows.where(F.size("base") + F.size("mixed") > 0).select("row", "kept", _plain(F.col("base")).alias("base")).join(judged, "row").drop("row")
     return some.unionByName(rows.where(F.size("base") + F.size("mixed") == 0).select("kept", *(none.alias(c) for c in ("base", "live", "copied", "owned"))))
@@ -94,9 +103,9 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str
     return found.select(F.col("kept").getField(doc_id).alias("doc_id"), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "owned")).alias("spans"), size("live"), size("copied"), size("owned"))
 
 
-def redact(docs: DataFrame, text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), wide: int = WIDE, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), wide: int = WIDE, mark: str = "[SECRET]", many: int | None = None) -> DataFrame:
     """The same rows and columns, with every live base span and owned token of the text replaced by mark; spans that overlap become one."""
-    found = find(docs, text, owner, repository, wide, tuple(docs.columns))
+    found = find(docs, text, owner, repository, wide, tuple(docs.columns), many)
     spans = F.array_sort(F.concat("live", "owned"))
     t = F.col("kept").getField(text)
 

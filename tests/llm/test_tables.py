@@ -166,3 +166,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in seen[4].collect()} == set(stay)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(stay)
     assert os.path.isdir(f"{tmp_path}/3")
+
+
+def test_the_pipeline_masks_what_is_not_widely_copied(spark):
+    two, three, hot, mixed = "AKIA" + "A" * 16, "AKIA" + "D" * 16, "AKIA" + "E" * 16, TOKEN
+    rows = [(two, s, "en") for s in "ab"] + [(three, s, "en") for s in "abc"] + [(hot, "a", lang) for lang in ("de", "en", "es", "fr")] + [(mixed, s, "en") for s in "ab"]
+    docs = spark.createDataFrame([(k, f"see {v}.", lang, s, len(v) + 5) for k, (v, s, lang) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int")
+    clean = {r.doc_id: r.text for r in corpus_pipeline.secret_scan(spark, docs, "").collect()}
+    for k, (v, _, _) in enumerate(rows):
+        assert clean[k] == ("see [SECRET]." if v in (two, mixed) else f"see {v}.")
+    found = secrets.find(docs, keep=("doc_id",), many=secrets.MANY).collect()
+    assert len(found) == len(rows) and all(len(r.live) + len(r.copied) == len(r.base) for r in found)
