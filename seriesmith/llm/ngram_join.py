@@ -365,7 +365,6 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     dealt = postings.repartition(parts, "sig", "salt").sortWithinPartitions("sig", "salt", "digest")
     coarse = shared.cut(shared.components(shared.map_batches(dealt, _stars, "a long, b long")), "coarse")
     del emitted, postings, dealt
-    shared.release(spark)
 
     classes = shared.cut(rows.groupBy("digest").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
     members = shared.cut(classes.join(coarse.withColumnRenamed("node", "digest"), "digest").select("digest", "n", "copies", "label"), "members")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import tempfile
 import uuid
 
@@ -20,21 +19,34 @@ _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set, as in tests."""
+    """The folder that all executors share; a temporary one only where none is set and all run on this machine, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='shared-')}")
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes df to the shared folder and reads it again, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)  # and shuffle files of this plan are of no more use
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -76,10 +88,22 @@ def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(tidy, schema)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of plans that nothing refers to any more, which Spark removes when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Keys of so large a share of a table's rows, one in so many, are told to all tasks: no more keys than this.
+HOT = 1000
+
+
+def join_to_one(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """many joined to `one`, which has a row a key with its number of rows in many, times; times is left out.
+
+    A key that a thousandth of all rows share is hot. There are a thousand hot
+    keys at most; they are told to all tasks, so that their rows stay where they
+    are. one must come from files, as it is read several times.
+    """
+    total = one.agg(F.sum("times")).first()[0] or 0
+    hot = F.broadcast(one.where(F.col("times") * HOT >= total))
+    few = many.join(hot, key)
+    rest = many.join(hot.select(key), key, "left_anti").join(one.where(F.col("times") * HOT < total), key, how)
+    return few.unionByName(rest).drop("times")
 
 
 def named(column: str):
