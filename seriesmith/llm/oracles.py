@@ -17,10 +17,11 @@ SELECT s.doc_id, len(g)::bigint AS n_shingles, (SELECT min(m) FROM reach r WHERE
 """
 
 
-def url_filter(rules: list[tuple[str, str]], listed: tuple[str, ...]) -> str:
+def url_filter(rules: list[tuple[str, str]], made: int, below: str) -> str:
     fits = lambda rule: "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{2}'))".format(*rule.partition("/"))
     cases = sorted(rules, key=lambda x: (-len(x[1]), x[1]))
-    on_list = " OR ".join(f"host = '{d}' OR ends_with(host, '.{d}')" for d in listed)
+    key = lambda k: f"array_to_string(string_split(host, '.')[-{k}:], '.')"
+    on_list = " OR ".join(f"(md5({key(k)}) < '{below}' AND {key(k)} LIKE '%.%.%') OR coalesce(try_cast(regexp_extract({key(k)}, '^site-(0|[1-9][0-9]*)\\.example\\.net$', 1) AS bigint) < {made}, false)" for k in (1, 2, 3))
     rule = " ".join(f"WHEN {fits(t)} THEN '{t}'" for _, t in cases)
     verdict = " ".join(f"WHEN {fits(t)} THEN '{what}'" for what, t in cases)
     return f"""
@@ -45,11 +46,11 @@ base AS ({_matches(secrets.ASSIGN, 0, 1, 'length(v) >= 6')} UNION ALL {_matches(
 mixed AS ({_matches(secrets.MIXED, 3, 0, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')")}),
 apart AS (SELECT * FROM mixed m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND b.start < m.stop AND m.start < b.stop)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM apart),
-held AS (SELECT v, count(DISTINCT source) AS owners FROM every JOIN t USING (doc_id) GROUP BY v),
+held AS (SELECT v, count(DISTINCT coalesce(source, '')) >= {secrets.WIDE} OR count(DISTINCT (coalesce(source, ''), coalesce(lang, ''))) >= {secrets.MANY} AS copied FROM every JOIN t USING (doc_id) GROUP BY v),
 j AS (SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS span FROM every JOIN held USING (v)),
 a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-  coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base, coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3 OR owners = 1), '') AS spans,
-  count(*) FILTER (kind < 3 AND owners = 1) AS n_live, count(*) FILTER (kind < 3 AND owners >= {secrets.WIDE}) AS n_copied, count(*) FILTER (kind = 3 AND owners = 1) AS n_owned FROM j GROUP BY doc_id)
+  coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base, coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3 OR NOT copied), '') AS spans,
+  count(*) FILTER (kind < 3 AND NOT copied) AS n_live, count(*) FILTER (kind < 3 AND copied) AS n_copied, count(*) FILTER (kind = 3 AND NOT copied) AS n_owned FROM j GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
   coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(n_owned, 0) AS n_owned FROM t LEFT JOIN a USING (doc_id)
 """

@@ -19,13 +19,15 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Rules of op2: what to do with a host and its subdomains where the path begins so.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Listed domains of op2, of three labels at most.
-LISTED = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
+#: The list of op2 stands in for a bought one: so many made-up names, and the domains of the corpus, of three labels at most and more than two, whose md5 begins with 0 or 1.
+LISTED, LISTED_BELOW = 200_000, "2"
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED))).alias("key"))
-    return url_filter.url_verdicts(_table(spark, sf_dir, "pages"), RULES, listed, labels=3)
+    pages = _table(spark, sf_dir, "pages")
+    made = spark.range(LISTED).select(F.concat(F.lit("site-"), F.col("id").cast("string"), F.lit(".example.net")).alias("key"))
+    bad = url_filter.corpus_keys(pages, 3).where((F.md5(F.col("key").cast("binary")) < LISTED_BELOW) & F.col("key").like("%.%.%"))
+    return url_filter.url_verdicts(pages, RULES, made.unionByName(bad), labels=3)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), documents=packing.DOCUMENTS, weights=packing.WEIGHTS)
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +73,7 @@ QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_url_filter, op3_t
 
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": oracles.NGRAM_JACCARD,
-    "op2_url_filter": oracles.url_filter(RULES, LISTED),
+    "op2_url_filter": oracles.url_filter(RULES, LISTED, LISTED_BELOW),
     "op7_secret_scan": oracles.SECRETS,
     "op8_exact_top_k": oracles.TOP_K,
 }
