@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -12,11 +13,11 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import bpe, shared
 
 CAPACITY = 2048
 #: Pieces that are packed together; every group leaves one sequence partly empty at most.
-GROUP = 16_384
+GROUP = 4096
 #: Documents of a sequence, and weights of the three residuals, in the registered query and the pipeline.
 DOCUMENTS, WEIGHTS = 64, (1.0, 1.0, 1.0)
 
@@ -37,6 +38,19 @@ def _encoding(ranks: str, pattern: str, added: tuple[tuple[str, int], ...]) -> t
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=dict(added))
 
 
+#: White space of a length at which the library's pattern engine may run out of stack.
+_LONG_RUN = re.compile(r"\s{4096}")
+
+
+def token_ids(text: str, ranks: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> np.ndarray:
+    """Ids of a whole text; one with very long runs of white space goes through the encoder of this package, which has no stack to run out of."""
+    if not _LONG_RUN.search(text):
+        return np.asarray(_encoding(ranks, pattern, added).encode_to_numpy(text, allowed_special="all", disallowed_special=()), "<u4")
+    names, plain = dict(added), bpe.load(ranks, pattern)
+    parts = re.split("(" + "|".join(map(re.escape, names)) + ")", text) if names else [text]
+    return np.array([i for part in parts for i in ([names[part]] if part in names else plain.encode(part))], "<u4")
+
+
 def cut_lengths(total: int, most: int) -> list[int]:
     """Lengths of a document's pieces: only the first may be shorter than most."""
     first = total % most
@@ -52,14 +66,13 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, end_id: int = 0, cap
     """
 
     def run(batches):
-        encoding = _encoding(ranks, pattern, added)
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows = []
                 for name, t in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
-                    ids = np.asarray(encoding.encode_to_numpy(t.as_py() or "", allowed_special="all", disallowed_special=()), "<u4").tobytes() + tail
+                    ids = token_ids(t.as_py() or "", ranks, pattern, added).tobytes() + tail
                     start = 0
                     for piece, n in enumerate(cut_lengths(len(ids) // 4, capacity)):
                         rows.append((name, piece, start, n, ids[4 * start : 4 * (start + n)]))
@@ -114,26 +127,28 @@ def best_fit(lengths: np.ndarray, limits: tuple[float, float, float], weights: t
     return bins, offsets, made
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, documents: int = CAPACITY, attention: float = float(CAPACITY) ** 2, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> DataFrame:
-    """Adds sequence_id and offset to pieces, which need length and keep their other columns.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, documents: int = DOCUMENTS, attention: float = float(CAPACITY) ** 2, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> DataFrame:
+    """Adds sequence_id and offset to pieces, which need length and keep their other columns; columns that have these two names are replaced.
 
     Every sequence obeys the three limits: tokens, documents and the summed
     square of lengths. Pieces are dealt evenly by a hash into groups of about
     GROUP, whatever their source or length, and each group is packed by itself.
+    Repeated pieces are pieces of their own; an empty table gives none; a piece
+    longer than a limit allows, or of null length, is an error.
     """
-    if {"sequence_id", "offset", "group"} & set(pieces.columns):
-        raise ValueError("sequence_id, offset and group are names of the result")
-    pieces = shared.cut(pieces, "pieces")
+    pieces = shared.cut(pieces.drop("sequence_id", "offset"), "pieces")
     groups = max(1, -(-pieces.count() // GROUP))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "ids"], F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+    name = "group" + "_" * max(map(len, pieces.columns))  # a name that no column has
+    by = [shared.named(c) for c in pieces.columns if c != "ids"]
+    dealt = pieces.withColumn(name, F.pmod(F.xxhash64(*by, F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     limits = (float(capacity), float(documents), float(attention))
 
     def run(key, table):
         shared.trim()
         lengths = np.asarray(table.column("length").combine_chunks())
         bins, offsets, _ = best_fit(lengths, limits, weights, rule)
-        table = table.drop_columns(["group"])
+        table = table.drop_columns([name])
         return table.append_column("sequence_id", pa.array(bins + (key[0].as_py() << 32))).append_column("offset", pa.array(offsets))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("group").applyInArrow(run, schema)
+    schema = ", ".join("`" + f.name.replace("`", "``") + f"` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    return dealt.groupBy(name).applyInArrow(run, schema)

@@ -151,6 +151,59 @@ def test_best_fit_is_close_to_the_bound():
     assert packing.best_fit(np.empty(0, np.int64), (2048, 2, 9.0), (1, 1, 1))[2] == 0
 
 
+def naive_best_fit(lengths, limits, weights):
+    """Vector best fit by its definition: every bin is looked at for every piece."""
+    bins, out = [], [0] * len(lengths)
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        need = (float(lengths[k]), 1.0, float(lengths[k]) ** 2)
+        best = None
+        for at, room in enumerate(bins):
+            left = [r - n for r, n in zip(room, need, strict=True)]
+            if min(left) >= 0:
+                norm = sum(w * (x / m) ** 2 for x, w, m in zip(left, weights, limits, strict=True))
+                if best is None or norm < best[0] - 1e-12:
+                    best = norm, at, left
+        if best is None:
+            bins.append([m - n for m, n in zip(limits, need, strict=True)])
+            out[k] = len(bins) - 1
+        else:
+            bins[best[1]], out[k] = best[2], best[1]
+    return out
+
+
+def test_best_fit_against_brute_force():
+    rng = np.random.default_rng(4)
+    for limits, weights in (((2048, 64, 2048.0**2), (1.0, 1.0, 1.0)), ((2048, 5, 2048.0**2), (1.0, 1.0, 1.0)), ((2048, 2048, 2048.0**2), (1.0, 0.0, 0.0))):
+        lengths = np.minimum(2048, rng.geometric(1 / 200, 400))
+        bins, offsets, made = packing.best_fit(lengths, limits, weights)
+        assert bins.tolist() == naive_best_fit(lengths.tolist(), limits, weights)
+        for b in range(made):
+            mine = np.flatnonzero(bins == b)
+            mine = mine[np.argsort(offsets[mine])]
+            assert offsets[mine].tolist() == np.r_[0, np.cumsum(lengths[mine])[:-1]].tolist() and len(mine) <= limits[1]
+    lengths = np.minimum(2048, rng.geometric(1 / 200, 2000))
+    assert (packing.best_fit(lengths, (2048, 64, 2048.0**2), packing.WEIGHTS)[0] != packing.best_fit(lengths, (2048, 2048, 2048.0**2), (1.0, 0.0, 0.0))[0]).any()
+
+
+def test_long_runs_of_white_space(spark):
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ranks, added = P.path("byte_bpe_50k.tiktoken"), packing.added_tokens(P.path("byte_bpe_50k.json"))
+    for text in (" " * 9000 + "x", "a" + "\n" * 9000, "\t \n" * 4000 + "<|endoftext|>" + " " * 5000, "word" * 5000):
+        assert packing.token_ids(text, ranks, P.PATTERN, added).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    text = {1: " " * 1_000_000, 2: "\n" * 1_000_000, 3: "a" * 1_000_000}
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    got = packing.token_pieces(docs, ranks, P.PATTERN, added=added).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    plain = bpe.load(ranks, P.PATTERN)
+    assert {r.doc_id: r.n for r in got} == {k: len(plain.encode(t)) + 1 for k, t in text.items()}
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(k, 5, "a", 9, 9, "b") for k in range(7)], "doc_id long, length long, `group` string, sequence_id int, offset int, `a``b` string")
+    got = packing.pack(df)
+    assert got.columns == ["doc_id", "length", "group", "a`b", "sequence_id", "offset"] and got.count() == 7
+    assert {r.group for r in got.collect()} == {"a"} and got.select("sequence_id", "offset").distinct().count() == 7
+
+
 def test_added_tokens_are_the_librarys(spark, tmp_path):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     end = "<|endoftext|>"
