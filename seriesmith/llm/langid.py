@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,8 +14,8 @@ from . import shared
 ORDER = 4
 #: Characters of training text a language, at most on average: a bounded sample of whole labelled documents.
 SAMPLE_CHARS = 1_500_000
-#: Symbols: 0 for all that is no letter, 1 for letters that are none of the most frequent, then those.
-SYMBOLS = 48
+#: Bytes of a cache of looked-up codes.
+CACHE_BYTES = 1 << 26
 UND = "und"
 _PLANE = 1 << 16
 
@@ -72,10 +71,12 @@ def probabilities(levels: list[Level], codes: np.ndarray, base: int) -> np.ndarr
 
 
 class Alphabet:
+    """Symbols: 0 for all that is no letter, 1 for letters that no sample had, then those that one had."""
+
     def __init__(self, letters: list[str]):
         self.letters = letters
         self.size = len(letters) + 2
-        at = {c: k + 2 for k, c in enumerate(letters)}
+        at = self.at = {c: k + 2 for k, c in enumerate(letters)}
         self.table = np.zeros(_PLANE + 1, np.int32)
         for c in range(_PLANE):
             if not 0xD800 <= c < 0xE000 and (ch := chr(c)).isalpha():
@@ -95,7 +96,7 @@ class Alphabet:
         symbols = self.table[np.minimum(points, _PLANE)]
         beyond = np.flatnonzero(points >= _PLANE)
         if len(beyond):
-            symbols[beyond] = [int(chr(c).isalpha()) for c in points[beyond].tolist()]
+            symbols[beyond] = [self.at.get(chr(c).lower()[:1], 1) if chr(c).isalpha() else 0 for c in points[beyond].tolist()]
         n, code = len(symbols), np.zeros(len(symbols), np.int64)
         before = None
         for k in range(ORDER - 1, -1, -1):
@@ -117,7 +118,7 @@ class LanguageModel:
 
     def __init__(self, alphabet: Alphabet, names: list[str], levels: list[list[Level]], limits: np.ndarray):
         self.alphabet, self.names, self.levels, self.limits = alphabet, names, levels, limits
-        self._known = None
+        self._codes, self._logs = np.empty(0, np.int64), np.empty((0, len(names)))
 
     def __getstate__(self):
         return {"letters": self.alphabet.letters, "names": self.names, "levels": self.levels, "limits": self.limits}
@@ -126,19 +127,26 @@ class LanguageModel:
         self.__init__(Alphabet(state["letters"]), state["names"], state["levels"], state["limits"])
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
-        """(codes, languages) natural logarithms; looked up in the hash arrays once for each different code."""
-        size = self.alphabet.size**ORDER
-        if size * len(self.names) <= 1 << 25:
-            if self._known is None:
-                self._known = np.zeros((size, len(self.names)), np.float32)
-            new = codes[self._known[codes, 0] == 0]
-            if len(new):
-                new = np.unique(new)
-                for k, levels in enumerate(self.levels):
-                    self._known[new, k] = np.log(probabilities(levels, new, self.alphabet.size))
-            return self._known[codes]
-        different, at = np.unique(codes, return_inverse=True)
-        return np.stack([np.log(probabilities(levels, different, self.alphabet.size)) for levels in self.levels], 1)[at]
+        """(codes, languages) natural logarithms; each different code is looked up once, and kept up to a bound."""
+        coded = pa.array(codes).dictionary_encode()
+        different, at = np.asarray(coded.dictionary), np.asarray(coded.indices)
+        place = np.searchsorted(self._codes, different)
+        known = place < len(self._codes)
+        known[known] = self._codes[place[known]] == different[known]
+        if not known.all():
+            new = np.sort(different[~known])
+            logs = np.stack([np.log(probabilities(levels, new, self.alphabet.size)) for levels in self.levels], 1)
+            if (len(self._codes) + len(new)) * 8 * (len(self.names) + 1) > CACHE_BYTES:
+                self._codes, self._logs = np.empty(0, np.int64), np.empty((0, len(self.names)))
+                if known.any():
+                    return self.log_probabilities(codes) if len(different) * 8 * (len(self.names) + 1) <= CACHE_BYTES else self._direct(different)[at]
+            where = np.searchsorted(self._codes, new)
+            self._codes, self._logs = np.insert(self._codes, where, new), np.insert(self._logs, where, logs, 0)
+            place = np.searchsorted(self._codes, different)
+        return self._logs[place][at]
+
+    def _direct(self, codes: np.ndarray) -> np.ndarray:
+        return np.stack([np.log(probabilities(levels, codes, self.alphabet.size)) for levels in self.levels], 1)
 
     def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each row: cross-entropies by language, scored characters, letters."""
@@ -155,34 +163,43 @@ class LanguageModel:
         return out, counts, letters
 
 
-#: A text is rejected beyond so many standard deviations above a language's mean cross-entropy, and
-#: beyond the most that a training text had, by this share of what is missing to the uniform distribution.
-DEVIATIONS, MARGIN = 8.0, 0.5
+#: The limit of a language is set so that this share of texts that its model has not seen stays below it, and then this much higher.
+SHARE, MARGIN = 0.95, 2.5
+#: Characters of a text from which on it takes part in the calibration.
+LEAST = 30
+
+
+def _trained(texts: dict[str, list[np.ndarray]], alphabet: Alphabet) -> LanguageModel:
+    return LanguageModel(alphabet, sorted(texts), [train(np.concatenate([*texts[name], np.empty(0, np.int64)]), ORDER, alphabet.size) for name in sorted(texts)], np.zeros((len(texts), 4)))
 
 
 def fit(sample: list[tuple[str, str]]) -> LanguageModel:
-    """A model from (language, text) pairs."""
-    seen: Counter[str] = Counter()
-    texts: dict[str, list[str]] = {}
+    """A model from (language, text) pairs.
+
+    Rejection is calibrated by cross-fitting: either half of a language's texts
+    is scored by a model of the other half. A text of n characters is rejected
+    beyond mean + z * sqrt(spread**2 + noise**2 / n), of such unseen texts.
+    """
+    letters: set[str] = set()
+    for _, text in sample:
+        letters.update(c for c in text.lower() if c.isalpha())
+    alphabet = Alphabet(sorted(letters))
+    coded: dict[str, list[np.ndarray]] = {}
     for name, text in sample:
-        texts.setdefault(name, []).append(text)
-        seen.update(c for c in text.lower() if c.isalpha() and ord(c) < _PLANE)
-    alphabet = Alphabet(sorted(sorted(seen, key=lambda c: (-seen[c], c))[: SYMBOLS - 2]))
-    names, levels, coded = sorted(texts), [], {}
-    for name in names:
-        raw = [t.encode() for t in texts[name]]
-        coded[name] = alphabet.codes(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
-        levels.append(train(coded[name][0], ORDER, alphabet.size))
-    model = LanguageModel(alphabet, names, levels, np.zeros((len(names), 4)))
-    for k, name in enumerate(names):
-        codes, first, _ = coded[name]
-        logs = -model.log_probabilities(codes)[:, k].astype(np.float64)
-        sums, n = np.r_[0.0, np.cumsum(logs)], np.diff(first)
-        mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n, 1)
-        long = mean[n >= 30]
-        top = long.max(initial=0.0)
-        top += MARGIN * max(0.0, np.log(alphabet.size) - top)
-        model.limits[k] = logs.mean() if len(logs) else 0, long.std() if len(long) > 1 else 1.0, logs.std() if len(logs) else 1.0, top
+        raw = np.frombuffer(text.encode(), np.uint8)
+        coded.setdefault(name, []).append(alphabet.codes(raw, np.array([0, len(raw)]))[0])
+    model = _trained(coded, alphabet)
+    halves = [_trained({name: texts[k::2] for name, texts in coded.items()}, alphabet) for k in (1, 0)]
+    for k, name in enumerate(model.names):
+        each = [-half.log_probabilities(codes)[:, k] for at, half in enumerate(halves) for codes in coded[name][at::2] if len(codes) >= LEAST]
+        if not each:
+            model.limits[k] = np.log(alphabet.size), 1.0, 1.0, 1.0
+            continue
+        n, mean = np.array([len(x) for x in each]), np.array([x.mean() for x in each])
+        centre, noise = np.median(mean), np.sqrt(np.mean([x.var() for x in each]))
+        spread = np.median(np.abs(mean - centre)) * 1.4826
+        away = (mean - centre) / np.sqrt(spread**2 + noise**2 / n)
+        model.limits[k] = centre, spread, noise, max(3.0, np.quantile(away, SHARE)) * MARGIN
     return model
 
 
@@ -226,8 +243,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", d
                 odds = np.exp(-(entropies - entropy[:, None]) * np.minimum(n, 40)[:, None])
                 none = letters == 0
                 score = np.where(none, 0.0, 1 / odds.sum(1))
-                mean, spread, noise, top = model.limits[at].T
-                bad = none | (entropy > np.maximum(top, mean + DEVIATIONS * (spread + noise / np.sqrt(np.maximum(n, 1)))))
+                mean, spread, noise, z = model.limits[at].T
+                bad = none | (entropy > mean + z * np.sqrt(spread**2 + noise**2 / np.maximum(n, 1)))
                 best = np.array(model.names, object)[at]
                 best[none] = UND
             made = [pa.array(best.tolist(), pa.string()), pa.array(score), pa.array(entropy), pa.array(bad)]

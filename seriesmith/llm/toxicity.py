@@ -1,11 +1,14 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-Words become classes: insult, threat, target, negation, report, or nothing.
-Insults are stems learnt from labelled texts; the other classes are closed lists.
-Transducers for targets, negation and reported speech are composed; run over a
-clause, the composition writes each insult or threat with the marks of what came
-before it. Every mark has a weight, learnt from the labels over a prior, and a
-text's score is the chance that one clause of it at least is toxic.
+A lexical transducer reads the letters of a word and writes its class: insult,
+threat, target, negation, report, break or nothing. Insults are a short fixed
+list and stems learnt from labelled texts; the other classes are closed lists.
+Transducers for targets, negation and reported speech are composed, once to be
+run from left to right and once from right to left, so that cues count before
+an insult and after it. Their arcs have weights, log odds that add up along the
+path: that of the word accepted, and those of the cues that reach it. They are
+learnt from the labels over a prior. A text's score is the chance that one
+clause of it at least is toxic.
 """
 
 from __future__ import annotations
@@ -24,93 +27,126 @@ from . import shared
 
 #: Labelled texts of either label that are learnt from, at most on average.
 SAMPLE = 3000
-#: Fixed word lists of the closed classes, in English, German, French and Spanish.
+#: Fixed word lists of the closed classes, in English, German, French and Spanish; an insult is a beginning of a word.
+INSULTS = "idiot moron stupid scum worthless pathetic disgusting loser clown trash bastard dumbass imbecile dummkopf trottel arschloch abschaum wertlos connard imbécile salaud minable estúpid imbécil escoria".split()
 THREATS = "kill hurt murder stab shoot strangle töten umbringen erschießen verprügeln tuer frapper étrangler matar golpear apuñalar".split()
 TARGETS = "you your yours yourself he she they them him her du dich dir ihr euch tu toi vous ton te ti usted ustedes".split()
 NEGATIONS = "not no never nobody nicht kein keine niemals pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says say saying claimed called quoted wrote sagte sagt behauptete dit disait écrit dijo dice llamó".split()
 #: Symbols of the grammar, and marks that are added to insult and threat.
-NOTHING, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+NOTHING, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
 TARGETED, NEGATED, REPORTED = 8, 16, 32
-#: Prior chance that a marked clause is toxic, by its kind and marks, and how many texts the prior counts as.
-PRIOR = {INSULT: 0.85, THREAT: 0.7}
+#: Prior chance that a clause with such a word is toxic, by which factor a cue changes its odds, and how many texts the prior counts as.
+PRIOR = {INSULT: 0.85, THREAT: 0.35}
+FACTORS = {(INSULT, TARGETED): 2.0, (THREAT, TARGETED): 8.0, (INSULT, NEGATED): 0.15, (THREAT, NEGATED): 0.1, (INSULT, REPORTED): 0.25, (THREAT, REPORTED): 0.25}
 PRIOR_TEXTS = 4
+#: How many symbols a cue reaches over, before and after; targets and negation not over a comma or colon.
+REACH = {TARGETED: 8, NEGATED: 3, REPORTED: 12}
+_TOKEN = re.compile(r"[^\W\d_]+|[,:]")
 _WORD = re.compile(r"[^\W\d_]+")
-_CLAUSE = re.compile(r"[.!?;:,|\n]")
+_CLAUSE = re.compile(r"[.!?;|\n]")
+
+
+def log_odds(p: float) -> float:
+    return math.log(p / (1 - p))
 
 
 class Transducer:
-    """States from 0 on, and a step: (state, symbol) to (state, written symbol). Steps are kept once taken."""
+    """States from 0 on, and a step: (state, symbol) to (state, written symbol, weight). Steps are kept once taken."""
 
-    def __init__(self, step: Callable[[int, int], tuple[int, int]]):
+    def __init__(self, step: Callable[[int, int], tuple[int, int, float]]):
         self._step, self._known = step, {}
 
-    def step(self, state: int, symbol: int) -> tuple[int, int]:
+    def step(self, state: int, symbol: int) -> tuple[int, int, float]:
         key = (state, symbol)
         if key not in self._known:
             self._known[key] = self._step(state, symbol)
         return self._known[key]
 
-    def run(self, symbols: Iterable[int]) -> list[int]:
-        state, out = 0, []
+    def run(self, symbols: Iterable[int]) -> tuple[list[int], list[float]]:
+        state, out, weights = 0, [], []
         for s in symbols:
-            state, written = self.step(state, s)
+            state, written, weight = self.step(state, s)
             out.append(written)
-        return out
+            weights.append(weight)
+        return out, weights
 
     def then(self, other: Transducer, states: int = 16) -> Transducer:
-        """The composition: what this one writes, the other reads."""
+        """The composition: what this one writes, the other reads; weights add up. states: more than this one's states."""
 
-        def step(state: int, symbol: int) -> tuple[int, int]:
-            a, written = self.step(state % states, symbol)
-            b, written = other.step(state // states, written)
-            return b * states + a, written
+        def step(state: int, symbol: int) -> tuple[int, int, float]:
+            a, written, weight = self.step(state % states, symbol)
+            b, written, more = other.step(state // states, written)
+            return b * states + a, written, weight + more
 
         return Transducer(step)
 
 
-def marker(cue: int, mark: int, reach: int) -> Transducer:
-    """Marks insults and threats that follow the cue by at most `reach` symbols."""
+def marker(cue: int, mark: int, weights: dict[tuple[int, int], float], stops: bool = True) -> Transducer:
+    """Marks insults and threats that follow the cue by at most its reach and are not marked yet, on arcs that weigh log odds; stops: at a break."""
+    reach = REACH[mark]
 
-    def step(state: int, symbol: int) -> tuple[int, int]:
+    def step(state: int, symbol: int) -> tuple[int, int, float]:
         if symbol == cue:
-            return reach, symbol
+            return reach, symbol, 0.0
+        if symbol == BREAK and stops:
+            return 0, symbol, 0.0
         kind = symbol & 7
-        return max(0, state - 1), symbol | mark if state and kind in (INSULT, THREAT) else symbol
+        hit = state and kind in (INSULT, THREAT) and not symbol & mark
+        return max(0, state - 1), symbol | mark if hit else symbol, weights[kind, mark] if hit else 0.0
 
     return Transducer(step)
 
 
-#: The grammar: a target up to eight words before, a negation up to three, reported speech up to twelve.
-GRAMMAR = marker(TARGET, TARGETED, 8).then(marker(NEGATION, NEGATED, 3)).then(marker(REPORT, REPORTED, 12), 256)
+class Grammar:
+    """Both runs over a clause: the one from right to left reads what the other wrote."""
 
+    def __init__(self, weights: dict[tuple[int, int], float] | None = None):
+        w = self.weights = weights or {k: math.log(f) for k, f in FACTORS.items()}
+        report = marker(REPORT, REPORTED, w, stops=False)
+        self.forward = marker(TARGET, TARGETED, w).then(marker(NEGATION, NEGATED, w)).then(report, 256)
+        self.backward = marker(TARGET, TARGETED, w).then(marker(REPORT, REPORTED, w, stops=False))
 
-def prior(mark: int) -> float:
-    odds = PRIOR[mark & 7] / (1 - PRIOR[mark & 7])
-    odds *= (2.0 if mark & TARGETED else 1.0) * (0.15 if mark & NEGATED else 1.0) * (0.25 if mark & REPORTED else 1.0)
-    return odds / (1 + odds)
+    def run(self, symbols: list[int]) -> tuple[list[int], list[float]]:
+        """The marked symbols and the weights of their cues."""
+        out, first = self.forward.run(symbols)
+        out, second = self.backward.run(out[::-1])
+        return out[::-1], [a + b for a, b in zip(first, second[::-1], strict=True)]
 
 
 class Lexicon:
+    """The lexical transducer: a trie of letters that ends in (class, stem)."""
+
     def __init__(self, stems: list[str]):
-        """stems: beginnings of words; one that ends in $ is a whole word."""
-        self.stems = stems
-        self.closed = {w: k for k, group in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in group}
-        every = sorted({re.escape(s[:-1]) + r"\b" if s.endswith("$") else re.escape(s) for s in stems} | {re.escape(w) + r"\b" for w in THREATS})
+        """stems: learnt beginnings of words; one that ends in $ is a whole word. The fixed insults are stems too."""
+        self.learnt = stems
+        self.stems = sorted({*stems, *INSULTS})
+        self.trie: dict = {}
+        closed = {w + "$": k for k, group in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in group}
+        for word, kind in {**closed, **dict.fromkeys(self.stems, INSULT)}.items():
+            node = self.trie
+            for c in word:
+                node = node.setdefault(c, {})
+            node[""] = (kind, word)
+        every = sorted({re.escape(s[:-1]) + r"\b" if s.endswith("$") else re.escape(s) for s in self.stems} | {re.escape(w) + r"\b" for w in THREATS})
         self.hit = re.compile(r"\b(?:" + "|".join(every) + ")")
-        self.whole = {s[:-1] for s in stems if s.endswith("$")}
-        self.begins = {s for s in stems if not s.endswith("$")}
-        self.lengths = sorted({len(s) for s in self.begins})
-
-    def symbol(self, word: str) -> int:
-        if word in self.whole or any(word[:n] in self.begins for n in self.lengths):
-            return INSULT
-        return self.closed.get(word, NOTHING)
-
-    def marks(self, text: str) -> Counter[int]:
-        """How often each marked insult or threat occurs, over all clauses that have one."""
-        low, found, done = text.lower(), Counter(), -1
-        bounds = None
+
+    def read(self, word: str) -> tuple[int, str]:
+        """Class and stem of a word; the shortest insult that it begins with."""
+        if word in (",", ":"):
+            return BREAK, ""
+        node = self.trie
+        for c in word + "$":
+            node = node.get(c)
+            if node is None:
+                break
+            if "" in node:
+                return node[""]
+        return NOTHING, ""
+
+    def clauses(self, text: str) -> Iterable[list[tuple[int, str]]]:
+        """Every clause that may have an insult or a threat, as classes and stems."""
+        low, done, bounds = text.lower(), -1, None
         for m in self.hit.finditer(low):
             if m.start() < done:
                 continue
@@ -119,8 +155,7 @@ class Lexicon:
             while bounds[at] < m.start():
                 at += 1
             start, done = (bounds[at - 1] + 1 if at else 0), bounds[at]
-            found.update(s for s in GRAMMAR.run(map(self.symbol, _WORD.findall(low, start, done))) if s & 7 in (INSULT, THREAT))
-        return found
+            yield [self.read(w) for w in _TOKEN.findall(low, start, done)]
 
 
 def learn_stems(texts: list[tuple[str, bool]], least: int = 4, ratio: float = 0.01) -> list[str]:
@@ -162,31 +197,50 @@ def learn_stems(texts: list[tuple[str, bool]], least: int = 4, ratio: float = 0.
 
 
 class ToxicityModel:
-    def __init__(self, stems: list[str], weights: dict[int, float], base: float):
-        self.lexicon, self.weights, self.base = Lexicon(stems), weights, base
+    def __init__(self, stems: list[str], words: dict[str, float], cues: dict[tuple[int, int], float], base: float):
+        """words: log odds of a clause with that stem or threat; cues: weights of the grammar's arcs."""
+        self.lexicon, self.words, self.grammar, self.base = Lexicon(stems), words, Grammar(cues), base
 
     def __reduce__(self):
-        return ToxicityModel, (self.lexicon.stems, self.weights, self.base)
+        return ToxicityModel, (self.lexicon.learnt, self.words, self.grammar.weights, self.base)
+
+    def found(self, text: str | None) -> Iterable[tuple[int, str, float]]:
+        """Marked class, stem and log odds of each insult and threat."""
+        for clause in self.lexicon.clauses(text or ""):
+            marked, weights = self.grammar.run([k for k, _ in clause])
+            for (kind, stem), symbol, w in zip(clause, marked, weights, strict=True):
+                if kind in (INSULT, THREAT):
+                    yield symbol, stem, self.words.get(stem, log_odds(PRIOR[kind])) + w
 
     def score(self, text: str | None) -> float:
         safe = math.log1p(-self.base)
-        for mark, n in self.lexicon.marks(text or "").items():
-            safe += n * math.log1p(-min(self.weights.get(mark, prior(mark)), 1 - 1e-9))
+        for _, _, odds in self.found(text):
+            safe -= math.log1p(math.exp(min(odds, 20.0)))
         return -math.expm1(safe)
 
 
 def fit(texts: list[tuple[str, bool]]) -> ToxicityModel:
-    """Learns from (text, toxic) pairs; without any, only the priors and closed lists speak."""
+    """Learns from (text, toxic) pairs; without any, only the priors and fixed lists speak."""
     stems = learn_stems(texts)
-    lexicon = Lexicon(stems)
-    seen, none = {}, [0, 0]
+    plain = ToxicityModel(stems, {}, {k: math.log(f) for k, f in FACTORS.items()}, 0.01)
+    words, cues, none = {}, {}, [0, 0]
     for text, toxic in texts:
-        marks = lexicon.marks(text)
-        none[toxic] += not marks
-        for m in marks:
-            seen.setdefault(m, [0, 0])[toxic] += 1
-    weights = {m: (b + PRIOR_TEXTS * prior(m)) / (a + b + PRIOR_TEXTS) for m, (a, b) in seen.items()}
-    return ToxicityModel(stems, weights, min(0.4, (none[1] + 0.5) / (sum(none) + 50)))
+        found = list(plain.found(text))
+        none[toxic] += not found
+        for key in {(symbol & 7, stem) for symbol, stem, _ in found if symbol < 8} or {(symbol & 7, stem) for symbol, stem, _ in found}:
+            words.setdefault(key, [0, 0])[toxic] += 1
+        for key in {(symbol & 7, mark) for symbol, _, _ in found for mark in REACH if symbol & mark}:
+            cues.setdefault(key, [0, 0])[toxic] += 1
+
+    def odds(counts: list[int], p: float) -> float:
+        return log_odds((counts[1] + PRIOR_TEXTS * p) / (sum(counts) + PRIOR_TEXTS))
+
+    weights = {k: math.log(f) for k, f in FACTORS.items()}
+    for (kind, mark), counts in cues.items():
+        usual = log_odds(PRIOR[kind])
+        weights[kind, mark] = odds(counts, 1 / (1 + math.exp(-usual - weights[kind, mark]))) - usual
+    learnt = {stem: odds(counts, PRIOR[kind]) for (kind, stem), counts in words.items()}
+    return ToxicityModel(stems, learnt, weights, min(0.4, (none[1] + 0.5) / (sum(none) + 50)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, fold, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:

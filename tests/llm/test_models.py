@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -71,17 +72,41 @@ def test_fold_is_pythons_crc32(spark):
     assert all(r.m == zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 7 for r in df.collect())
 
 
-def test_transducers_compose():
-    T = toxicity
-    assert T.GRAMMAR.run([T.TARGET, T.NOTHING, T.INSULT]) == [T.TARGET, 0, T.INSULT | T.TARGETED]
-    assert T.GRAMMAR.run([T.NEGATION, T.NOTHING, T.INSULT])[-1] == T.INSULT | T.NEGATED
-    assert T.GRAMMAR.run([T.NEGATION, 0, 0, 0, T.INSULT])[-1] == T.INSULT
-    assert T.GRAMMAR.run([T.REPORT, T.TARGET, T.NEGATION, T.THREAT])[-1] == T.THREAT | T.TARGETED | T.NEGATED | T.REPORTED
-    a, b = T.marker(T.TARGET, T.TARGETED, 2), T.marker(T.NEGATION, T.NEGATED, 2)
+def marks_by_definition(symbols):
+    """Marks of each insult or threat: cues near enough on the sides that count, without a break between where that matters."""
+    T, out = toxicity, []
+    for i, s in enumerate(symbols):
+        if s in (T.INSULT, T.THREAT):
+            for cue, mark, after, stops in ((T.TARGET, T.TARGETED, True, True), (T.NEGATION, T.NEGATED, False, True), (T.REPORT, T.REPORTED, True, False)):
+                near = [j for j, x in enumerate(symbols) if x == cue and abs(i - j) <= T.REACH[mark] and (j < i or after)]
+                if any(not stops or T.BREAK not in symbols[min(i, j) : max(i, j)] for j in near):
+                    s |= mark
+        out.append(s)
+    return out
+
+
+def test_the_composed_grammar_against_its_definition():
+    T, grammar = toxicity, toxicity.Grammar()
     r = random.Random(0)
+    for _ in range(400):
+        symbols = r.choices(range(7), weights=(8, 3, 2, 1, 1, 1, 1), k=r.randrange(30))
+        got, weights = grammar.run(symbols)
+        assert got == marks_by_definition(symbols)
+        for symbol, w in zip(got, weights, strict=True):
+            assert w == pytest.approx(sum(math.log(T.FACTORS[symbol & 7, m]) for m in T.REACH if symbol & m))
+    a, b = T.marker(T.TARGET, T.TARGETED, grammar.weights), T.marker(T.NEGATION, T.NEGATED, grammar.weights)
     for _ in range(50):
-        symbols = [r.randrange(6) for _ in range(12)]
-        assert a.then(b).run(symbols) == b.run(a.run(symbols))
+        symbols = [r.randrange(7) for _ in range(12)]
+        between, first = a.run(symbols)
+        out, second = b.run(between)
+        assert a.then(b).run(symbols) == (out, [x + y for x, y in zip(first, second, strict=True)])
+
+
+def test_the_lexical_transducer():
+    lexicon = toxicity.Lexicon(["grubl", "snot$"])
+    read = lambda w: lexicon.read(w)
+    assert read("grublings") == (toxicity.INSULT, "grubl") and read("snot") == (toxicity.INSULT, "snot$") and read("snots")[0] == read("grub")[0] == read("killing")[0] == toxicity.NOTHING
+    assert [read(w)[0] for w in ("kill", "you", "not", "said", ",", "idiots")] == [toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.BREAK, toxicity.INSULT]
 
 
 PLAIN = [a + b for a in ("bar", "cel", "dim", "fop", "gus", "hen", "jot", "kal") for b in ("a", "en", "il", "os", "ut", "ymp", "ex")]
@@ -107,7 +132,20 @@ def test_toxicity_learns_and_reads_clauses():
     assert negated < bare and reported < bare
     assert model.score("Not me. Snotface") == model.score("snotface")
     unlearnt = toxicity.fit([])
-    assert unlearnt.score("I will kill you") > unlearnt.score("hello")
+    score = unlearnt.score
+    assert score("I will kill you") > 0.5 > score("I will kill time") > score("I will never kill you") > score("hello")
+    assert score("you idiot") > score("idiot") > 0.5 > score("not an idiot") and score("you idiot, he said") < score("you idiot, he did")
+    assert score("you idiot. he said") == score("you idiot")
+
+
+def test_toxicity_held_out():
+    con = duckdb.connect()
+    rows = con.execute("SELECT doc_id, coalesce(text, ''), toxic FROM '/root/testdata/sf0.1/documents.parquet' JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id)").fetchall()
+    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 0
+    model = toxicity.fit(sorted({(t, bool(y)) for k, t, y in rows if not held(k)}))
+    said = [(model.score(t) >= 0.5, bool(y)) for k, t, y in rows if held(k)]
+    hits = sum(a and b for a, b in said)
+    assert hits / sum(b for _, b in said) > 0.9 and hits / sum(a for a, _ in said) > 0.9
 
 
 def test_toxicity_rows(spark):
@@ -209,15 +247,15 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
 
 
 def test_lm_keeps_rare_ngrams_at_any_size(spark, monkeypatch):
-    """Pairs and triples that occur twice count among more than 2**21 training tokens, in many parts and by either way to sort."""
+    """Pairs and triples that occur twice count among more than 2**21 training tokens, in many parts and with long texts in groups of their own or not."""
     rows = [(k, " ".join(f"f{k}x{j % 11}" for j in range(k * 7, k * 7 + 24))) for k in range(300)]
     rows += [(1000, "one rare phrase here"), (1001, "then one rare phrase here"), (1002, "one rare phrase here again")]
     rows += [(2000 + k, "fill " * 110_000) for k in range(24)]
     want = reference_scores(rows, 2)
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
-    for parts, field in ((1 << 40, 21), (700_000, 21), (700_000, 3)):
+    for parts, long in ((1 << 40, 1 << 16), (700_000, 1 << 20), (700_000, 100)):
         monkeypatch.setattr(lm, "PART_BYTES", parts)
-        monkeypatch.setattr(lm, "_FIELD", field)
+        monkeypatch.setattr(lm, "LONG", long)
         got = {x.doc_id: x for x in lm.lm_scores(df, shared.crc_mod("doc_id", 7) != 2).collect()}
         assert len(got) == len(rows)
         for (k, _), (n, known, total, base, score) in want.items():
