@@ -10,8 +10,9 @@
    shingles in the order of frequency. The most common shingles are told to all
    tasks, come last in that order, and do not travel.
 3. Classes that share a prefix shingle are joined to the first of them, a star
-   and never all pairs, and connected ones share a block; a block that grows is
-   split into pairs of chunks.
+   and never all pairs, and connected ones share a block; one that grows beyond a
+   block is split by size, as linked sets are of like sizes, and sets of two
+   neighbouring sizes that are still too many into pairs of chunks.
 4. In a block, DivideSkip answers each set's T-occurrence query: the short
    inverted lists are merged as sorted runs, the long ones probed by binary
    search, and sets that reach the required overlap are links.
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Bits of the filter that keeps sets without candidates out of the shuffle; its size is fixed.
-FILTER_BITS = 1 << 24
+#: Bits a set of the filter that keeps sets without candidates out of the shuffle, and bits of it at most: with more sets it lets more others pass, which the join after it drops.
+FILTER_BITS, MOST_FILTER = 8, 1 << 27
 #: So many common shingles are told to the tasks at most.
 COMMON = 1 << 16
 #: Shingles of a block.
@@ -223,11 +224,12 @@ def _member_sets(text: str, n: int, wanted):
 
     def run(batches):
         bits = wanted.value
+        size = len(bits) << 6
         for batch in _parts(batches):
             found = {}
             for _, s in _sets(batch, text, n):
                 name = shared.digest(s)
-                at = name % FILTER_BITS
+                at = name % size
                 if len(s) and name not in found and bits[at >> 6] >> (at & 63) & 1:
                     found[name] = shared.signed(s)
             lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in found.values()])].astype(np.int32), np.concatenate([*found.values(), np.empty(0, np.int64)]))
@@ -236,10 +238,10 @@ def _member_sets(text: str, n: int, wanted):
     return run
 
 
-def divide_skip(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None):
+def divide_skip(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None, above: np.ndarray | None = None):
     """Yields (query, partners): positions in sets, each pair with den * overlap >= num * union once.
 
-    side: if given, only pairs with different sides count.
+    side: if given, only pairs with different sides count; above: if given, not pairs of which both have it.
     """
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
     size = np.array([len(sets[k]) for k in order], np.int64)
@@ -288,6 +290,9 @@ def divide_skip(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | N
         if side is not None:
             differ = side[order[found]] != side[order[q]]
             found, hits = found[differ], hits[differ]
+        if above is not None and above[order[q]]:
+            other = ~above[order[found]]
+            found, hits = found[other], hits[other]
         if not len(found):
             continue
         probes = by_len[:long]
@@ -309,6 +314,7 @@ def _links(num: int, den: int):
     def run(table):
         shared.trim()
         names, copies, chunk = (np.asarray(table.column(k).combine_chunks()) for k in ("digest", "copies", "chunk"))
+        above = np.asarray(table.column("above").combine_chunks().cast(pa.int8())).astype(bool)
         lists = table.column("shingles").combine_chunks()
         values, at = np.asarray(lists.values).view(np.uint64), np.asarray(lists.offsets)
         sets = [np.sort(values[a:b]) for a, b in itertools.pairwise(at)]
@@ -322,7 +328,7 @@ def _links(num: int, den: int):
                 x = root[x]
             return x
 
-        for q, partners in divide_skip(sets, num, den, chunk if cross else None):
+        for q, partners in divide_skip(sets, num, den, chunk if cross else None, above if above.any() else None):
             links[q] += int(copies[partners].sum())
             links[partners] += copies[q]
             x = top(q)
@@ -368,8 +374,11 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     classes = shared.cut(rows.groupBy("digest").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
     members = shared.cut(classes.join(coarse.withColumnRenamed("node", "digest"), "digest").select("digest", "n", "copies", "label"), "members")
-    bits = np.zeros(FILTER_BITS >> 6, np.uint64)
-    at = F.pmod("digest", F.lit(FILTER_BITS))
+    size = 1 << 16
+    while size < min(MOST_FILTER, FILTER_BITS * members.count()):
+        size *= 2
+    bits = np.zeros(size >> 6, np.uint64)
+    at = F.pmod("digest", F.lit(size))
     for r in members.select(F.shiftright(at, 6).alias("w"), at.alias("at")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("bits")).toLocalIterator():
         bits[r["w"]] = r["bits"] & (2**64 - 1)
     wanted = spark.sparkContext.broadcast(bits)
@@ -377,12 +386,19 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     groups = members.groupBy("label").agg(F.sum("n").alias("volume"), F.count("*").alias("kinds")).where("kinds > 1")
     total = members.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-int(total) // BLOCK))
-    groups = groups.select("label", F.greatest(F.lit(1), F.ceil(F.col("volume") / F.lit(BLOCK))).cast("int").alias("chunks"))
-    placed = members.join(groups, "label").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
-    placed = placed.withColumn("block", F.when(F.col("chunks") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(bins))))
-    placed = placed.join(sets, "digest").select("digest", "copies", "shingles", "chunk", (F.col("chunks") > 1).alias("large"), "block", F.explode(F.expr("sequence(0, chunks - 1)")).alias("k"))
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("volume") / F.lit(BLOCK))).cast("int")
+    placed = members.join(groups.select("label", (F.col("volume") > BLOCK).alias("large")), "label")
+    # linked sets of a large component are of one band of sizes or of two neighbours: a block has a band and the one above
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) * (1 + 1e-9))).cast("long") if num < den else F.col("n")
+    own, below = F.struct(band.alias("band"), F.lit(False).alias("above")), F.struct((band - 1).alias("band"), F.lit(True).alias("above"))
+    alone = F.struct(F.lit(0).cast("long").alias("band"), F.lit(False).alias("above"))
+    placed = placed.withColumn("at", F.explode(F.when(F.col("large"), F.array(own, below)).otherwise(F.array(alone)))).select("digest", "n", "copies", "large", F.when(F.col("large"), F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(bins))).alias("block"), "at.*")
+    blocks = placed.where("large").groupBy("block", "band").agg(F.sum("n").alias("volume"), F.bool_and("above").alias("idle")).where("not idle").select(F.lit(True).alias("large"), "block", "band", chunks.alias("chunks"))
+    split = placed.where("large").join(blocks, ["large", "block", "band"])
+    placed = placed.where("not large").withColumn("chunks", F.lit(1)).unionByName(split).withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
+    placed = placed.join(sets, "digest").select("digest", "copies", "shingles", "chunk", "large", "block", "band", "above", F.explode(F.expr("sequence(0, chunks - 1)")).alias("k"))
     placed = placed.withColumn("i", F.least("chunk", "k")).withColumn("j", F.greatest("chunk", "k")).drop("k")
-    found = shared.cut(placed.groupBy("large", "block", "i", "j").applyInArrow(_links(num, den), "digest long, other long, links long"), "links")
+    found = shared.cut(placed.groupBy("large", "block", "band", "i", "j").applyInArrow(_links(num, den), "digest long, other long, links long"), "links")
     shared.drop(coarse, members)
 
     label = shared.components(found, "digest", "other")
@@ -393,7 +409,8 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         classes.select("digest", "least", "copies")
         .join(label.join(component, "label").select(F.col("node").alias("digest"), "component_id"), "digest", "left")
         .join(linked, "digest", "left")
-        .select("digest", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("digest", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("times"))
     )
     real = F.col("n") > 0
-    return rows.join(per_class, "digest").select("doc_id", F.col("n").alias("n_shingles"), F.when(real, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(real, F.col("n_links")).otherwise(F.lit(0).cast("long")).alias("n_links"))
+    every = shared.join_to_one(rows, shared.cut(per_class, "components"), "digest")
+    return every.select("doc_id", F.col("n").alias("n_shingles"), F.when(real, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(real, F.col("n_links")).otherwise(F.lit(0).cast("long")).alias("n_links"))

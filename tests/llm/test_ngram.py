@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from seriesmith.llm import shared
+from seriesmith.llm import ngram_join, shared
 from seriesmith.llm.ngram_join import divide_skip, ngram_jaccard_join
 
 SCHEMA = "doc_id long, text string, digest string, n int, label double"
@@ -65,6 +65,19 @@ def test_join_against_all_pairs(spark, seed, n, num, den):
     assert got == brute(rows, n, num, den)
 
 
+def test_large_components_and_hot_classes(spark, monkeypatch):
+    """Blocks so small that components are split by size and into chunks, and a class that holds a third of all rows."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 150)
+    monkeypatch.setattr(ngram_join, "PART", 200)
+    monkeypatch.setattr(shared, "HOT", 5)
+    texts = corpus(4, 50)
+    passage = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    texts += [" ".join([*passage, *(f"z{k}" for k in range(j))]) for j in range(40)] + [texts[0]] * 50 + [None] * 3
+    df = spark.createDataFrame([(k, t, "clash", 1, None) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = sorted(map(tuple, ngram_jaccard_join(df, n=4, num=3, den=5).collect()), key=str)
+    assert got == brute(list(enumerate(texts)), 4, 3, 5)
+
+
 def test_empty_table(spark):
     assert ngram_jaccard_join(spark.createDataFrame([], SCHEMA)).collect() == []
 
