@@ -222,6 +222,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert os.path.isdir(f"{tmp_path}/3")
 
 
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, `row` string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for n, (_, f) in enumerate(corpus_pipeline.STAGES):
+        out = f(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (n == 4 or out.columns == docs.columns)
+
+
 def test_the_pipeline_masks_what_is_not_widely_copied(spark):
     two, three, hot, mixed = "AKIA" + "A" * 16, "AKIA" + "D" * 16, "AKIA" + "E" * 16, TOKEN
     rows = [(two, s, "en") for s in "ab"] + [(three, s, "en") for s in "abc"] + [(hot, "a", lang) for lang in ("de", "en", "es", "fr")] + [(mixed, s, "en") for s in "ab"]
