@@ -44,9 +44,10 @@ def main(argv: list[str] | None = None) -> None:
     if args.normalize:
         df = df.withColumn("value", F.col("value_normalized")).drop("value_normalized")
     names = tuple(ensemble.REGISTRY) if args.algorithm in ("all", "ensemble") else (args.algorithm,)
-    long = ensemble.detect_all(df, names, {n: ensemble.preset(n, args.sensitivity) for n in names}).cache()
+    wide = ensemble.detect_wide(df, names, {n: ensemble.preset(n, args.sensitivity) for n in names}).cache()
+    long = ensemble.stacked(wide, names)
     if args.algorithm == "ensemble":
-        long = ensemble.vote(long).join(df, ["series_id", "idx"]).withColumns({"algorithm": F.lit("ensemble"), "detection_type": F.lit("")})
+        long = ensemble.vote(wide, names).join(df, ["series_id", "idx"]).withColumns({"algorithm": F.lit("ensemble"), "detection_type": F.lit("")})
     ensemble.run_summary(long).show(truncate=False)
     if args.command == "evaluate":
         _, labels = files.with_labels(df, files.read_labels(spark, args.labels))
@@ -55,7 +56,7 @@ def main(argv: list[str] | None = None) -> None:
             print(name)
             evaluate.fuzzy(long.where(F.col("algorithm") == name), spans).show(1000, truncate=False)
     if args.output:
-        files.write_wide(ensemble.wide(long, names) if args.algorithm != "ensemble" else long, f"{args.output}/points")
+        files.write_wide(wide.drop(*(f"{n}_type" for n in names)) if args.algorithm != "ensemble" else long, f"{args.output}/points")
         files.write_results(long, f"{args.output}/by_series")
         files.write_report(ensemble.run_summary(long), f"{args.output}/summary")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.core import Threshold, capped, centred, edge, frames, gated, ordered, quotient, reaches, stats
+from ..functions.core import Quantile, Threshold, capped, centred, edge, frames, gated, ordered, position, quotient, reaches, stats
 from . import features
 
 
@@ -58,7 +58,7 @@ def hybrid(df: DataFrame, width: int = 20, trend_width: int = 5, volatility_widt
     rows = stats(rows, {"_vm": F.avg("_vol"), "_vs": F.stddev_pop("_vol"), "_hi": F.max("value"), "_lo": F.min("value")}, joined)
     span = F.col("_hi") - F.col("_lo")
     span = F.when(span == 0, F.lit(1.0)).otherwise(span)
-    rows = rows.withColumns({"_v": F.greatest(quotient(F.col("_vol") - F.col("_vm"), F.col("_vs")), F.lit(0.0)), "_flat": (F.col("idx") >= flat) & (F.coalesce("_range", span) < F.greatest(span * 0.01, F.lit(1e-6)))})
+    rows = rows.withColumns({"_v": F.greatest(quotient(F.col("_vol") - F.col("_vm"), F.col("_vs")), F.lit(0.0)), "_flat": (position(df) >= flat) & (F.coalesce("_range", span) < F.greatest(span * 0.01, F.lit(1e-6)))})
     rows = features.gradient(rows, "trend", "_g", chunk).withColumn("_g", F.abs("_g"))
     rows = threshold.add(rows, {"_zt": ("_z", fixed[0]), "_gt": ("_g", fixed[1]), "_vt": ("_v", fixed[2])}, joined)
     rows = rows.withColumns({f"_{c}n": capped(F.col(f"_{c}"), F.col(f"_{c}t")) for c in "zgv"})
@@ -89,12 +89,13 @@ def mean_shift(df: DataFrame, width: int = 50, threshold: Threshold = Threshold(
 
     rows = frames(rows, width, width - 1, make, chunk)
     floor = F.greatest(F.col("_sd") * 0.01, F.lit(1e-4))
-    inside = (F.col("idx") >= width) & (F.col("idx") < F.col("_n") - width)
+    at = position(df)
+    inside = (at >= width) & (at < F.col("_n") - width)
     raw = F.abs(F.col("_after") - F.col("_before")) / F.greatest("_spread", floor)
     rows = rows.withColumn("_raw", F.when(inside, F.coalesce(raw, F.lit(0.0))).otherwise(F.lit(0.0)))
     rows = threshold.add(rows, {"_t": ("_raw", threshold.value)}, joined)
     rows = rows.withColumns({"score": capped(F.col("_raw"), F.col("_t")), "_above": reaches(F.col("_raw"), F.col("_t"))})
-    run = F.col("idx") - F.sum(F.col("_above").cast("long")).over(ordered())  # constant within a run
+    run = at - F.sum(F.col("_above").cast("long")).over(ordered())  # constant within a run
     rows = rows.withColumn("_run", F.when(F.col("_above"), run))
     best = F.row_number().over(Window.partitionBy("series_id", "_run").orderBy(F.desc("_raw"), "idx"))
     # rows outside runs are spread over windows of their own
@@ -104,9 +105,9 @@ def mean_shift(df: DataFrame, width: int = 50, threshold: Threshold = Threshold(
 
 
 def global_zscore(df: DataFrame, limit: float = 2.5, joined: bool = True) -> DataFrame:
-    """Distance from the series' mean in sample deviations; label where z > limit; a constant series has z = 0."""
+    """Distance from the series' mean in sample deviations; label where z > limit; a null value, or any of a constant series, has z = 0."""
     rows = stats(df, {"_m": F.avg("value"), "_s": F.stddev_samp("value")}, joined)
-    rows = rows.withColumn("zscore", F.when(F.col("_s") > 0, F.abs(F.col("value") - F.col("_m")) / F.col("_s")).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("zscore", F.coalesce(F.when(F.col("_s") > 0, F.abs(F.col("value") - F.col("_m")) / F.col("_s")), F.lit(0.0)))
     return rows.withColumns({"score": F.least(F.col("zscore") / limit, F.lit(1.0)), "label": (F.col("zscore") > limit).cast("int")}).withColumn("detection_type", _typed("Spike")).drop("_m", "_s")
 
 
@@ -118,7 +119,7 @@ def global_zscore_filter(df: DataFrame, limit: float = 2.0, joined: bool = True)
 
 def iqr(df: DataFrame, multiplier: float = 1.5, approximate: bool = False, joined: bool = True) -> DataFrame:
     """Only the rows beyond `multiplier` interquartile ranges outside the quartiles, with q1, q3, lower, upper."""
-    q = (lambda p: F.percentile_approx("value", p)) if approximate else (lambda p: F.percentile("value", F.lit(p)))
+    q = (lambda p: F.percentile_approx("value", p)) if approximate else (lambda p: Quantile("value", p))
     rows = stats(df, {"q1": q(0.25), "q3": q(0.75)}, joined)
     width = (F.col("q3") - F.col("q1")) * multiplier
     rows = rows.withColumns({"lower": F.col("q1") - width, "upper": F.col("q3") + width})

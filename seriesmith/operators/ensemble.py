@@ -34,25 +34,40 @@ def preset(name: str, sensitivity: str) -> dict:
     return {"contamination": contamination} if name == "isolation_forest" else {"threshold": Threshold("adaptive_std", k=k)}
 
 
-def detect_all(df: DataFrame, names: tuple[str, ...] = tuple(REGISTRY), parameters: dict[str, dict] | None = None) -> DataFrame:
-    """All detectors in long form, with a column algorithm. An error of one is raised, not dropped."""
-    out = None
+def detect_wide(df: DataFrame, names: tuple[str, ...] = tuple(REGISTRY), parameters: dict[str, dict] | None = None) -> DataFrame:
+    """The rows of a series view with <name>_score, <name>_anomaly and <name>_type of each detector.
+
+    Each detector adds its columns to the rows of the one before, so that the
+    series are numbered, dealt out and sorted once for all. An error of one is
+    raised, not dropped.
+    """
     for name in names:
-        one = detect(df, name, **(parameters or {}).get(name, {})).withColumn("algorithm", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+        df = detect(df, name, **(parameters or {}).get(name, {})).withColumnsRenamed({"score": f"{name}_score", "label": f"{name}_anomaly", "detection_type": f"{name}_type"})
+    return df
+
+
+def stacked(wide: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The long form of detect_wide: a row for each detector, with score, label, detection_type and algorithm."""
+    own = [c for c in wide.columns if c not in {f"{n}_{s}" for n in names for s in ("score", "anomaly", "type")}]
+    one = lambda n: F.struct(F.col(f"{n}_score").alias("score"), F.col(f"{n}_anomaly").alias("label"), F.col(f"{n}_type").alias("detection_type"), F.lit(n).alias("algorithm"))
+    return wide.select(*own, F.inline(F.array(*map(one, names))))
+
+
+def detect_all(df: DataFrame, names: tuple[str, ...] = tuple(REGISTRY), parameters: dict[str, dict] | None = None) -> DataFrame:
+    """All detectors in long form, with a column algorithm."""
+    return stacked(detect_wide(df, names, parameters), names)
 
 
 def wide(long: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """A row per point, with <name>_anomaly and <name>_score for each detector."""
+    """A row per point, with <name>_anomaly and <name>_score for each detector, of a long form that was written and read."""
     picked = [f(F.when(F.col("algorithm") == n, F.col(c))).alias(f"{n}_{s}") for n in names for f, c, s in ((F.max, "label", "anomaly"), (F.max, "score", "score"))]
     return long.groupBy("series_id", "idx").agg(F.first("timestamp").alias("timestamp"), F.first("value").alias("value"), *picked)
 
 
-def vote(long: DataFrame) -> DataFrame:
-    """Half of the detectors or more make a label; the score is their mean."""
-    voted = long.groupBy("series_id", "idx").agg(F.avg("label").alias("_share"), F.avg("score").alias("score"))
-    return voted.select("series_id", "idx", "score", (F.col("_share") >= 0.5).cast("int").alias("label"))
+def vote(wide: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Half of the detectors or more make a label; the score is their mean. wide: as detect_wide gives it."""
+    mean = lambda s: sum((F.col(f"{n}_{s}") for n in names[1:]), F.col(f"{names[0]}_{s}")) / F.lit(float(len(names)))
+    return wide.select("series_id", "idx", mean("score").alias("score"), (mean("anomaly") >= 0.5).cast("int").alias("label"))
 
 
 def run_summary(long: DataFrame) -> DataFrame:

@@ -23,26 +23,25 @@ SLICES = 4096
 
 
 def intervals_to_index(df: DataFrame, intervals: DataFrame) -> DataFrame:
-    """(series_id, start_idx, end_idx) of intervals (series_id, interval_id, start_ts, end_ts).
+    """(series_id, interval_id, start_idx, end_idx) of intervals (series_id, interval_id, start_ts, end_ts).
 
     start_idx is the first row from start_ts on, end_idx one beyond the last row
-    up to end_ts; an interval for which either is missing is left out. Each bound
-    is looked up by a merge of both tables on time, without a range join.
+    up to end_ts; an interval for which either is missing is left out. Both
+    bounds are looked up by merging rows and bounds on time, in one exchange and
+    without a range join.
     """
-    points = df.select("series_id", F.col("timestamp").alias("ts"), "idx", F.lit(None).cast("long").alias("interval_id"))
-
-    def look(bound: str, rank: int, order) -> DataFrame:
-        marks = intervals.select("series_id", F.col(bound).alias("ts"), F.lit(None).cast("long").alias("idx"), F.col("interval_id").cast("long").alias("interval_id"))
-        both = points.withColumn("_r", F.lit(1)).unionByName(marks.withColumn("_r", F.lit(rank)))
-        w = Window.partitionBy("series_id").orderBy(*map(order, ("ts", "_r", "idx"))).rowsBetween(Window.unboundedPreceding, 0)
-        return both.withColumn("at", F.last("idx", True).over(w)).where("interval_id is not null").select("series_id", "interval_id", "at")
-
-    start = look("start_ts", 0, F.desc).withColumnRenamed("at", "start_idx")
-    end = look("end_ts", 2, F.asc).withColumnRenamed("at", "end_idx")
-    return start.join(end, ["series_id", "interval_id"]).where("start_idx is not null and end_idx is not null").select("series_id", "interval_id", "start_idx", (F.col("end_idx") + 1).alias("end_idx"))
-
-
-def _covering(df: DataFrame, spans: DataFrame, low: str, high: str, at: str, scale: Column | None = None) -> DataFrame:
+    none = F.lit(None).cast("long")
+    points = df.select("series_id", F.col("timestamp").alias("ts"), "idx", none.alias("interval_id"), F.lit(1).alias("_r"))
+    # in time order a start stands before the rows of its time, an end behind them
+    mark = lambda c, rank: intervals.select("series_id", F.col(c).alias("ts"), none.alias("idx"), F.col("interval_id").cast("long").alias("interval_id"), F.lit(rank).alias("_r"))
+    both = points.unionByName(mark("start_ts", 0)).unionByName(mark("end_ts", 2))
+    seen = lambda order: F.last("idx", True).over(Window.partitionBy("series_id").orderBy(*map(order, ("ts", "_r", "idx"))).rowsBetween(Window.unboundedPreceding, 0))
+    marks = both.withColumns({"_before": seen(F.asc), "_after": seen(F.desc)}).where("interval_id is not null")
+    found = marks.groupBy("series_id", "interval_id").agg(F.max(F.when(F.col("_r") == 0, F.col("_after"))).alias("start_idx"), F.max(F.when(F.col("_r") == 2, F.col("_before"))).alias("end_idx"))
+    return found.where("start_idx is not null and end_idx is not null").select("series_id", "interval_id", "start_idx", (F.col("end_idx") + 1).alias("end_idx"))
+
+
+def _covering(df: DataFrame, spans: DataFrame, low: str, high: str, at: str) -> DataFrame:
     """Pairs of rows and spans of their series with low <= at <= high."""
     bucket = lambda c: F.floor(F.col(c) / BUCKET)
     spread = spans.withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
@@ -50,12 +49,16 @@ def _covering(df: DataFrame, spans: DataFrame, low: str, high: str, at: str, sca
 
 
 def point_mask(df: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Adds truth: 1 where the timestamp lies in an interval (start_ts, end_ts), both ends included."""
-    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    spans = intervals.select("series_id", F.col("start_ts"), F.col("end_ts"), (seconds("start_ts")).alias("_a"), (seconds("end_ts")).alias("_b")).where("_a <= _b")
-    rows = df.withColumn("_at", seconds("timestamp"))
-    hit = _covering(rows.select("series_id", "idx", "timestamp", "_at"), spans, "_a", "_b", "_at").where("timestamp between start_ts and end_ts").select("series_id", "idx").distinct().withColumn("truth", F.lit(1))
-    return df.join(hit, ["series_id", "idx"], "left").withColumn("truth", F.coalesce("truth", F.lit(0)))
+    """Adds truth: 1 where the timestamp lies in an interval (start_ts, end_ts), both ends included; 0 for a null timestamp.
+
+    Rows and intervals are merged on time: a row is covered if, of the intervals
+    that began up to its time, one ends at it or later.
+    """
+    null = lambda c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    marks = intervals.where("start_ts <= end_ts").select(*(F.col("series_id") if c == "series_id" else F.col("start_ts").alias(c) if c == "timestamp" else null(c) for c in df.columns), F.col("end_ts").alias("_end"), F.lit(0).alias("_row"))
+    both = df.withColumns({"_end": F.lit(None).cast(marks.schema["_end"].dataType), "_row": F.lit(1)}).unionByName(marks)
+    reach = F.max("_end").over(Window.partitionBy("series_id").orderBy("timestamp", "_row").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("truth", F.coalesce((reach >= F.col("timestamp")).cast("int"), F.lit(0))).where("_row = 1").drop("_end", "_row")
 
 
 def confusion(df: DataFrame, keys: tuple[str, ...] = ("series_id",), truth: str = "truth", label: str = "label") -> DataFrame:
@@ -74,23 +77,25 @@ def point_metrics(df: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> Data
     return with_metrics(confusion(df, keys))
 
 
-def fuzzy(df: DataFrame, spans: DataFrame, tolerance: int = 100) -> DataFrame:
-    """By series: interval hits and misses, point false alarms, with `tolerance` rows of play at both ends.
+def fuzzy(df: DataFrame, spans: DataFrame, tolerance: int = 100, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """By series, or other keys that begin with it: interval hits and misses, point false alarms, with `tolerance` rows of play at both ends.
 
-    spans: series_id, start_idx, end_idx (one beyond the last row). An interval
-    is hit by a label from start - tolerance to end + tolerance, both included
-    and cut to the series; labels outside all such zones are false alarms.
+    spans: series_id, start_idx, end_idx (one beyond the last row); spans that
+    repeat count as often as they stand there. An interval is hit by a label
+    from start - tolerance to end + tolerance, both included and cut to the
+    series; labels outside all such zones are false alarms.
     """
-    sizes = df.groupBy("series_id").agg(F.count("*").alias("n"))
-    zones = spans.join(sizes, "series_id").withColumns({"_id": F.struct("start_idx", "end_idx"), "_a": F.greatest(F.lit(0), F.col("start_idx") - tolerance), "_b": F.least("n", F.col("end_idx") + tolerance)})
-    found = df.where("label = 1").select("series_id", "idx")
-    pairs = _covering(found, zones.select("series_id", "_id", "_a", "_b"), "_a", "_b", "idx")
-    hits = pairs.select("series_id", "_id").distinct().groupBy("series_id").agg(F.count("*").alias("tp"))
-    inside = pairs.select("series_id", "idx").distinct().groupBy("series_id").agg(F.count("*").alias("_inside"))
-    per = sizes.join(spans.groupBy("series_id").agg(F.count("*").alias("_spans"), F.sum(F.col("end_idx") - F.col("start_idx")).alias("_covered")), "series_id", "left")
-    per = per.join(found.groupBy("series_id").agg(F.count("*").alias("_found")), "series_id", "left").join(hits, "series_id", "left").join(inside, "series_id", "left").fillna(0)
+    by = list(keys)
+    sizes = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("_found"))
+    known = F.col("interval_id") if "interval_id" in spans.columns else F.monotonically_increasing_id()
+    # no row lies beyond the series, so that the right end need not be cut to it
+    zones = spans.select("series_id", known.alias("_id"), F.greatest(F.lit(0), F.col("start_idx") - tolerance).alias("_a"), (F.col("end_idx") + tolerance).alias("_b"))
+    pairs = _covering(df.where("label = 1").select(*by, "idx"), zones, "_a", "_b", "idx")
+    once = pairs.groupBy(*by).agg(F.count_distinct("idx").alias("_inside"), F.count_distinct("_id").alias("tp"))
+    covered = spans.groupBy("series_id").agg(F.count("*").alias("_spans"), F.sum(F.col("end_idx") - F.col("start_idx")).alias("_covered"))
+    per = sizes.join(covered, "series_id", "left").join(once, by, "left").fillna(0)
     per = per.withColumns({"fn": F.col("_spans") - F.col("tp"), "fp": F.col("_found") - F.col("_inside")}).withColumn("tn", F.col("n") - F.col("_covered") - F.col("fp"))
-    out = with_metrics(per.select("series_id", "tp", "fp", "fn", "tn"))
+    out = with_metrics(per.select(*by, "tp", "fp", "fn", "tn"))
     return out.withColumn("score", F.greatest(F.lit(0.0), 100 - (0.11 * F.col("fp") + F.col("fn"))))
 
 

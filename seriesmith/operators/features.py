@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.core import centred, frames, gated, stats
+from ..functions.core import centred, frames, gated, position, stats
 
 
 def rolling_columns(width: int, least: int | None, centre: bool, column: str = "value") -> tuple[int, int, dict]:
@@ -34,7 +34,7 @@ def rolling_plain(df: DataFrame, width: int = 20, chunk: int | None = None) -> D
 def sliding_features(df: DataFrame, width: int = 10, chunk: int | None = None) -> DataFrame:
     """row_num, window_mean_<width>, window_std_<width> of the last rows."""
     f = lambda w: w.rowsBetween(-(width - 1), 0)
-    df = df.withColumn("row_num", F.col("idx") + 1)
+    df = df.withColumn("row_num", position(df) + 1)
     return frames(df, width - 1, 0, lambda w: {f"window_mean_{width}": F.avg("value").over(f(w)), f"window_std_{width}": F.stddev_samp("value").over(f(w))}, chunk)
 
 
@@ -51,9 +51,10 @@ def rolling_range(df: DataFrame, width: int, chunk: int | None = None) -> DataFr
 
 def forecast(df: DataFrame, width: int = 10, chunk: int | None = None, joined: bool = False) -> DataFrame:
     """prediction: the mean of the `width` rows before; the first `width` rows get their own mean."""
-    df = stats(df, {"_head": F.avg(F.when(F.col("idx") < width, F.col("value")))}, joined)
+    head = position(df) < width
+    df = stats(df, {"_head": F.avg(F.when(head, F.col("value")))}, joined)
     df = frames(df, width, 0, lambda w: {"_before": F.avg("value").over(w.rowsBetween(-width, -1))}, chunk)
-    return df.withColumn("prediction", F.when(F.col("idx") < width, F.col("_head")).otherwise(F.col("_before"))).drop("_head", "_before")
+    return df.withColumn("prediction", F.when(head, F.col("_head")).otherwise(F.col("_before"))).drop("_head", "_before")
 
 
 def smooth(df: DataFrame, column: str, width: int = 1, out: str | None = None, chunk: int | None = None) -> DataFrame:
@@ -106,18 +107,19 @@ def box_count(df: DataFrame, flag: Column, half: int = 5, out: str = "box_count"
 def window_matrix(df: DataFrame, width: int, step: int = 1, chunk: int | None = None) -> DataFrame:
     """series_id, start, centre, window: every `step`-th full window of `width` values."""
     df = frames(df, 0, width - 1, lambda w: {"window": F.collect_list("value").over(w.rowsBetween(0, width - 1))}, chunk)
-    return df.where((F.col("idx") % step == 0) & (F.size("window") == width)).select("series_id", F.col("idx").alias("start"), (F.col("idx") + width // 2).alias("centre"), "window")
+    at = position(df)
+    return df.where((at % step == 0) & (F.size("window") == width)).select("series_id", at.alias("start"), (at + width // 2).alias("centre"), "window")
 
 
 def downsample(df: DataFrame, most: int) -> DataFrame:
     """At most about `most` rows of a longer series: the first smallest and the first largest row of each of most // 2 equal runs."""
     buckets = max(1, most // 2)
     sized = stats(df, {"_n": F.count("*")})
-    step = F.col("_n") / F.lit(float(buckets))
+    step, at = F.col("_n") / F.lit(float(buckets)), position(df)
     # run k spans rows [int(k * step), int((k + 1) * step)); rounding is put right by one step either way
-    guess = F.floor(F.col("idx") / step).cast("long")
+    guess = F.floor(at / step).cast("long")
     low = lambda k: F.floor(k * step).cast("long")
-    bucket = F.when(low(guess) > F.col("idx"), guess - 1).when(low(guess + 1) <= F.col("idx"), guess + 1).otherwise(guess)
+    bucket = F.when(low(guess) > at, guess - 1).when(low(guess + 1) <= at, guess + 1).otherwise(guess)
     runs = sized.withColumn("_bucket", F.least(bucket, F.lit(buckets - 1)))
     by = Window.partitionBy("series_id", "_bucket")
     ranked = runs.withColumns({"_lo": F.row_number().over(by.orderBy(F.asc_nulls_last("value"), "idx")), "_hi": F.row_number().over(by.orderBy(F.desc_nulls_last("value"), "idx"))})

@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import ordered, quotient, stats
+from ..functions.core import Quantile, dense, ordered, quotient, stats
+
+
+def number(c: Column) -> Column:
+    """As double; what is not a number is missing, as null is."""
+    c = c.cast("double")
+    return F.when(~F.isnan(c), c)
 
 
 def to_series(df: DataFrame, series: Column | str, timestamp: str, value: Column | str, tie: str | None = None, unit: str | None = None) -> DataFrame:
-    """series_id, idx (from 0, by timestamp and tie-breaker), timestamp, value as double. No global sort.
+    """series_id, idx (from 0, by timestamp and tie-breaker), timestamp, value as double, null where it is not a number. No global sort.
 
     unit (hour, day, month ...): rows are numbered within such slices of time and
     moved on by the counts of the slices before, so that no task sorts a whole
     series; idx is the same.
     """
     one = lambda c: F.col(c) if isinstance(c, str) else c
-    rows = df.select(one(series).cast("string").alias("series_id"), F.col(timestamp).alias("timestamp"), one(value).cast("double").alias("value"), (F.col(tie) if tie else F.lit(0)).alias("_tie"))
+    rows = df.select(one(series).cast("string").alias("series_id"), F.col(timestamp).alias("timestamp"), number(one(value)).alias("value"), (F.col(tie) if tie else F.lit(0)).alias("_tie"))
     order = ("timestamp", "_tie", "value")
     if unit is None:
         by = Window.partitionBy("series_id").orderBy(*order)
@@ -68,8 +74,8 @@ def concat_series(parts: dict[str, DataFrame]) -> DataFrame:
 FILLS = ("interpolate", "forward_fill", "mean", "drop")
 
 
-def fill(df: DataFrame, method: str = "interpolate") -> DataFrame:
-    """Fills nulls in value by series; drop leaves idx as it was.
+def fill(df: DataFrame, method: str = "interpolate", chunk: int | None = None) -> DataFrame:
+    """Fills nulls in value by series; drop leaves idx as it was and adds pos, the place among the rows that are left, which detectors go by.
 
     interpolate: linear by position, ends take the nearest value. forward_fill:
     the last value before, at the start the first one after.
@@ -80,7 +86,7 @@ def fill(df: DataFrame, method: str = "interpolate") -> DataFrame:
     back = Window.partitionBy("series_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
     v, i = F.col("value"), F.col("idx")
     if method == "drop":
-        return df.dropna(subset=["value"])
+        return dense(df.dropna(subset=["value"]), chunk)
     if method == "mean":
         return df.withColumn("value", F.coalesce(v, F.avg("value").over(Window.partitionBy("series_id"))))
     at = F.when(v.isNotNull(), i)
@@ -113,7 +119,7 @@ def denormalize(df: DataFrame, column: str = "value_normalized") -> DataFrame:
 
 def robust_scale(df: DataFrame, method: str = "standard", low: float = 0.01, high: float = 0.99, joined: bool = False) -> DataFrame:
     """Clips value to two percentiles of its series, then scales it; value itself becomes the clipped one."""
-    df = stats(df, {"_low": F.percentile("value", F.lit(low)), "_high": F.percentile("value", F.lit(high))}, joined)
+    df = stats(df, {"_low": Quantile("value", low), "_high": Quantile("value", high)}, joined)
     clipped = F.when(F.col("value").isNotNull(), F.least(F.greatest("value", "_low"), F.col("_high")))
     return scale(df.withColumn("value", clipped).drop("_low", "_high"), method, joined=joined)
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 SERIES = "s AS (SELECT event_type AS series_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id, value) - 1 AS idx, ts AS timestamp, value FROM events)"
 GAPPY = SERIES.replace(", value FROM", ", CASE WHEN event_id % 17 <> 0 THEN value END AS value FROM")
+NUMBERED = SERIES.replace(", value FROM", ", CASE WHEN event_id % 13 <> 0 THEN value END AS value FROM")
+EMPTIED = SERIES.replace(", value FROM", ", CASE WHEN event_type <> 'click' THEN value END AS value FROM")
+DROPPED = [GAPPY.replace("s AS", "s0 AS", 1), "s AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY idx) - 1 AS idx, timestamp, value, idx AS idx0 FROM s0 WHERE value IS NOT NULL)"]
 USERS = SERIES.replace("event_type", "user_id").replace("user_id AS", "user_id::varchar AS")
 W = "PARTITION BY series_id ORDER BY idx"
 G = "PARTITION BY series_id"
@@ -41,7 +44,8 @@ def capped(signal: str, t: str = "t") -> str:
 
 
 def simple_result(name: str, source: str, signal: str, kind: str = "Spike") -> str:
-    hit = f"(t > 0 AND {signal} >= t)"
+    signal = f"coalesce({signal}, 0.0)"
+    hit = f"coalesce(t > 0 AND {signal} >= t, false)"
     return f"{name} AS (SELECT series_id, idx, timestamp, value, {capped(signal)} AS score, {hit}::int AS label, CASE WHEN {hit} THEN '{kind}' ELSE '' END AS detection_type FROM {source})"
 
 
@@ -166,6 +170,7 @@ FILLED = [
     f"f AS (SELECT *, last_value(value IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv, first_value(value IGNORE NULLS) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv, max(CASE WHEN value IS NOT NULL THEN idx END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pi, min(CASE WHEN value IS NOT NULL THEN idx END) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni FROM s)",
 ]
 INTERPOLATED = "coalesce(value, pv + (nv - pv) * ((idx - pi)::double / nullif(ni - pi, 0)), nv, pv)"
+STATS = f"series_id, count(value) AS count, {r('avg(value)', 'mean')}, {r('stddev_pop(value)', 'std')}, {r('min(value)', 'min')}, {r('max(value)', 'max')}, {r('median(value)', 'median')}, {r('quantile_cont(value, 0.25)', 'q25')}, {r('quantile_cont(value, 0.75)', 'q75')}, {r('skewness(value)', 'skewness')}, {r('kurtosis(value)', 'kurtosis')} FROM s GROUP BY series_id"
 GLOBAL = [SERIES, f"g AS (SELECT *, avg(value) OVER ({G}) AS mean, stddev_samp(value) OVER ({G}) AS std FROM s)", "z AS (SELECT *, CASE WHEN std > 0 THEN abs(value - mean) / std ELSE 0.0 END AS zscore FROM g)"]
 QUARTILES = [SERIES, f"g AS (SELECT *, quantile_cont(value, 0.25) OVER ({G}) AS q1, quantile_cont(value, 0.75) OVER ({G}) AS q3 FROM s)", "x AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM g)"]
 
@@ -219,7 +224,12 @@ SQL: dict[str, str] = {
     "scale_robust": sql([SERIES, f"p AS (SELECT *, quantile_cont(value, 0.01) OVER ({G}) AS lo, quantile_cont(value, 0.99) OVER ({G}) AS hi FROM s)", "x AS (SELECT series_id, idx, least(greatest(value, lo), hi) AS value FROM p)"], f"series_id, idx, {r('value')}, {r(q(f'value - avg(value) OVER ({G})', f'stddev_pop(value) OVER ({G})'), 'value_normalized')} FROM x"),
     "denormalize": sql(SERIES, f"series_id, idx, {r(q(f'value - avg(value) OVER ({G})', f'stddev_pop(value) OVER ({G})'), 'value_normalized')}, {r('value', 'value_denormalized')} FROM s"),
     "preprocess": sql([*FILLED, f"x AS (SELECT series_id, idx, {INTERPOLATED} AS value FROM f)"], f"series_id, idx, {r('value')}, {r(q(f'value - min(value) OVER ({G})', f'max(value) OVER ({G}) - min(value) OVER ({G})'), 'value_normalized')} FROM x"),
-    "series_stats": sql(SERIES, f"series_id, count(value) AS count, {r('avg(value)', 'mean')}, {r('stddev_pop(value)', 'std')}, {r('min(value)', 'min')}, {r('max(value)', 'max')}, {r('median(value)', 'median')}, {r('quantile_cont(value, 0.25)', 'q25')}, {r('quantile_cont(value, 0.75)', 'q75')}, {r('skewness(value)', 'skewness')}, {r('kurtosis(value)', 'kurtosis')} FROM s GROUP BY series_id"),
+    "series_stats": sql(SERIES, STATS),
+    "series_stats_nan": sql(NUMBERED, STATS),
+    "fill_nan": sql([NUMBERED, *FILLED[1:]], f"series_id, idx, {r(INTERPOLATED, 'value')} FROM f"),
+    "prederr_empty_series": sql([EMPTIED, *prederr("d", "adaptive", 3.0, 3)], FOUND),
+    "global_zscore_gaps": sql([GAPPY, *GLOBAL[1:2], "z AS (SELECT *, CASE WHEN std > 0 AND value IS NOT NULL THEN abs(value - mean) / std ELSE 0.0 END AS zscore FROM g)"], f"series_id, idx, {r('zscore')}, {r('least(zscore / 2.5, 1.0)', 'score')}, (zscore > 2.5)::int AS label FROM z"),
+    "fuzzy_repeated": sql([SERIES, *SPANS[:-1], SPANS[-1].replace("ix AS", "ix0 AS", 1), "ix AS (SELECT * FROM ix0 UNION ALL SELECT * FROM ix0)", *JUDGED[1 + len(SPANS):], *fuzzy("j", "fz")], f"{METRICS}, {r('greatest(0.0, 100 - (0.11::double * fp + fn))', 'score')} FROM fz"),
     "labelled_stats": sql(USERS, f"series_id, count(*) AS rows, {r('avg(value)', 'mean')}, {r('stddev_samp(value)', 'std')}, {r('min(value)', 'min')}, {r('max(value)', 'max')}, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') AS last_ts FROM s GROUP BY series_id"),
     "series_by_days": sql(SERIES, f"series_id, idx, {r('value')} FROM s"),
     "tile": sql([SERIES, f"n AS (SELECT *, count(*) OVER ({G}) AS total FROM s)"], f"series_id, (idx + k * total)::bigint AS idx, {r('value')} FROM n, range(3) t(k)"),
@@ -273,6 +283,10 @@ SQL: dict[str, str] = {
     "threshold_sweep": sql(SWEEP, f"threshold, {r('raw_score')}, tp, fp, fn FROM sc ORDER BY sc.raw_score DESC, threshold DESC LIMIT 1"),
     "null_perfect_norm": sql([*JUDGED, *fuzzy("j", "fz"), "t AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, (SELECT count(*) FROM ix) AS n FROM fz)", "pr AS (SELECT * FROM (VALUES ('standard', 1.0::double, 1.0::double, 0.11::double), ('reward_low_FP', 1.0, 1.0, 0.22), ('reward_low_FN', 1.0, 2.0, 0.11)) x(profile, hit, miss, alarm))", "raw AS (SELECT *, hit * tp - miss * fn - alarm * fp AS raw_score FROM t, pr)"], f"profile, {r('raw_score')}, {r('-miss * n', 'null_raw')}, {r('hit * n', 'perfect_raw')}, {r('(raw_score + miss * n) / (hit * n + miss * n) * 100', 'score')} FROM raw"),
 }
+SQL["iqr_long_series"] = SQL["iqr"]
+for _name, _make in (("zscore", zscore), ("prederr", prederr), ("hybrid", hybrid), ("mean_shift", mean_shift)):
+    for _suffix in ("", "_long_series"):
+        SQL[f"{_name}_after_drop{_suffix}"] = sql([*DROPPED, *_make("d", "adaptive", 3.0)], f"series_id, idx0 AS idx, d.idx AS pos, {r('score')}, label, detection_type FROM d JOIN s USING (series_id, idx)").replace("d.idx AS pos", "idx AS pos")
 for _policy, _method, _v in (("fixed", "fixed", 3.0), ("percentile", "percentile", 97.3), ("adaptive", "adaptive", 3.0)):
     SQL[f"zscore_{_policy}"] = sql([SERIES, *zscore("d", _method, _v)], FOUND)
     SQL[f"prederr_{_policy}"] = sql([SERIES, *prederr("d", _method, _v, 3)], FOUND)

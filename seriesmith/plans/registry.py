@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import Threshold
+from ..functions.core import Quantile, Threshold, stats
 from ..operators import detectors, ensemble, evaluate, features, forest, series
 from . import oracles
 
@@ -54,6 +54,21 @@ def _register(name: str, f: Query) -> None:
     QUERIES[name] = f
 
 
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events where every 13th value is not a number."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return series.to_series(rows, "event_type", "ts", F.when(F.col("event_id") % 13 != 0, F.col("value")).otherwise(F.lit(float("nan"))), "event_id")
+
+
+def emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of which one series has no value at all."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return series.to_series(rows, "event_type", "ts", F.when(F.col("event_type") != EMPTY, F.col("value")), "event_id")
+
+
+#: The series of emptied().
+EMPTY = "click"
+
 for _m in series.FILLS:
     _register({"forward_fill": "fill_ffill"}.get(_m, f"fill_{_m}"), lambda s, d, m=_m: out(series.fill(events(s, d, True), m), "value"))
 for _m in ("standard", "minmax"):
@@ -64,6 +79,10 @@ _register("preprocess", lambda s, d: out(series.preprocess(events(s, d, True), "
 _register("series_stats", lambda s, d: out(series.series_stats(events(s, d)), "count", "mean", "std", "min", "max", "median", "q25", "q75", "skewness", "kurtosis", keys=("series_id",)))
 
 
+_register("fill_nan", lambda s, d: out(series.fill(numbered(s, d)), "value"))
+_register("series_stats_nan", lambda s, d: out(series.series_stats(numbered(s, d)), "count", "mean", "std", "min", "max", "median", "q25", "q75", "skewness", "kurtosis", keys=("series_id",)))
+
+
 @query
 def labelled_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = series.labelled_stats(users(spark, sf_dir))
@@ -130,9 +149,16 @@ def zscore_long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("global_zscore", lambda s, d: out(detectors.global_zscore(events(s, d)), "zscore", "score", "label"))
+_register("global_zscore_gaps", lambda s, d: out(detectors.global_zscore(events(s, d, True)), "zscore", "score", "label"))
+_register("prederr_empty_series", lambda s, d: found(detectors.prediction_error(emptied(s, d), smoothing=3, threshold=ADAPTIVE)))
+_register("iqr_long_series", lambda s, d: out(detectors.iqr(events(s, d), joined=True), "value", "q1", "q3", "lower", "upper"))
+#: Detection by position after rows were dropped, of whole series and of runs of rows.
+for _name, _f in (("zscore", detectors.rolling_zscore), ("prederr", detectors.prediction_error), ("hybrid", detectors.hybrid), ("mean_shift", detectors.mean_shift)):
+    for _suffix, _chunk in (("", None), ("_long_series", 128)):
+        _register(f"{_name}_after_drop{_suffix}", lambda s, d, f=_f, c=_chunk: found(f(series.fill(events(s, d, True), "drop", c), threshold=ADAPTIVE, chunk=c), ("series_id", "idx", "pos")))
 _register("global_zscore_filter", lambda s, d: out(detectors.global_zscore_filter(events(s, d)), "value", "mean", "std", "zscore"))
 _register("simple_sigma_filter", lambda s, d: out(detectors.global_zscore_filter(events(s, d), 1.0), "value", "zscore"))
-_register("iqr", lambda s, d: out(detectors.iqr(events(s, d)), "value", "q1", "q3", "lower", "upper"))
+_register("iqr", lambda s, d: out(detectors.iqr(events(s, d), joined=False), "value", "q1", "q3", "lower", "upper"))
 _register("tumbling_zscore", lambda s, d: out(detectors.tumbling_zscore(events(s, d), TUMBLING), "value", "mean", "std", "n", "zscore"))
 _register("tumbling_iqr", lambda s, d: out(detectors.tumbling_iqr(events(s, d), TUMBLING), "value", "q1", "q3"))
 _register("spark_rolling", lambda s, d: found(detectors.plain_rolling_zscore(events(s, d))))
@@ -143,16 +169,16 @@ NAMES = tuple(ensemble.REGISTRY)
 WITHOUT_FOREST = ("rolling_zscore", "prediction_error", "hybrid", "mean_shift")
 
 
-def long_form(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = NAMES, k: float = K) -> DataFrame:
+def wide_form(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = NAMES, k: float = K) -> DataFrame:
     """Detectors at the adaptive threshold; the forest, which has none, at its default contamination."""
-    return ensemble.detect_all(events(spark, sf_dir), names, {n: {"threshold": Threshold("adaptive_std", k=k)} for n in names if n != "isolation_forest"})
+    return ensemble.detect_wide(events(spark, sf_dir), names, {n: {"threshold": Threshold("adaptive_std", k=k)} for n in names if n != "isolation_forest"})
 
 
 for _s, _n in (("", NAMES), ("_without_forest", WITHOUT_FOREST)):
-    _register(f"detect_all{_s}", lambda s, d, n=_n: found(long_form(s, d, n), ("algorithm", "series_id", "idx")))
-    _register(f"detect_wide{_s}", lambda s, d, n=_n: out(ensemble.wide(long_form(s, d, n), n), *(f"{x}_{c}" for x in n for c in ("anomaly", "score"))))
-    _register(f"ensemble{_s}", lambda s, d, n=_n: out(ensemble.vote(long_form(s, d, n)), "score", "label"))
-    _register(f"run_summary{_s}", lambda s, d, n=_n: out(ensemble.run_summary(long_form(s, d, n)), "points", "anomalies", "percent", "min_score", "max_score", "mean_score", keys=("algorithm",)))
+    _register(f"detect_all{_s}", lambda s, d, n=_n: found(ensemble.stacked(wide_form(s, d, n), n), ("algorithm", "series_id", "idx")))
+    _register(f"detect_wide{_s}", lambda s, d, n=_n: out(wide_form(s, d, n), *(f"{x}_{c}" for x in n for c in ("anomaly", "score"))))
+    _register(f"ensemble{_s}", lambda s, d, n=_n: out(ensemble.vote(wide_form(s, d, n), n), "score", "label"))
+    _register(f"run_summary{_s}", lambda s, d, n=_n: out(ensemble.run_summary(ensemble.stacked(wide_form(s, d, n), n)), "points", "anomalies", "percent", "min_score", "max_score", "mean_score", keys=("algorithm",)))
 _register("top_anomalies", lambda s, d: found(ensemble.top_anomalies(detectors.rolling_zscore(events(s, d), threshold=ADAPTIVE))))
 _register("dominant_type", lambda s, d: ensemble.dominant_type(detectors.hybrid(events(s, d), threshold=Threshold("percentile", percentile=90.1))))
 _register("if_features", lambda s, d: out(forest.forest_features(events(s, d)), *forest.FEATURES))
@@ -161,8 +187,7 @@ _register("isolation_forest", lambda s, d: found(forest.isolation_forest(events(
 
 def intervals(df: DataFrame) -> DataFrame:
     """Truth made of the data: by series and bucket of time, from the first to the last value beyond the 99th percentile."""
-    top = df.groupBy("series_id").agg(F.percentile("value", F.lit(0.99)).alias("_p"))
-    high = df.join(top, "series_id").where("value > _p").withColumn("_b", F.window("timestamp", TRUTH_BUCKET)["start"])
+    high = stats(df, {"_p": Quantile("value", 0.99)}).where("value > _p").withColumn("_b", F.window("timestamp", TRUTH_BUCKET)["start"])
     spans = high.groupBy("series_id", "_b").agg(F.min("timestamp").alias("start_ts"), F.max("timestamp").alias("end_ts"))
     return spans.select("series_id", (F.row_number().over(Window.partitionBy("series_id").orderBy("start_ts")) - 1).cast("long").alias("interval_id"), "start_ts", "end_ts")
 
@@ -171,8 +196,7 @@ def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Labelled points of the adaptive z-score, with truth; the intervals by index."""
     df = events(spark, sf_dir)
     spans = intervals(df)
-    marked = evaluate.point_mask(df, spans).select("series_id", "idx", "truth")
-    return detectors.rolling_zscore(df, threshold=ADAPTIVE).join(marked, ["series_id", "idx"]), evaluate.intervals_to_index(df, spans)
+    return evaluate.point_mask(detectors.rolling_zscore(df, threshold=ADAPTIVE), spans), evaluate.intervals_to_index(df, spans)
 
 
 METRICS = ("tp", "fp", "fn", "tn", "precision", "recall", "f1", "fpr")
@@ -195,6 +219,16 @@ _register("confusion", lambda s, d: evaluate.confusion(judged(s, d)[0]))
 _register("point_metrics", lambda s, d: out(evaluate.point_metrics(judged(s, d)[0]), *METRICS, keys=_S))
 _register("metrics_summary", lambda s, d: evaluate.metrics_summary(evaluate.point_metrics(judged(s, d)[0])))
 _register("fuzzy_eval", lambda s, d: out(evaluate.fuzzy(*judged(s, d), tolerance=5), *METRICS, "score", keys=_S))
+
+
+@query
+def fuzzy_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every interval labelled twice."""
+    points, spans = judged(spark, sf_dir)
+    twice = spans.unionByName(spans.withColumn("interval_id", F.col("interval_id") + 100_000))
+    return out(evaluate.fuzzy(points, twice, 5), *METRICS, "score", keys=_S)
+
+
 _register("detection_delay", lambda s, d: out(evaluate.detection_delay(judged(s, d)[0]), "delay_samples", "delay_seconds", keys=_S))
 _register("simple_score", lambda s, d: out(evaluate.simple_score(judged(s, d)[0]), "fp", "fn", "score", keys=_S))
 _register("baseline_rank", lambda s, d: out(evaluate.baseline_rank(evaluate.simple_score(judged(s, d)[0])), "score", "vs_htm", "vs_rcf", "vs_skyline", "rank", keys=_S))
@@ -203,15 +237,14 @@ _register("diagnostic_ratio", lambda s, d: out(evaluate.diagnostic_ratio(judged(
 
 
 def grid(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = NAMES) -> DataFrame:
-    """Fuzzy metrics by series, algorithm and sensitivity."""
+    """Fuzzy metrics by series, algorithm and sensitivity; of each sensitivity all detectors in one pass."""
     df = events(spark, sf_dir)
     spans = evaluate.intervals_to_index(df, intervals(df))
     out_ = None
     for threshold in ("Low", "Medium"):
-        for name in names:
-            one = evaluate.fuzzy(ensemble.detect(df, name, **ensemble.preset(name, threshold)), spans, 5)
-            one = one.select("series_id", F.lit(name).alias("algorithm"), F.lit(threshold).alias("threshold"), "precision", "recall", "f1", "tp", "fp", "fn")
-            out_ = one if out_ is None else out_.unionByName(one)
+        long = ensemble.detect_all(df, names, {n: ensemble.preset(n, threshold) for n in names})
+        one = evaluate.fuzzy(long, spans, 5, ("series_id", "algorithm")).select("series_id", "algorithm", F.lit(threshold).alias("threshold"), "precision", "recall", "f1", "tp", "fp", "fn")
+        out_ = one if out_ is None else out_.unionByName(one)
     return out_
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.series import number
+
 SCHEMA = "timestamp string, value double"
 
 
@@ -51,11 +53,11 @@ def read_series(spark: SparkSession, root: str, names: list[str] | None = None)
     if not files:
         return spark.createDataFrame([], "series_id string, timestamp timestamp_ntz, value double")
     rows = spark.read.csv(files, schema=SCHEMA, header=True, enforceSchema=False)
-    path = F.split(F.input_file_name(), "/")
+    path = F.split(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), "/")
     stem, parent = F.regexp_replace(F.element_at(path, -1), r"\.csv$", ""), F.element_at(path, -2)
     base = root.rstrip("/").rpartition("/")[2]
     name = F.when(parent == base, stem).otherwise(F.concat_ws("/", parent, stem))
-    return rows.select(name.alias("series_id"), F.try_to_timestamp("timestamp").cast("timestamp_ntz").alias("timestamp"), "value")
+    return rows.select(name.alias("series_id"), F.try_to_timestamp("timestamp").cast("timestamp_ntz").alias("timestamp"), number(F.col("value")).alias("value"))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -68,11 +70,18 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_labels(series: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Series and the labels whose key, with or without its folder, names one of them."""
-    names = series.select("series_id").distinct().withColumn("_stem", F.element_at(F.split("series_id", "/"), -1))
-    stem = F.element_at(F.split(F.col("series_id"), "/"), -1)
-    exact = labels.join(names.select("series_id"), "series_id", "left_semi")
-    loose = labels.join(names.select("series_id"), "series_id", "left_anti").withColumn("_stem", stem).drop("series_id").join(names, "_stem").drop("_stem")
+    """Series and the labels that name them.
+
+    A key names the series that is called so. A series without a folder and
+    without such a key takes the labels of the first key, in their order, that
+    is its name in some folder; a series in a folder takes none of another one.
+    """
+    names = series.select("series_id").distinct()
+    exact = labels.join(names, "series_id", "left_semi")
+    bare = names.where(~F.contains("series_id", F.lit("/"))).join(labels, "series_id", "left_anti").withColumnRenamed("series_id", "_name")
+    keys = labels.where(F.contains("series_id", F.lit("/"))).select("series_id", F.element_at(F.split("series_id", "/"), -1).alias("_name")).distinct()
+    chosen = keys.join(bare, "_name").groupBy("_name").agg(F.min("series_id").alias("series_id"))
+    loose = labels.join(chosen, "series_id").drop("series_id").withColumnRenamed("_name", "series_id")
     return series, exact.unionByName(loose.select(*exact.columns))
 
 

@@ -113,7 +113,7 @@ def test_ensemble(series):
     names = ("rolling_zscore", "prediction_error", "mean_shift")
     long = ensemble.detect_all(df, names, {n: ensemble.preset(n, "Low") for n in names})
     assert long.count() == 600
-    assert [r.idx for r in ensemble.vote(long).where("label = 1").collect()] == [100]
+    assert [r.idx for r in ensemble.vote(ensemble.detect_wide(df, names, {n: ensemble.preset(n, "Low") for n in names}), names).where("label = 1").collect()] == [100]
     assert {"rolling_zscore_anomaly", "mean_shift_score"} <= set(ensemble.wide(long, names).columns)
     assert ensemble.dominant_type(detectors.rolling_zscore(df, threshold=Threshold("fixed", 4.0))).first().dominant_type == "Spike"
     with pytest.raises(ValueError):
