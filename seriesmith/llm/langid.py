@@ -165,6 +165,8 @@ class LanguageModel:
 
 #: The limit of a language is set so that this share of texts that its model has not seen stays below it, and then this much higher.
 SHARE, MARGIN = 0.95, 2.5
+#: No limit is nearer to the mean than this share of the way to the uniform distribution: a text with a passage of another language is not rejected.
+FLOOR = 0.4
 #: Characters of a text from which on it takes part in the calibration.
 LEAST = 30
 
@@ -178,7 +180,8 @@ def fit(sample: list[tuple[str, str]]) -> LanguageModel:
 
     Rejection is calibrated by cross-fitting: either half of a language's texts
     is scored by a model of the other half. A text of n characters is rejected
-    beyond mean + z * sqrt(spread**2 + noise**2 / n), of such unseen texts.
+    beyond mean + z * sqrt(spread**2 + noise**2 / n), of such unseen texts, or
+    beyond FLOOR if that is farther.
     """
     letters: set[str] = set()
     for _, text in sample:
@@ -244,7 +247,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", d
                 none = letters == 0
                 score = np.where(none, 0.0, 1 / odds.sum(1))
                 mean, spread, noise, z = model.limits[at].T
-                bad = none | (entropy > mean + z * np.sqrt(spread**2 + noise**2 / np.maximum(n, 1)))
+                far = np.maximum(z * np.sqrt(spread**2 + noise**2 / np.maximum(n, 1)), FLOOR * (np.log(model.alphabet.size) - mean))
+                bad = none | (entropy > mean + far)
                 best = np.array(model.names, object)[at]
                 best[none] = UND
             made = [pa.array(best.tolist(), pa.string()), pa.array(score), pa.array(entropy), pa.array(bad)]

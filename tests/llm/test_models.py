@@ -262,3 +262,33 @@ def test_lm_keeps_rare_ngrams_at_any_size(spark, monkeypatch):
             assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (n, known, total) and total > 1 << 21
             assert got[k].base_score == pytest.approx(base, rel=1e-9)
             assert got[k].score == pytest.approx(score, rel=1e-9)
+
+
+def test_rejection_is_calibrated_on_unseen_texts(tongues):
+    """Unseen texts of the languages stay, also with a passage of the other one; other letters and other words go."""
+    r = random.Random(9)
+
+    def rejected(text):
+        raw = text.encode()
+        entropies, n, _ = tongues.entropies(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        at = entropies[0].argmin()
+        mean, spread, noise, z = tongues.limits[at]
+        return entropies[0, at] > mean + max(z * math.sqrt(spread**2 + noise**2 / n[0]), langid.FLOOR * (math.log(tongues.alphabet.size) - mean))
+
+    assert not any(rejected(text_of(k, r, n)) for k in WORDS for n in (3, 10, 30, 200) for _ in range(30))
+    assert not rejected(text_of("xx", r, 60) + text_of("yy", r, 5))
+    assert all(rejected("".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n))) for n in (60, 300) for _ in range(20))
+    assert rejected("не из этого мира " * 5)
+
+
+def test_letters_of_all_scripts_are_symbols():
+    r = random.Random(4)
+    letters = {"el": "αβγδεζηθικλμνξοπ ", "ru": "абвгдежзийклмнопрсту ", "zz": "𐐨𐐩𐐪𐐫𐐬 "}
+    made = lambda k, n: "".join(r.choices(letters[k], k=n))
+    model = langid.fit([(k, made(k, 300)) for k in letters for _ in range(6)])
+    assert model.alphabet.size == 2 + 16 + 20 + 5
+    for name in letters:
+        for text in (made(name, 20) + letters[name][0], made(name, 200).upper() + letters[name][0]):
+            raw = text.encode()
+            entropies, _, found = model.entropies(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            assert model.names[entropies[0].argmin()] == name and found[0] == sum(c.isalpha() for c in text)

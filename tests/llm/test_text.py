@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 
@@ -114,6 +115,29 @@ def test_similar_images_have_near_hashes():
     assert far(smooth, noisy) < 8 < far(smooth, other)
 
 
+def cosine_hash_by_definition(pixels):
+    """Every coefficient by its sum, over the means of the blocks, or nearest rows and columns, of the grey image."""
+    grey = pixels.astype(float).mean(2)
+    height, width = grey.shape
+
+    def span(k, n):
+        lo = k * n // 32
+        return slice(lo, max(lo + 1, (k + 1) * n // 32)) if n >= 32 else slice(lo, lo + 1)
+
+    small = [[grey[span(y, height), span(x, width)].mean() for x in range(32)] for y in range(32)]
+    low = [round(sum(small[y][x] * math.cos(math.pi / 32 * (y + 0.5) * u) * math.cos(math.pi / 32 * (x + 0.5) * v) for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    bits = "0" + "".join(str(int(c > middle)) for c in low[1:])
+    return f"{int(bits, 2):016x}"
+
+
+def test_cosine_hash_against_its_definition():
+    rng = np.random.default_rng(8)
+    for height, width, samples in ((64, 64, 3), (40, 64, 1), (5, 64, 3), (100, 33, 4), (1, 1, 2)):
+        pixels = rng.integers(0, 256, (height, width, samples)).astype(np.uint8)
+        assert media.cosine_hash(pixels) == cosine_hash_by_definition(pixels)
+
+
 def test_pieces_and_packing(spark):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
