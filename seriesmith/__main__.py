@@ -1,4 +1,4 @@
-"""Command line: list, info, detect, evaluate, scale."""
+"""Command line: list, info, detect, evaluate, benchmark."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import ensemble, evaluate, forest, series
+from .operators import detectors, ensemble, evaluate, features, forest, series
 from .sources import files
 
 
@@ -18,7 +18,7 @@ def session(cores: str = "*") -> SparkSession:
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="seriesmith", description="Anomalies in folders of series, CSV files with timestamp and value.")
-    parser.add_argument("command", choices=["list", "info", "detect", "evaluate", "scale"])
+    parser.add_argument("command", choices=["list", "info", "detect", "evaluate", "benchmark"])
     parser.add_argument("root", help="folder of series")
     parser.add_argument("--series", nargs="*", help="names; all by default")
     parser.add_argument("--algorithm", choices=[*ensemble.REGISTRY, "all", "ensemble"], default="all")
@@ -26,11 +26,12 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--fill", choices=series.FILLS, default="interpolate")
     parser.add_argument("--normalize", choices=["standard", "minmax"], help="detect on normalised values")
     parser.add_argument("--labels", help="JSON file of labelled intervals")
-    parser.add_argument("--cores", nargs="*", type=int, default=[1, 2, 4, 8], help="for scale")
+    parser.add_argument("--cores", nargs="*", type=int, default=[1, 2, 4, 8], help="for benchmark")
+    parser.add_argument("--times", type=int, default=10, help="for benchmark: how often each series is repeated")
     parser.add_argument("--output", help="folder of results")
     args = parser.parse_args(argv)
-    if args.command == "scale":
-        scale(args)
+    if args.command == "benchmark":
+        benchmark(args)
         return
     spark = session()
     if args.command == "list":
@@ -61,18 +62,34 @@ def main(argv: list[str] | None = None) -> None:
         files.write_report(ensemble.run_summary(long), f"{args.output}/summary")
 
 
-def scale(args: argparse.Namespace) -> None:
-    """Times the global z-score and the forest on tiled series with several numbers of cores."""
-    times = []
+#: What is timed with several numbers of cores.
+TIMED = {"global_zscore": detectors.global_zscore, "rolling": features.rolling, "isolation_forest": forest.isolation_forest}
+
+
+def benchmark(args: argparse.Namespace) -> None:
+    """Seconds, speedup and efficiency by cores of each of TIMED over tiled series, one line of pandas' rolling statistics beside them."""
+    times: dict[str, list[tuple[int, float]]] = {name: [] for name in TIMED}
     for cores in args.cores:
         spark = session(str(cores))
-        df = series.tile(series.to_series(files.read_series(spark, args.root, args.series), "series_id", "timestamp", "value"), 10)
-        began = time.perf_counter()
-        ensemble.detect(df, "rolling_zscore").write.format("noop").mode("overwrite").save()
-        forest.isolation_forest(df).write.format("noop").mode("overwrite").save()
-        times.append((cores, time.perf_counter() - began))
-        spark.stop()
-    evaluate.scalability(session("1").createDataFrame(times, "cores int, seconds double")).show()
+        df = series.tile(series.to_series(files.read_series(spark, args.root, args.series), "series_id", "timestamp", "value"), args.times)
+        for name, f in TIMED.items():
+            best = []
+            for _ in range(2):
+                began = time.perf_counter()
+                f(df).write.format("noop").mode("overwrite").save()
+                best.append(time.perf_counter() - began)
+            times[name].append((cores, min(best)))
+        if cores == args.cores[-1]:
+            parts = [p["value"] for _, p in files.to_pandas(df.select("series_id", "idx", "value")).sort_values("idx").groupby("series_id")]
+            began = time.perf_counter()
+            for values in parts:
+                values.rolling(20, min_periods=10).agg(["mean", "std"])
+            print(f"pandas rolling, in memory: {time.perf_counter() - began:.4f} s")
+            for name, rows in times.items():
+                print(name)
+                evaluate.scalability(spark.createDataFrame(rows, "cores int, seconds double")).show()
+        else:
+            spark.stop()
 
 
 if __name__ == "__main__":

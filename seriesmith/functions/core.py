@@ -39,6 +39,39 @@ def dense(df: DataFrame, chunk: int | None = None) -> DataFrame:
     return df.withColumn("_at", within).join(offsets, ["series_id", "_run"]).select(*columns, (F.col("_at") + F.col("_offset")).cast("long").alias("pos"))
 
 
+def running_sum(df: DataFrame, column: str, out: str, chunk: int | None = None) -> DataFrame:
+    """Adds the sum of a column from the start of the series to the row; with chunk by runs of rows, moved on by the sums of the runs before."""
+    if chunk is None:
+        return df.withColumn(out, F.sum(column).over(ordered()))
+    df = df.withColumn("_run", F.floor(position(df) / chunk))
+    before = Window.partitionBy("series_id").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy("series_id", "_run").agg(F.sum(column).alias("_s")).select("series_id", "_run", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"))
+    within = F.sum(column).over(Window.partitionBy("series_id", "_run").orderBy("idx"))
+    columns = [c for c in df.columns if c != "_run"]
+    return df.withColumn("_sum", within).join(sums, ["series_id", "_run"]).select(*columns, (F.col("_sum") + F.col("_offset")).alias(out))
+
+
+def nearest(df: DataFrame, given: Column, chunk: int | None = None) -> DataFrame:
+    """Adds _before and _after: idx and value, as a struct (i, v), of the last row up to this one, and the first from this one on, where given is not null.
+
+    With chunk by runs of rows, of which only the outermost such rows travel.
+    """
+    by = ["series_id"] if chunk is None else ["series_id", "_run"]
+    if chunk is not None:
+        df = df.withColumn("_run", F.floor(position(df) / chunk))
+    df = df.withColumn("_given", F.when(given.isNotNull(), F.struct(F.col("idx").alias("i"), given.alias("v"))))
+    # what follows is what came before in the opposite order: a frame that only grows is read once
+    last = lambda order: F.last("_given", True).over(Window.partitionBy(*by).orderBy(order("idx")).rowsBetween(Window.unboundedPreceding, 0))
+    out = df.withColumns({"_before": last(F.asc), "_after": last(F.desc)})
+    if chunk is None:
+        return out.drop("_given")
+    ends = df.groupBy(*by).agg(F.min("_given").alias("_first"), F.max("_given").alias("_last"))
+    others = lambda order: Window.partitionBy("series_id").orderBy(order("_run")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, F.max("_last").over(others(F.asc)).alias("_earlier"), F.min("_first").over(others(F.desc)).alias("_later"))
+    columns = [c for c in df.columns if c not in ("_run", "_given")]
+    return out.join(ends, by).select(*columns, F.coalesce("_before", "_earlier").alias("_before"), F.coalesce("_after", "_later").alias("_after"))
+
+
 def quotient(a: Column, b: Column) -> Column:
     """a / b, and 0 where that is null, not a number or infinite."""
     q = F.try_divide(a.cast("double"), b.cast("double"))

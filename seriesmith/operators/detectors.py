@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.core import Quantile, Threshold, capped, centred, edge, frames, gated, ordered, position, quotient, reaches, stats
+from ..functions.core import Quantile, Threshold, capped, centred, edge, frames, gated, position, quotient, reaches, running_sum, stats
 from . import features
 
 
@@ -95,7 +95,8 @@ def mean_shift(df: DataFrame, width: int = 50, threshold: Threshold = Threshold(
     rows = rows.withColumn("_raw", F.when(inside, F.coalesce(raw, F.lit(0.0))).otherwise(F.lit(0.0)))
     rows = threshold.add(rows, {"_t": ("_raw", threshold.value)}, joined)
     rows = rows.withColumns({"score": capped(F.col("_raw"), F.col("_t")), "_above": reaches(F.col("_raw"), F.col("_t"))})
-    run = at - F.sum(F.col("_above").cast("long")).over(ordered())  # constant within a run
+    rows = running_sum(rows.withColumn("_one", F.col("_above").cast("long")), "_one", "_reached", chunk)
+    run = at - F.col("_reached")  # constant within a run
     rows = rows.withColumn("_run", F.when(F.col("_above"), run))
     best = F.row_number().over(Window.partitionBy("series_id", "_run").orderBy(F.desc("_raw"), "idx"))
     # rows outside runs are spread over windows of their own

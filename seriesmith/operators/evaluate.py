@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import quotient
+from ..functions.core import frames, nearest, quotient
 
 BUCKET = 1024
 #: Published scores that are compared with (fixed values).
@@ -99,13 +99,11 @@ def fuzzy(df: DataFrame, spans: DataFrame, tolerance: int = 100, keys: tuple[str
     return out.withColumn("score", F.greatest(F.lit(0.0), 100 - (0.11 * F.col("fp") + F.col("fn"))))
 
 
-def detection_delay(df: DataFrame, sample_rate: float = 300.0) -> DataFrame:
+def detection_delay(df: DataFrame, sample_rate: float = 300.0, chunk: int | None = None) -> DataFrame:
     """By series the mean distance in rows from the start of a true run to the first label from there on; runs never detected do not count; and in seconds."""
-    w = Window.partitionBy("series_id").orderBy("idx")
-    begins = (F.col("truth") == 1) & (F.coalesce(F.lag("truth").over(w), F.lit(0)) == 0)
-    back = Window.partitionBy("series_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = F.last(F.when(F.col("label") == 1, F.col("idx")), True).over(back)
-    delays = df.withColumns({"_begins": begins, "_delay": ahead - F.col("idx")})
+    rows = frames(df, 1, 0, lambda w: {"_last": F.lag("truth").over(w)}, chunk)
+    rows = rows.withColumn("_begins", (F.col("truth") == 1) & (F.coalesce("_last", F.lit(0)) == 0))
+    delays = nearest(rows, F.when(F.col("label") == 1, F.col("label")), chunk).withColumn("_delay", F.col("_after")["i"] - F.col("idx"))
     out = delays.groupBy("series_id").agg(F.coalesce(F.avg(F.when(F.col("_begins"), F.col("_delay"))), F.lit(0.0)).alias("delay_samples"))
     return out.withColumn("delay_seconds", F.col("delay_samples") / sample_rate)
 

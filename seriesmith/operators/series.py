@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import Quantile, dense, ordered, quotient, stats
+from ..functions.core import Quantile, dense, nearest, quotient, stats
 
 
 def number(c: Column) -> Column:
@@ -60,6 +60,13 @@ def format_timestamp(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
+def memory_usage(df: DataFrame) -> DataFrame:
+    """(bytes, memory): eight bytes a number or time, the bytes of texts, as megabytes of two places."""
+    width = lambda f: F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() == "string" else F.lit(8)
+    total = sum((width(f) for f in df.schema), F.lit(0).cast("long"))
+    return df.agg(F.coalesce(F.sum(total), F.lit(0)).alias("bytes")).withColumn("memory", F.format_string("%.2f MB", F.col("bytes") / 1024**2))
+
+
 def concat_series(parts: dict[str, DataFrame]) -> DataFrame:
     """Several single series as one table, tagged with their names."""
     out = None
@@ -78,26 +85,22 @@ def fill(df: DataFrame, method: str = "interpolate", chunk: int | None = None) -
     """Fills nulls in value by series; drop leaves idx as it was and adds pos, the place among the rows that are left, which detectors go by.
 
     interpolate: linear by position, ends take the nearest value. forward_fill:
-    the last value before, at the start the first one after.
+    the last value before, at the start the first one after. With chunk a series
+    is the work of many tasks, a run of so many rows each.
     """
-    w = ordered()
-    to = w.rowsBetween(Window.unboundedPreceding, 0)
-    # what follows is what came before in the opposite order: a frame that only grows is read once
-    back = Window.partitionBy("series_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
     v, i = F.col("value"), F.col("idx")
     if method == "drop":
         return dense(df.dropna(subset=["value"]), chunk)
     if method == "mean":
-        return df.withColumn("value", F.coalesce(v, F.avg("value").over(Window.partitionBy("series_id"))))
-    at = F.when(v.isNotNull(), i)
-    before, after = F.last(v, True).over(to), F.last(v, True).over(back)
+        return stats(df, {"_mean": F.avg("value")}, chunk is not None).withColumn("value", F.coalesce(v, "_mean")).drop("_mean")
+    if method not in FILLS:
+        raise ValueError(f"unknown fill method {method!r}; one of {FILLS}")
+    df = nearest(df, v, chunk)
+    before, after = F.col("_before"), F.col("_after")
     if method == "forward_fill":
-        return df.withColumn("value", F.coalesce(before, after))
-    if method == "interpolate":
-        df = df.withColumns({"_pv": before, "_nv": after, "_pi": F.last(at, True).over(to), "_ni": F.last(at, True).over(back)})
-        between = F.col("_pv") + (F.col("_nv") - F.col("_pv")) * F.try_divide((i - F.col("_pi")).cast("double"), (F.col("_ni") - F.col("_pi")).cast("double"))
-        return df.withColumn("value", F.coalesce(v, between, "_nv", "_pv")).drop("_pv", "_nv", "_pi", "_ni")
-    raise ValueError(f"unknown fill method {method!r}; one of {FILLS}")
+        return df.withColumn("value", F.coalesce(before["v"], after["v"])).drop("_before", "_after")
+    between = before["v"] + (after["v"] - before["v"]) * F.try_divide((i - before["i"]).cast("double"), (after["i"] - before["i"]).cast("double"))
+    return df.withColumn("value", F.coalesce(v, between, after["v"], before["v"])).drop("_before", "_after")
 
 
 def scale(df: DataFrame, method: str = "standard", keep: bool = False, joined: bool = False) -> DataFrame:

@@ -277,13 +277,17 @@ SQL: dict[str, str] = {
     "diagnostic_ratio": sql([*JUDGED, "a AS (SELECT series_id, avg(label) * 100 AS dp, avg(truth) * 100 AS tp FROM j GROUP BY series_id)"], f"series_id, {r('dp', 'detected_percent')}, {r('tp', 'truth_percent')}, {r('coalesce(dp / nullif(tp, 0), 0)', 'ratio')} FROM a"),
     "eval_grid": sql(GRID, f"series_id, algorithm, threshold, {', '.join(map(r, ('precision', 'recall', 'f1')))}, tp, fp, fn FROM grid"),
     "eval_means": sql(MEANS, "algorithm, threshold, avg_precision, avg_recall, avg_f1 FROM means"),
+    "eval_categories": sql(GRID, "CASE WHEN series_id IN ('purchase', 'signup') THEN 'sales' ELSE 'other' END AS category, algorithm, threshold, round(avg(precision), 4) AS avg_precision, round(avg(recall), 4) AS avg_recall, round(avg(f1), 4) AS avg_f1 FROM grid GROUP BY ALL"),
+    "memory_usage": sql(SERIES, "sum(strlen(series_id) + 24)::bigint AS bytes, format('{:.2f} MB', sum(strlen(series_id) + 24) / 1048576.0::double) AS memory FROM s"),
     "eval_pivot": sql(MEANS, 'algorithm, avg(avg_f1) FILTER (threshold = \'Low\') AS "Low", avg(avg_f1) FILTER (threshold = \'Medium\') AS "Medium" FROM means GROUP BY algorithm'),
     "eval_averages": sql([*GRID, "a AS (SELECT algorithm, avg(precision) AS p, avg(recall) AS rc, avg(f1) AS f, stddev_pop(f1) AS sd FROM grid GROUP BY algorithm)"], f"algorithm, {r('p', 'avg_precision')}, {r('rc', 'avg_recall')}, {r('f', 'avg_f1')}, {r('sd', 'std_f1')}, (row_number() OVER (ORDER BY f DESC, algorithm DESC) = 1)::int AS best FROM a"),
     "scalability": f"SELECT (r_regionkey + 1)::int AS cores, {r('100.0 / sqrt(r_regionkey + 1)', 'seconds')}, {r('sqrt(r_regionkey + 1)', 'speedup')}, {r('sqrt(r_regionkey + 1) / (r_regionkey + 1)', 'efficiency')} FROM region",
     "threshold_sweep": sql(SWEEP, f"threshold, {r('raw_score')}, tp, fp, fn FROM sc ORDER BY sc.raw_score DESC, threshold DESC LIMIT 1"),
     "null_perfect_norm": sql([*JUDGED, *fuzzy("j", "fz"), "t AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, (SELECT count(*) FROM ix) AS n FROM fz)", "pr AS (SELECT * FROM (VALUES ('standard', 1.0::double, 1.0::double, 0.11::double), ('reward_low_FP', 1.0, 1.0, 0.22), ('reward_low_FN', 1.0, 2.0, 0.11)) x(profile, hit, miss, alarm))", "raw AS (SELECT *, hit * tp - miss * fn - alarm * fp AS raw_score FROM t, pr)"], f"profile, {r('raw_score')}, {r('-miss * n', 'null_raw')}, {r('hit * n', 'perfect_raw')}, {r('(raw_score + miss * n) / (hit * n + miss * n) * 100', 'score')} FROM raw"),
 }
-SQL["iqr_long_series"] = SQL["iqr"]
+for _name in ("iqr", "detection_delay"):
+    SQL[f"{_name}_long_series"] = SQL[_name]
+SQL["fill_long_series"] = SQL["fill_interpolate"]
 for _name, _make in (("zscore", zscore), ("prederr", prederr), ("hybrid", hybrid), ("mean_shift", mean_shift)):
     for _suffix in ("", "_long_series"):
         SQL[f"{_name}_after_drop{_suffix}"] = sql([*DROPPED, *_make("d", "adaptive", 3.0)], f"series_id, idx0 AS idx, d.idx AS pos, {r('score')}, label, detection_type FROM d JOIN s USING (series_id, idx)").replace("d.idx AS pos", "idx AS pos")

@@ -79,6 +79,7 @@ _register("preprocess", lambda s, d: out(series.preprocess(events(s, d, True), "
 _register("series_stats", lambda s, d: out(series.series_stats(events(s, d)), "count", "mean", "std", "min", "max", "median", "q25", "q75", "skewness", "kurtosis", keys=("series_id",)))
 
 
+_register("fill_long_series", lambda s, d: out(series.fill(events(s, d, True), chunk=128), "value"))
 _register("fill_nan", lambda s, d: out(series.fill(numbered(s, d)), "value"))
 _register("series_stats_nan", lambda s, d: out(series.series_stats(numbered(s, d)), "count", "mean", "std", "min", "max", "median", "q25", "q75", "skewness", "kurtosis", keys=("series_id",)))
 
@@ -89,6 +90,7 @@ def labelled_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(df.withColumns({c: series.format_timestamp(F.col(c)) for c in ("first_ts", "last_ts")}), "rows", "mean", "std", "min", "max", "first_ts", "last_ts", keys=("series_id",))
 
 
+_register("memory_usage", lambda s, d: series.memory_usage(events(s, d)))
 _register("tile", lambda s, d: out(series.tile(events(s, d), 3), "value"))
 @query
 def series_by_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,6 +232,7 @@ def fuzzy_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("detection_delay", lambda s, d: out(evaluate.detection_delay(judged(s, d)[0]), "delay_samples", "delay_seconds", keys=_S))
+_register("detection_delay_long_series", lambda s, d: out(evaluate.detection_delay(judged(s, d)[0], chunk=128), "delay_samples", "delay_seconds", keys=_S))
 _register("simple_score", lambda s, d: out(evaluate.simple_score(judged(s, d)[0]), "fp", "fn", "score", keys=_S))
 _register("baseline_rank", lambda s, d: out(evaluate.baseline_rank(evaluate.simple_score(judged(s, d)[0])), "score", "vs_htm", "vs_rcf", "vs_skyline", "rank", keys=_S))
 _register("score_contrast", lambda s, d: out(evaluate.score_contrast(judged(s, d)[0]), "inside", "outside", "contrast", keys=_S))
@@ -255,6 +258,13 @@ for _s, _n in (("", NAMES), ("_without_forest", WITHOUT_FOREST)):
     _register(f"eval_averages{_s}", lambda s, d, n=_n: out(evaluate.averages(grid(s, d, n)), "avg_precision", "avg_recall", "avg_f1", "std_f1", "best", keys=("algorithm",)))
 
 
+@query
+def eval_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means by category of series, those of purchases and signups and the rest, algorithm and sensitivity, without the forest."""
+    category = F.when(F.col("series_id").isin("purchase", "signup"), "sales").otherwise("other")
+    return evaluate.grouped_mean(grid(spark, sf_dir, WITHOUT_FOREST).withColumn("category", category))
+
+
 @query
 def scalability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speedup if time falls with the square root of the cores, by region key for cores."""

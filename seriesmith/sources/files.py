@@ -91,8 +91,12 @@ def write_wide(df: DataFrame, path: str) -> None:
 
 
 def write_results(long: DataFrame, path: str) -> None:
-    """timestamp, value, anomaly_score, label 0: files by algorithm and series."""
-    long.select("algorithm", "series_id", "timestamp", "value", F.col("score").alias("anomaly_score"), F.lit(0).alias("label")).write.mode("overwrite").partitionBy("algorithm", "series_id").csv(path, header=True)
+    """timestamp, value, anomaly_score, label 0: files by algorithm, category (a series' folder, or none) and series."""
+    at = F.instr("series_id", "/")
+    category = F.when(at > 0, F.col("series_id").substr(F.lit(1), at - 1)).otherwise("none")
+    name = F.when(at > 0, F.col("series_id").substr(at + 1, F.length("series_id"))).otherwise(F.col("series_id"))
+    columns = ["timestamp", "value", F.col("score").alias("anomaly_score"), F.lit(0).alias("label")]
+    long.select("algorithm", category.alias("category"), name.alias("series"), *columns).write.mode("overwrite").partitionBy("algorithm", "category", "series").csv(path, header=True)
 
 
 def write_report(df: DataFrame, path: str) -> None:
