@@ -207,8 +207,8 @@ def fit(sample: list[tuple[str, str]]) -> LanguageModel:
 
 
 def learn(docs: DataFrame, text: str, lang: str, sample_chars: int = SAMPLE_CHARS) -> LanguageModel | None:
-    """Fits a model on a sample of whole labelled documents, chosen by a hash of their text, copies once; None if there are none."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    """Fits a model on a sample of whole labelled documents of LEARNT_BYTES at most, chosen by a hash of their text, copies once; None if there are none."""
+    labelled = docs.where(F.col(lang).isNotNull() & (F.octet_length(F.col(text).cast("string")) <= shared.LEARNT_BYTES)).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     total = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
     if not total:
         return None

@@ -30,8 +30,8 @@ LEAST = 2
 DISCOUNT = 0.75
 #: Documents that are scored together: so many rows of the input, one after the other; one of more bytes is scored by itself.
 GROUP, LONG = 2048, 1 << 16
-#: Bytes of text to a part of the trie.
-PART_BYTES = 2_500_000
+#: Bytes of text to a part of the trie, and to a task that reads groups or parts, where that gives more tasks than the session's number.
+PART_BYTES, TASK_BYTES = 2_500_000, 1 << 26
 
 
 def _pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -494,8 +494,11 @@ def lm_scores(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id"
     long = F.coalesce(F.octet_length("text") > LONG, F.lit(False))
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     grouped = numbered.withColumn("grp", F.when(long, -1 - F.col("row")).otherwise(F.floor(F.col("row") / F.lit(GROUP))).cast("long"))
-    parts = max(1, -(-int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // PART_BYTES))
-    pairs = shared.cut(shared.map_batches(grouped.select("grp", "text", "train"), _pair_requests(parts), _ASKED).groupBy("part").applyInArrow(_answers, _ANSWERS), "pairs")
+    size = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    parts, tasks = max(1, -(-size // PART_BYTES)), size // TASK_BYTES
+    dealt = lambda df, *by: df.repartition(tasks, *by) if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+    asked = shared.map_batches(grouped.select("grp", "text", "train"), _pair_requests(parts), _ASKED)
+    pairs = shared.cut(dealt(asked, "part").groupBy("part").applyInArrow(_answers, _ANSWERS), "pairs")
 
     def ask(rows, answers):
         if not rows.num_rows:
@@ -504,9 +507,9 @@ def lm_scores(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id"
         _, group, _ = _of_group(rows, answers, parts)
         return pa.Table.from_batches([_asked([(kind, q, name, check, blob) for f in (group.ask_words, group.ask_triples) for kind, q, check, blob in f()])])
 
-    told = lambda df: df.select("grp", "kind", "part", "check", "blob").groupBy("grp")
-    asked = grouped.groupBy("grp").cogroup(told(pairs)).applyInArrow(ask, _ASKED)
-    more = shared.cut(asked.groupBy("kind", "part").applyInArrow(_answers, _ANSWERS), "ngrams")
+    told = lambda df: dealt(df.select("grp", "kind", "part", "check", "blob"), "grp").groupBy("grp")
+    asked = dealt(grouped, "grp").groupBy("grp").cogroup(told(pairs)).applyInArrow(ask, _ASKED)
+    more = shared.cut(dealt(asked, "kind", "part").groupBy("kind", "part").applyInArrow(_answers, _ANSWERS), "ngrams")
     tokens, kinds = more.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     below = float(tokens + kinds + 1)
 
@@ -520,7 +523,7 @@ def lm_scores(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id"
         return pa.table({k: (v if isinstance(v, pa.ChunkedArray) else v.cast(t)) for (k, t), v in zip(_RESULT, values, strict=True)})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return grouped.groupBy("grp").cogroup(told(pairs.unionByName(more))).applyInArrow(score, schema)
+    return dealt(grouped, "grp").groupBy("grp").cogroup(told(pairs.unionByName(more))).applyInArrow(score, schema)
 
 
 _RESULT = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a text that may be in a sample to learn from, which is held by the driver.
+LEARNT_BYTES = 1 << 20
 #: Bytes of text that the vectorised code holds at a time, more only for one longer document.
 SLICE_BYTES = 1_000_000
 

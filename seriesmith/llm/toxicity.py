@@ -244,13 +244,14 @@ def fit(texts: list[tuple[str, bool]]) -> ToxicityModel:
 
 
 def learn(docs: DataFrame, labels: DataFrame, fold, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
-    """Fits on a sample of labelled texts of about `sample` of each label, chosen by a hash of their ids, where the expression fold over doc_id holds."""
+    """Fits on a sample of labelled texts of about `sample` of each label, of LEARNT_BYTES at most, chosen by a hash of their ids, where the expression fold over doc_id holds."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")).where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold)
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, F.lit(sample / max(1, total.get(1, 0)))).otherwise(F.lit(sample / max(1, total.get(0, 0))))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < share * (1 << 24))
     # about twice `sample` ids: a size that does not grow with the tables
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = rows.where(F.coalesce(F.octet_length("text") <= shared.LEARNT_BYTES, F.lit(True))).join(F.broadcast(chosen), "doc_id")
     return fit(sorted((r["text"] or "", bool(r["toxic"])) for r in rows.select("text", "toxic").distinct().collect()))
 
 

@@ -256,6 +256,7 @@ def test_lm_keeps_rare_ngrams_at_any_size(spark, monkeypatch):
     for parts, long in ((1 << 40, 1 << 16), (700_000, 1 << 20), (700_000, 100)):
         monkeypatch.setattr(lm, "PART_BYTES", parts)
         monkeypatch.setattr(lm, "LONG", long)
+        monkeypatch.setattr(lm, "TASK_BYTES", parts)
         got = {x.doc_id: x for x in lm.lm_scores(df, shared.crc_mod("doc_id", 7) != 2).collect()}
         assert len(got) == len(rows)
         for (k, _), (n, known, total, base, score) in want.items():
