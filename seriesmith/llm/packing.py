@@ -138,17 +138,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, documents: int = DOCUMENTS
     """
     pieces = shared.cut(pieces.drop("sequence_id", "offset"), "pieces")
     groups = max(1, -(-pieces.count() // GROUP))
-    name = "group" + "_" * max(map(len, pieces.columns))  # a name that no column has
-    by = [shared.named(c) for c in pieces.columns if c != "ids"]
-    dealt = pieces.withColumn(name, F.pmod(F.xxhash64(*by, F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+    names = {f"c{k}": c for k, c in enumerate(pieces.columns)}  # columns may have any name
+    by = [k for k, c in names.items() if c != "ids"]
+    plain = pieces.select(*(shared.named(c).alias(k) for k, c in names.items()))
+    dealt = plain.withColumn("group", F.pmod(F.xxhash64(*by, F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+    length = next(k for k, c in names.items() if c == "length")
     limits = (float(capacity), float(documents), float(attention))
 
     def run(key, table):
         shared.trim()
-        lengths = np.asarray(table.column("length").combine_chunks())
-        bins, offsets, _ = best_fit(lengths, limits, weights, rule)
-        table = table.drop_columns([name])
+        bins, offsets, _ = best_fit(np.asarray(table.column(length).combine_chunks()), limits, weights, rule)
+        table = table.drop_columns(["group"])
         return table.append_column("sequence_id", pa.array(bins + (key[0].as_py() << 32))).append_column("offset", pa.array(offsets))
 
-    schema = ", ".join("`" + f.name.replace("`", "``") + f"` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy(name).applyInArrow(run, schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", sequence_id long, offset long"
+    packed = dealt.groupBy("group").applyInArrow(run, schema)
+    return packed.select(*(F.col(k).alias(c) for k, c in names.items()), "sequence_id", "offset")
