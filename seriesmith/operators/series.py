@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -158,6 +160,12 @@ def tile(df: DataFrame, times: int) -> DataFrame:
 
 
 def synthetic(spark: SparkSession, n: int, mean: float = 50.0, std: float = 10.0, seed: int = 42, series_id: str = "synthetic") -> DataFrame:
-    """A normal series of n points, one a second; the same rows for the same seed and partitions."""
+    """A normal series of n points, one a second; the same rows for the same seed, in whatever partitions.
+
+    Two uniform numbers of 32 bits from a hash of seed and place give each value.
+    """
     at = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id")).cast("timestamp_ntz")
-    return spark.range(n).select(F.lit(series_id).alias("series_id"), F.col("id").alias("idx"), at.alias("timestamp"), (F.lit(mean) + F.lit(std) * F.randn(seed)).alias("value"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")).cast("binary"))
+    uniform = lambda k: (F.conv(F.substring(digest, k, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    normal = F.sqrt(-2.0 * F.log(uniform(1))) * F.cos(2.0 * math.pi * uniform(9))
+    return spark.range(n).select(F.lit(series_id).alias("series_id"), F.col("id").alias("idx"), at.alias("timestamp"), (F.lit(mean) + F.lit(std) * normal).alias("value"))

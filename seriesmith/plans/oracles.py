@@ -281,6 +281,7 @@ SQL: dict[str, str] = {
     "memory_usage": sql(SERIES, "sum(strlen(series_id) + 24)::bigint AS bytes, format('{:.2f} MB', sum(strlen(series_id) + 24) / 1048576.0::double) AS memory FROM s"),
     "eval_pivot": sql(MEANS, 'algorithm, avg(avg_f1) FILTER (threshold = \'Low\') AS "Low", avg(avg_f1) FILTER (threshold = \'Medium\') AS "Medium" FROM means GROUP BY algorithm'),
     "eval_averages": sql([*GRID, "a AS (SELECT algorithm, avg(precision) AS p, avg(recall) AS rc, avg(f1) AS f, stddev_pop(f1) AS sd FROM grid GROUP BY algorithm)"], f"algorithm, {r('p', 'avg_precision')}, {r('rc', 'avg_recall')}, {r('f', 'avg_f1')}, {r('sd', 'std_f1')}, (row_number() OVER (ORDER BY f DESC, algorithm DESC) = 1)::int AS best FROM a"),
+    "synthetic": "SELECT 'synthetic' AS series_id, k AS idx, round(50.0::double + 10.0::double * sqrt(-2.0 * ln(u)) * cos(2.0 * pi() * v), 6) AS value FROM (SELECT k, " + ", ".join(f"(('0x' || substr(md5('42:' || k), {a}, 8))::bigint + 0.5::double) / 4294967296.0::double AS {x}" for a, x in ((1, "u"), (9, "v"))) + " FROM range(10000) t(k))",
     "scalability": f"SELECT (r_regionkey + 1)::int AS cores, {r('100.0 / sqrt(r_regionkey + 1)', 'seconds')}, {r('sqrt(r_regionkey + 1)', 'speedup')}, {r('sqrt(r_regionkey + 1) / (r_regionkey + 1)', 'efficiency')} FROM region",
     "threshold_sweep": sql(SWEEP, f"threshold, {r('raw_score')}, tp, fp, fn FROM sc ORDER BY sc.raw_score DESC, threshold DESC LIMIT 1"),
     "null_perfect_norm": sql([*JUDGED, *fuzzy("j", "fz"), "t AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, (SELECT count(*) FROM ix) AS n FROM fz)", "pr AS (SELECT * FROM (VALUES ('standard', 1.0::double, 1.0::double, 0.11::double), ('reward_low_FP', 1.0, 1.0, 0.22), ('reward_low_FN', 1.0, 2.0, 0.11)) x(profile, hit, miss, alarm))", "raw AS (SELECT *, hit * tp - miss * fn - alarm * fp AS raw_score FROM t, pr)"], f"profile, {r('raw_score')}, {r('-miss * n', 'null_raw')}, {r('hit * n', 'perfect_raw')}, {r('(raw_score + miss * n) / (hit * n + miss * n) * 100', 'score')} FROM raw"),
