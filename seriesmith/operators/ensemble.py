@@ -34,14 +34,26 @@ def preset(name: str, sensitivity: str) -> dict:
     return {"contamination": contamination} if name == "isolation_forest" else {"threshold": Threshold("adaptive_std", k=k)}
 
 
+def _chunked(parameters: dict[str, dict] | None) -> bool:
+    return any(p.get("chunk") is not None for p in (parameters or {}).values())
+
+
 def detect_wide(df: DataFrame, names: tuple[str, ...] = tuple(REGISTRY), parameters: dict[str, dict] | None = None) -> DataFrame:
     """The rows of a series view with <name>_score, <name>_anomaly and <name>_type of each detector.
 
     Each detector adds its columns to the rows of the one before, so that the
-    series are numbered, dealt out and sorted once for all. An error of one is
-    raised, not dropped.
+    series are numbered, dealt out and sorted once for all. Detectors with chunk=
+    join their rows to statistics of the series; those are run apart from each
+    other and put together by series and idx. An error of one is raised, not
+    dropped.
     """
-    for name in names:
+    if _chunked(parameters):
+        parts = [(n, detect(df, n, **(parameters or {}).get(n, {}))) for n in names]
+        columns = lambda n: [F.col("score").alias(f"{n}_score"), F.col("label").alias(f"{n}_anomaly"), F.col("detection_type").alias(f"{n}_type")]
+        for n, found in parts:
+            df = df.join(found.select("series_id", "idx", *columns(n)), ["series_id", "idx"])
+        return df
+    for name in sorted(names, key="isolation_forest".__eq__):  # the forest last, as a Python step forgets how its input was dealt out
         df = detect(df, name, **(parameters or {}).get(name, {})).withColumnsRenamed({"score": f"{name}_score", "label": f"{name}_anomaly", "detection_type": f"{name}_type"})
     return df
 
@@ -55,6 +67,12 @@ def stacked(wide: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 def detect_all(df: DataFrame, names: tuple[str, ...] = tuple(REGISTRY), parameters: dict[str, dict] | None = None) -> DataFrame:
     """All detectors in long form, with a column algorithm."""
+    if _chunked(parameters):
+        out = None
+        for n in names:
+            one = detect(df, n, **(parameters or {}).get(n, {})).withColumn("algorithm", F.lit(n))
+            out = one if out is None else out.unionByName(one)
+        return out
     return stacked(detect_wide(df, names, parameters), names)
 
 

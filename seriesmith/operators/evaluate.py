@@ -33,8 +33,9 @@ def intervals_to_index(df: DataFrame, intervals: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
     points = df.select("series_id", F.col("timestamp").alias("ts"), "idx", none.alias("interval_id"), F.lit(1).alias("_r"))
     # in time order a start stands before the rows of its time, an end behind them
-    mark = lambda c, rank: intervals.select("series_id", F.col(c).alias("ts"), none.alias("idx"), F.col("interval_id").cast("long").alias("interval_id"), F.lit(rank).alias("_r"))
-    both = points.unionByName(mark("start_ts", 0)).unionByName(mark("end_ts", 2))
+    bound = lambda c, rank: F.struct(F.col(c).alias("ts"), F.lit(rank).alias("_r"))
+    bounds = intervals.select("series_id", F.col("interval_id").cast("long").alias("interval_id"), F.inline(F.array(bound("start_ts", 0), bound("end_ts", 2))))
+    both = points.unionByName(bounds.withColumn("idx", none))
     seen = lambda order: F.last("idx", True).over(Window.partitionBy("series_id").orderBy(*map(order, ("ts", "_r", "idx"))).rowsBetween(Window.unboundedPreceding, 0))
     marks = both.withColumns({"_before": seen(F.asc), "_after": seen(F.desc)}).where("interval_id is not null")
     found = marks.groupBy("series_id", "interval_id").agg(F.max(F.when(F.col("_r") == 0, F.col("_after"))).alias("start_idx"), F.max(F.when(F.col("_r") == 2, F.col("_before"))).alias("end_idx"))

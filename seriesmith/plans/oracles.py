@@ -297,3 +297,7 @@ for _policy, _method, _v in (("fixed", "fixed", 3.0), ("percentile", "percentile
     SQL[f"prederr_{_policy}"] = sql([SERIES, *prederr("d", _method, _v, 3)], FOUND)
     SQL[f"hybrid_{_policy}"] = sql([SERIES, *hybrid("d", _method, _v)], FOUND)
     SQL[f"mean_shift_{_policy}"] = sql([SERIES, *mean_shift("d", _method, 0.5 if _method == "fixed" else _v)], FOUND)
+SQL["rolling_long_series"] = SQL["rolling_trailing"]
+for _name in ("zscore", "prederr", "hybrid", "mean_shift"):
+    SQL[f"{_name}_long_series"], SQL[f"{_name}_percentile_long_series"] = SQL[f"{_name}_adaptive"], SQL[f"{_name}_percentile"]
+SQL["all_detectors_long_series"] = SQL["detect_all"]

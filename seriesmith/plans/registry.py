@@ -144,10 +144,18 @@ def hybrid_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.where("label = 1").groupBy("series_id", "detection_type").agg(F.count("*").alias("n"))
 
 
-@query
-def zscore_long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The adaptive z-score with series dealt out in short runs, as very long ones are."""
-    return found(detectors.rolling_zscore(events(spark, sf_dir), threshold=ADAPTIVE, chunk=256))
+def long_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as series by type, numbered by slices of a day, as very long series are."""
+    return series.to_series(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "ts", "value", "event_id", unit="day")
+
+
+#: The operators with series dealt out in short runs, so that no task holds a series.
+_register("rolling_long_series", lambda s, d: out(features.rolling(long_events(s, d), 20, chunk=256), "rolling_mean", "rolling_std"))
+for _name, _f in (("zscore", detectors.rolling_zscore), ("prederr", detectors.prediction_error), ("hybrid", detectors.hybrid), ("mean_shift", detectors.mean_shift)):
+    for _policy, _t in (("", ADAPTIVE), ("_percentile", PERCENT)):
+        _more = {"smoothing": 3} if _name == "prederr" else {}
+        _register(f"{_name}{_policy}_long_series", lambda s, d, f=_f, t=_t, m=_more: found(f(long_events(s, d), threshold=t, chunk=256, **m)))
+_register("all_detectors_long_series", lambda s, d: found(ensemble.detect_all(long_events(s, d), WITHOUT_FOREST, {n: {"threshold": ADAPTIVE, "chunk": 256} for n in WITHOUT_FOREST}), ("algorithm", "series_id", "idx")))
 
 
 _register("global_zscore", lambda s, d: out(detectors.global_zscore(events(s, d)), "zscore", "score", "label"))
