@@ -37,12 +37,10 @@ class Level:
     words: str  # 64 bits each, in order
 
     def holds(self, key: Column) -> Column:
-        words = F.split(F.lit(self.words), ",").cast("array<bigint>")
-        out = F.lit(True)
-        for at in positions(key, self.seed, self.bits, self.hashes):
-            word = F.get(words, F.shiftright(at, 6).cast("int"))
-            out = out & (F.expr("bigint(1)").bitwiseAND(F.call_function("shiftright", word, F.pmod(at, F.lit(64)).cast("int"))) == 1)
-        return out
+        words = F.split(F.lit(self.words), ",").cast("array<bigint>")  # once in the plan, however many hashes
+        word = lambda at: F.get(words, F.shiftright(at, 6).cast("int"))
+        is_set = lambda at: F.expr("bigint(1)").bitwiseAND(F.call_function("shiftright", word(at), F.pmod(at, F.lit(64)).cast("int"))) == 1
+        return F.forall(F.array(*positions(key, self.seed, self.bits, self.hashes)), is_set)
 
 
 def positions(key: Column, seed: int, bits: int, hashes: int) -> list[Column]:
@@ -112,6 +110,10 @@ def corpus_keys(pages: DataFrame, labels: int, url: str = "url") -> DataFrame:
     return hosts.select(F.explode(F.array_distinct(F.array(*keys_above(labels)))).alias("key")).distinct()
 
 
+def _both(f, g):
+    return lambda key: f(key) & g(key)
+
+
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame, labels: int, url: str = "url", page_id: str = "page_id") -> DataFrame:
     """Returns page_id, host, path, rule, verdict for every row.
 
@@ -130,11 +132,9 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFra
     rows = rows.withColumn("on_list", F.lit(False))
     for p in range(parts):
         mine = lambda key, p=p: F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts)) == p
-        cascade = Cascade.build(listed.where(mine(F.col("key"))), universe.where(mine(F.col("key"))))
-        on_list = F.col("on_list")
-        for key in keys_above(labels):
-            on_list = on_list | (mine(key) & cascade.lists(key) if parts > 1 else cascade.lists(key))
-        rows = rows.withColumn("on_list", on_list)
+        lists = Cascade.build(listed.where(mine(F.col("key"))), universe.where(mine(F.col("key")))).lists
+        on_list = F.exists(F.array(*keys_above(labels)), _both(mine, lists) if parts > 1 else lists)
+        rows = rows.withColumn("on_list", F.col("on_list") | on_list)
         if parts > 1:
             rows = shared.cut(rows, "judged")
     rule = verdict = None
