@@ -1,8 +1,8 @@
 """Evaluation against labelled points and intervals.
 
-Interval tables are joined by bucket: an interval is expanded to the buckets of
-BUCKET rows that it covers, and points join on series and bucket before the
-bounds are compared, so that no join is without an equality.
+Rows and intervals are merged: both stand in one order, of time or idx, and a
+window that grows along it carries what a row must know of the intervals, or an
+interval of the rows. There is no range join.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.core import frames, nearest, quotient
 
-BUCKET = 1024
 #: Published scores that are compared with (fixed values).
 BASELINES = {"HTM": 70.5, "Random Cut Forest": 51.7, "Skyline": 35.7, "Random": 11.0}
 #: Cost profiles: weights of a hit, a miss and a false alarm (fixed values).
@@ -42,13 +41,6 @@ def intervals_to_index(df: DataFrame, intervals: DataFrame) -> DataFrame:
     return found.where("start_idx is not null and end_idx is not null").select("series_id", "interval_id", "start_idx", (F.col("end_idx") + 1).alias("end_idx"))
 
 
-def _covering(df: DataFrame, spans: DataFrame, low: str, high: str, at: str) -> DataFrame:
-    """Pairs of rows and spans of their series with low <= at <= high."""
-    bucket = lambda c: F.floor(F.col(c) / BUCKET)
-    spread = spans.withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    return df.withColumn("_bucket", bucket(at)).join(spread, ["series_id", "_bucket"]).where(F.col(at).between(F.col(low), F.col(high))).drop("_bucket")
-
-
 def point_mask(df: DataFrame, intervals: DataFrame) -> DataFrame:
     """Adds truth: 1 where the timestamp lies in an interval (start_ts, end_ts), both ends included; 0 for a null timestamp.
 
@@ -78,25 +70,31 @@ def point_metrics(df: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> Data
     return with_metrics(confusion(df, keys))
 
 
-def fuzzy(df: DataFrame, spans: DataFrame, tolerance: int = 100, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """By series, or other keys that begin with it: interval hits and misses, point false alarms, with `tolerance` rows of play at both ends.
+def fuzzy(df: DataFrame, spans: DataFrame, tolerance: int = 100, algorithms: tuple[str, ...] | None = None) -> DataFrame:
+    """By series, and by algorithm where the algorithms of a long form are named: interval hits and misses, point false alarms, with `tolerance` rows of play at both ends.
 
     spans: series_id, start_idx, end_idx (one beyond the last row); spans that
     repeat count as often as they stand there. An interval is hit by a label
     from start - tolerance to end + tolerance, both included and cut to the
-    series; labels outside all such zones are false alarms.
+    series; labels outside all such zones are false alarms. Rows without a label
+    are counted before anything travels; labels and zones are merged by idx.
     """
-    by = list(keys)
-    sizes = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("_found"))
-    known = F.col("interval_id") if "interval_id" in spans.columns else F.monotonically_increasing_id()
-    # no row lies beyond the series, so that the right end need not be cut to it
-    zones = spans.select("series_id", known.alias("_id"), F.greatest(F.lit(0), F.col("start_idx") - tolerance).alias("_a"), (F.col("end_idx") + tolerance).alias("_b"))
-    pairs = _covering(df.where("label = 1").select(*by, "idx"), zones, "_a", "_b", "idx")
-    once = pairs.groupBy(*by).agg(F.count_distinct("idx").alias("_inside"), F.count_distinct("_id").alias("tp"))
-    covered = spans.groupBy("series_id").agg(F.count("*").alias("_spans"), F.sum(F.col("end_idx") - F.col("start_idx")).alias("_covered"))
-    per = sizes.join(covered, "series_id", "left").join(once, by, "left").fillna(0)
-    per = per.withColumns({"fn": F.col("_spans") - F.col("tp"), "fp": F.col("_found") - F.col("_inside")}).withColumn("tn", F.col("n") - F.col("_covered") - F.col("fp"))
-    out = with_metrics(per.select(*by, "tp", "fp", "fn", "tn"))
+    by = ["series_id", *(["algorithm"] if algorithms else [])]
+    at, label = F.col("_at"), F.col("_zone").isNull()
+    points = df.groupBy(*by, F.when(F.col("label") == 1, F.col("idx")).alias("_at")).agg(F.count("*").alias("_n"))
+    zones = spans.select("series_id", F.greatest(F.lit(0), F.col("start_idx") - tolerance).cast("long").alias("_at"), F.lit(0).cast("long").alias("_n"), (F.col("end_idx") + tolerance).alias("_zone"), (F.col("end_idx") - F.col("start_idx")).alias("_rows"))
+    if algorithms:
+        zones = zones.withColumn("algorithm", F.explode(F.array(*map(F.lit, algorithms))))
+    none = F.lit(None).cast("long")
+    both = points.withColumns({"_zone": none, "_rows": none}).unionByName(zones)
+    # a zone stands before the labels of its first row; what follows is what came before in the opposite order
+    grows = lambda order: Window.partitionBy(*by).orderBy(order("_at"), order(label)).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({"_reach": F.max("_zone").over(grows(F.asc)), "_next": F.last(F.when(label, at), True).over(grows(F.desc))})
+    found = F.sum(F.when(label & at.isNotNull(), F.col("_n")).otherwise(0))
+    inside = F.sum(F.when(label & (F.col("_reach") >= at), F.col("_n")).otherwise(0))
+    tp, count = F.count_if(~label & (F.col("_next") <= F.col("_zone"))), F.count_if(~label)
+    per = both.groupBy(*by).agg(F.sum("_n").alias("n"), tp.alias("tp"), (found - inside).alias("fp"), (count - tp).alias("fn"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("_covered")).where("n > 0")
+    out = with_metrics(per.withColumn("tn", F.col("n") - F.col("_covered") - F.col("fp")).select(*by, "tp", "fp", "fn", "tn"))
     return out.withColumn("score", F.greatest(F.lit(0.0), 100 - (0.11 * F.col("fp") + F.col("fn"))))
 
 

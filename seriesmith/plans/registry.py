@@ -254,7 +254,7 @@ def grid(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = NAMES) -> Da
     out_ = None
     for threshold in ("Low", "Medium"):
         long = ensemble.detect_all(df, names, {n: ensemble.preset(n, threshold) for n in names})
-        one = evaluate.fuzzy(long, spans, 5, ("series_id", "algorithm")).select("series_id", "algorithm", F.lit(threshold).alias("threshold"), "precision", "recall", "f1", "tp", "fp", "fn")
+        one = evaluate.fuzzy(long, spans, 5, names).select("series_id", "algorithm", F.lit(threshold).alias("threshold"), "precision", "recall", "f1", "tp", "fp", "fn")
         out_ = one if out_ is None else out_.unionByName(one)
     return out_
 
